@@ -95,3 +95,54 @@ def matrix_preview(spark: SparkSession, sf: str) -> DataFrame:
     """K5 + L1: preview lines of the first 1000 cells (the limit is the run option)."""
     cells = fixture_matrix(spark, sf, limit=1000)
     return matrix.matrix_preview_lines(cells, fixture_spec().repetitions)
+
+
+# ------------------------------------------------------------------ metrics
+
+RESPONSE_ID = ["case_uuid", "prompt_id", "model"]
+
+
+def _scored_metrics(spark, sf, with_lcs=False):
+    from longctx.operators.metrics import text_metrics
+    return text_metrics(fx.responses_df(spark, sf), RESPONSE_ID, with_lcs=with_lcs)
+
+
+@register
+def metric_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 M2 M3: normalised token counts and exact match."""
+    return _scored_metrics(spark, sf).select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens", "exact_match")
+
+
+@register
+def metric_token_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: multiset token overlap F1."""
+    return _scored_metrics(spark, sf).select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens", "ov_1", "token_f1")
+
+
+@register
+def metric_rouge_n(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 M6: ROUGE-1 / ROUGE-2 F1 with their n-gram counts."""
+    return _scored_metrics(spark, sf).select(*RESPONSE_ID, "ov_1", "ov_2", "ref_2", "pred_2",
+                                             "rouge1_f1", "rouge2_f1")
+
+
+@register
+def metric_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    """M9: smoothed sentence BLEU (value rounded to 9 decimals for a portable comparison)."""
+    m = _scored_metrics(spark, sf)
+    return m.select(*RESPONSE_ID, *[f"ov_{n}" for n in range(1, 5)], *[f"pred_{n}" for n in range(1, 5)],
+                    F.round(F.col("bleu"), 9).alias("bleu"))
+
+
+@register
+def metric_rouge_l(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 M8: LCS length (Arrow UDF, bit-parallel) and ROUGE-L F1."""
+    return _scored_metrics(spark, sf, with_lcs=True).select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens",
+                                                            "lcs", "rougeL_f1")
+
+
+@register
+def conciseness_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitespace-free lengths and the 3x conciseness gate."""
+    from longctx.operators.metrics import conciseness
+    return conciseness(fx.responses_df(spark, sf)).select(*RESPONSE_ID, "ref_chars", "response_chars", "concise")

@@ -173,3 +173,75 @@ select ordinal, printf('%4d', ordinal) || '. ' || row_id || '  case=' || case_uu
        || '  model=' || model_config_id || '  modality=' || modality || '  junk_context_ratio=' || ratio_key
        || '  thinking=' || thinking || '  rep=' || cast(repetition as varchar) as line
 from cells where ordinal <= 1000"""
+
+
+# ------------------------------------------------------------------ metrics
+
+_TOK = ("list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+'), "
+        "lambda t: t not in ('a', 'an', 'the'))")
+_ID = "case_uuid, prompt_id, model"
+
+
+def metrics_sql() -> str:
+    grams = " union all ".join(
+        f"select {_ID}, {side} as side, {n} as n, array_to_string({col}[i:i+{n - 1}], chr(31)) as g "
+        f"from (select {_ID}, {col}, unnest(generate_series(1, len({col}) - {n - 1})) as i from t)"
+        for side, col in ((0, "rt"), (1, "pt")) for n in range(1, 5))
+    ovs = ", ".join(
+        f"coalesce(sum(case when n = {n} then least(c_ref, c_pred) end), 0)::bigint as ov_{n}, "
+        f"coalesce(sum(case when n = {n} then c_ref end), 0)::bigint as ref_{n}, "
+        f"coalesce(sum(case when n = {n} then c_pred end), 0)::bigint as pred_{n}" for n in range(1, 5))
+    return with_views("responses") + f""",
+t as (select {_ID}, human_validated_answer, response,
+             {_TOK.format(x='human_validated_answer')} as rt, {_TOK.format(x='response')} as pt from responses),
+grams as ({grams}),
+counts as (select {_ID}, n, g, count(*) filter (where side = 0) as c_ref, count(*) filter (where side = 1) as c_pred
+           from grams group by all),
+agg as (select {_ID}, {ovs} from counts group by all),
+m as (select t.{_ID.replace(', ', ', t.')}, t.rt = t.pt as same,
+             {', '.join(f'coalesce(a.ov_{n}, 0) as ov_{n}, coalesce(a.ref_{n}, 0) as ref_{n}, coalesce(a.pred_{n}, 0) as pred_{n}' for n in range(1, 5))}
+      from t left join agg a using ({_ID}))
+"""
+
+
+def _f1_sql(ov, ref, pred):
+    p, r = f"({ov}::double / {pred}::double)", f"({ov}::double / {ref}::double)"
+    return f"case when {ov} = 0 then 0.0::double else 2.0::double * {p} * {r} / ({p} + {r}) end"
+
+
+def _guard(expr):
+    return (f"case when ref_1 = 0 and pred_1 = 0 then 1.0::double when ref_1 = 0 or pred_1 = 0 then 0.0::double "
+            f"else {expr} end")
+
+
+def _rouge_n_sql(n):
+    return _guard(f"case when ref_{n} = 0 and pred_{n} = 0 then (case when same then 1.0::double else 0.0::double end) "
+                  f"when ref_{n} = 0 or pred_{n} = 0 then 0.0::double else {_f1_sql(f'ov_{n}', f'ref_{n}', f'pred_{n}')} end")
+
+
+_LOGS = " + ".join(
+    f"(case when pred_{n} = 0 then ({repr(__import__('math').log(1e-9))})::double "
+    f"else ln((ov_{n} + 1)::double / (pred_{n} + 1)::double) end)" for n in range(1, 5))
+_BLEU = _guard(f"(case when pred_1 > ref_1 then 1.0::double else exp(1.0::double - ref_1::double / pred_1::double) end)"
+               f" * exp(({_LOGS}) / 4.0::double)")
+
+ORACLE["metric_exact"] = metrics_sql() + f"""
+select {_ID}, ref_1 as n_ref_tokens, pred_1 as n_pred_tokens, case when same then 1.0::double else 0.0::double end as exact_match
+from m"""
+
+ORACLE["metric_token_f1"] = metrics_sql() + f"""
+select {_ID}, ref_1 as n_ref_tokens, pred_1 as n_pred_tokens, ov_1, {_guard(_f1_sql('ov_1', 'ref_1', 'pred_1'))} as token_f1
+from m"""
+
+ORACLE["metric_rouge_n"] = metrics_sql() + f"""
+select {_ID}, ov_1, ov_2, ref_2, pred_2, {_rouge_n_sql(1)} as rouge1_f1, {_rouge_n_sql(2)} as rouge2_f1 from m"""
+
+ORACLE["metric_bleu"] = metrics_sql() + f"""
+select {_ID}, ov_1, ov_2, ov_3, ov_4, pred_1, pred_2, pred_3, pred_4, round({_BLEU}, 9) as bleu from m"""
+
+_WS = "'[\\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x{85}\\p{Z}]'"
+ORACLE["conciseness_gate"] = with_views("responses") + f"""
+, c as (select {_ID}, length(regexp_replace(coalesce(human_validated_answer, ''), {_WS}, '', 'g'))::bigint as ref_chars,
+              length(regexp_replace(coalesce(response, ''), {_WS}, '', 'g'))::bigint as response_chars from responses)
+select {_ID}, ref_chars, response_chars,
+       case when ref_chars = 0 then response_chars = 0 else response_chars <= 3 * ref_chars end as concise from c"""
