@@ -146,3 +146,145 @@ def conciseness_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Whitespace-free lengths and the 3x conciseness gate."""
     from longctx.operators.metrics import conciseness
     return conciseness(fx.responses_df(spark, sf)).select(*RESPONSE_ID, "ref_chars", "response_chars", "concise")
+
+
+# ------------------------------------------------------------------ verdicts and jury
+
+def _map_text(m: str):
+    return F.array_join(F.transform(F.map_entries(F.col(m)), lambda e: F.concat(
+        e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("null")))), ",")
+
+
+@register
+def verdict_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 V4 V5: tolerant JSON extraction and three-valued coercion of judge output."""
+    from longctx.operators.jury import parse_verdicts
+    vt = fx.verdict_text_df(spark, sf).select("doc_id", F.col("verdict").alias("verdict_text"),
+                                              F.lit("a response").alias("response"))
+    return parse_verdicts(vt).select("doc_id", "complete", "accurate", "rationale", "error")
+
+
+@register
+def jury_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Majority vote of three judges per row."""
+    from longctx.operators.jury import assemble_votes, jury_verdict as jv
+    v = fx.verdicts_df(spark, sf).withColumn("error", F.lit("")).withColumn("rationale", F.lit("ok"))
+    out = jv(assemble_votes(v), ["doc_id"])
+    return out.select("doc_id", "n_valid", "n_pass", "judge_correct", "judge_complete", "judge_accurate",
+                      "judge_error", _map_text("judge_votes").alias("votes"),
+                      _map_text("judge_rationales").alias("rationales"))
+
+
+# ------------------------------------------------------------------ result log
+
+CURRENT_RUN = "run15"
+
+
+@register
+def log_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Last log entry per row id, placed at its first position."""
+    from longctx.operators.results import keep_last
+    return keep_last(fx.result_log_df(spark, sf)).select("row_id", "first_seq", "seq", "experiment_uuid", "status")
+
+
+@register
+def reuse_latest_ok(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest successful result of another run per row id."""
+    from longctx.operators.results import latest_ok
+    return latest_ok(fx.result_log_df(spark, sf), CURRENT_RUN).select(
+        "row_id", F.col("experiment_uuid").alias("reused_from"), F.col("seq").alias("reused_seq"))
+
+
+def _planned(spark, sf):
+    log = fx.result_log_df(spark, sf)
+    return log.select("row_id").distinct(), log
+
+
+@register
+def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the current run still to do, and how (reuse or call)."""
+    from longctx.operators.results import plan_run
+    cells, log = _planned(spark, sf)
+    return plan_run(cells, log, CURRENT_RUN).select("row_id", "action", "reused_from", "reused_seq")
+
+
+@register
+def status_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: status of every cell after keep-last."""
+    from longctx.operators.results import status_counts as sc
+    return sc(fx.result_log_df(spark, sf))
+
+
+@register
+def run_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: totals of the current run's plan."""
+    from longctx.operators.results import plan_run, run_progress as rp
+    cells, log = _planned(spark, sf)
+    return rp(plan_run(cells, log, CURRENT_RUN))
+
+
+@register
+def error_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Transient / permanent and payload-limit classification of an error log."""
+    from longctx.functions.errors import is_payload_limit, is_transient
+    e = fx.error_log_df(spark, sf)
+    return e.select("event_id", "code", "error_class",
+                    is_transient(F.col("code"), F.col("error_class"), F.col("message")).alias("transient"),
+                    is_payload_limit(F.col("code"), F.col("message")).alias("payload_limit"))
+
+
+def fixture_results(spark, sf):
+    """Results of the fixture matrix: model k answers like responder m{k} of the responses view,
+    token usage derived from the texts."""
+    cells = fixture_matrix(spark, sf)  # carries the prompt's question and answer text
+    ans = F.col("answer")
+    resp = (F.when(F.col("model_ord") == 0, ans)
+            .when(F.col("model_ord") == 1, F.expr("substr(answer, 1, cast(floor(length(answer) * 2 / 3) as int))"))
+            .when(F.col("model_ord") == 2, F.concat(ans, F.lit(" "), F.col("question"), F.lit(" "), ans,
+                                                    F.lit(" "), ans))
+            .when(F.col("model_ord") == 3, F.col("question")).otherwise(F.lit("")))
+    return (cells
+            .select("row_id", "case_uuid", "prompt_file", "difficulty", "model", "modality", "ablation_ratio",
+                    "thinking", "repetition",
+                    F.floor(F.length("question") / 4).cast("bigint").alias("prompt_tokens"),
+                    F.lit(None).cast("bigint").alias("cache_creation_input_tokens"),
+                    F.when(F.col("repetition") > 0, F.lit(100)).cast("bigint").alias("cache_read_input_tokens"),
+                    F.floor(F.length(resp) / 4).cast("bigint").alias("completion_tokens"),
+                    F.when(F.col("thinking") == "high", F.lit(64)).cast("bigint").alias("thinking_tokens"),
+                    resp.alias("answer")))
+
+
+@register
+def responses_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Results with prompt text, validated answer (qNN → aNN) and flat usage."""
+    from longctx.operators.results import responses_export as rx
+    q = fixture_prompts(spark, sf)
+    answers = q.select("case_uuid", F.concat(F.lit("a"), F.substring("prompt_file", 2, 100)).alias("answer_file"),
+                       "answer")
+    res = fixture_results(spark, sf).drop("row_id")
+    return rx(res, q.select("case_uuid", "prompt_file", "question"), answers)
+
+
+# ------------------------------------------------------------------ reports
+
+def fixture_scored(spark, sf):
+    """Scored view for the reports: gate 0 then a token-overlap verdict (blank → undetermined)."""
+    from longctx.operators.metrics import conciseness, text_metrics
+    m = conciseness(text_metrics(fx.responses_df(spark, sf), RESPONSE_ID, with_lcs=False))
+    jc = (F.when(~F.col("concise"), F.lit(0)).when(F.col("n_pred_tokens") == 0, F.lit(None))
+          .otherwise((F.col("ov_1") * 2 >= F.col("n_ref_tokens")).cast("int")))
+    return m.withColumn("judge_correct", jc.cast("int"))
+
+
+@register
+def pass_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Pass rate by model and difficulty with rollup subtotals."""
+    from longctx.operators.report import pass_rate as pr
+    return pr(fixture_scored(spark, sf), ["model", "difficulty"])
+
+
+@register
+def pass_rate_by_difficulty(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: pass rate over grouping sets (model×difficulty, difficulty, all)."""
+    from longctx.operators.report import pass_rate_sets
+    return pass_rate_sets(fixture_scored(spark, sf), [["model", "difficulty"], ["difficulty"], []])

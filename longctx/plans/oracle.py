@@ -245,3 +245,153 @@ ORACLE["conciseness_gate"] = with_views("responses") + f"""
               length(regexp_replace(coalesce(response, ''), {_WS}, '', 'g'))::bigint as response_chars from responses)
 select {_ID}, ref_chars, response_chars,
        case when ref_chars = 0 then response_chars = 0 else response_chars <= 3 * ref_chars end as concise from c"""
+
+
+# ------------------------------------------------------------------ verdicts and jury
+
+_PYWS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^{_PYWS}+|{_PYWS}+$', '', 'g')"
+
+
+def _coerce(j, path):
+    jt = f"json_type({j}, '{path}')"
+    s = f"lower({_strip(f'json_extract_string({j}, {_q(path)})')})"
+    return (f"case when {jt} = 'BOOLEAN' then json_extract({j}, '{path}')::boolean "
+            f"when {jt} in ('UBIGINT', 'BIGINT', 'DOUBLE') then json_extract({j}, '{path}')::double <> 0 "
+            f"when {jt} = 'VARCHAR' then (case when {s} in ('true', 'yes', '1') then true "
+            f"when {s} in ('false', 'no', '0') then false end) end")
+
+
+ORACLE["verdict_parse"] = with_views("verdict_text") + f""",
+s as (select doc_id, {_strip('verdict')} as t0 from verdict_text),
+f as (select doc_id, case when starts_with(t0, '```')
+                          then {_strip("regexp_replace(regexp_replace(t0, '^```[a-zA-Z]*\\s*', ''), '\\s*```$', '')")}
+                          else t0 end as t from s),
+p as (select doc_id, case when json_valid(t) then t end as whole, regexp_extract(t, '(?s)\\{{.*\\}}') as span from f),
+q as (select doc_id, whole, span, coalesce(whole, case when span <> '' and json_valid(span) then span end) as j from p),
+r as (select doc_id, j,
+        case when whole is not null then '' when span = '' then 'ValueError: no JSON object in judge output'
+             when j is null then 'JSONDecodeError: invalid JSON' else '' end as error from q)
+select doc_id,
+       case when error = '' and json_type(j) = 'OBJECT' then {_coerce('j', '$.complete')} end as complete,
+       case when error = '' and json_type(j) = 'OBJECT' then {_coerce('j', '$.accurate')} end as accurate,
+       case when error = '' and json_type(j) = 'OBJECT'
+            then {_strip("coalesce(json_extract_string(j, '$.rationale'), '')")} else '' end as rationale,
+       error
+from r"""
+
+ORACLE["jury_verdict"] = with_views("verdicts") + """,
+v as (select doc_id, judge_id, complete, accurate,
+             complete is not null and accurate is not null as valid,
+             case when complete is not null and accurate is not null then complete and accurate end as vote
+      from verdicts)
+select doc_id, count(*) filter (where valid) as n_valid, count(*) filter (where valid and vote) as n_pass,
+       case when count(*) filter (where valid) >= 2 then (case when count(*) filter (where valid and vote) >= 2 then 1 else 0 end) end as judge_correct,
+       case when count(*) filter (where valid) >= 2 then (case when count(*) filter (where valid and complete) >= 2 then 1 else 0 end) end as judge_complete,
+       case when count(*) filter (where valid) >= 2 then (case when count(*) filter (where valid and accurate) >= 2 then 1 else 0 end) end as judge_accurate,
+       coalesce(string_agg(case when not valid then judge_id || ': unparseable verdict' end, '; ' order by judge_id || ': unparseable verdict'), '') as judge_error,
+       string_agg(judge_id || '=' || coalesce(cast(vote as varchar), 'null'), ',' order by judge_id) as votes,
+       string_agg(judge_id || '=' || case when valid then 'ok' else 'unparseable verdict' end, ',' order by judge_id) as rationales
+from v group by doc_id"""
+
+
+# ------------------------------------------------------------------ result log
+
+_CUR = "'run15'"
+_LAST = """last as (
+  select row_id, min(seq) as first_seq, max(seq) as seq from result_log group by row_id),
+lastrow as (select l.row_id, l.first_seq, r.seq, r.experiment_uuid, r.status
+            from last l join result_log r on r.row_id = l.row_id and r.seq = l.seq)"""
+
+ORACLE["log_keep_last"] = with_views("result_log") + ", " + _LAST + " select * from lastrow"
+
+_PREV = f"""prev as (
+  select row_id, experiment_uuid as reused_from, seq as reused_seq from (
+    select *, row_number() over (partition by row_id order by run_ts desc, seq desc) as rn
+    from result_log where status = 'ok' and experiment_uuid <> {_CUR}) where rn = 1)"""
+
+ORACLE["reuse_latest_ok"] = with_views("result_log") + ", " + _PREV + " select * from prev"
+
+_PLAN = f""",
+{_PREV},
+cur as (select * from (select *, row_number() over (partition by row_id order by seq desc) as rn
+                       from result_log where experiment_uuid = {_CUR}) where rn = 1),
+done as (select row_id from cur where status = 'ok'),
+cells as (select distinct row_id from result_log),
+plan as (select c.row_id, p.reused_from, p.reused_seq,
+                case when p.reused_from is not null then 'reused' else 'call' end as action
+         from cells c left join prev p using (row_id) where c.row_id not in (select row_id from done))
+"""
+
+ORACLE["resume_pending"] = with_views("result_log") + _PLAN + " select row_id, action, reused_from, reused_seq from plan"
+
+ORACLE["run_progress"] = with_views("result_log") + _PLAN + """
+select count(*) as total, count(*) filter (where action = 'reused') as cache_hits,
+       count(*) filter (where action = 'call') as calls, count(*) filter (where action = 'dry_run') as dry_runs
+from plan"""
+
+ORACLE["status_counts"] = with_views("result_log") + ", " + _LAST + \
+    " select status, count(*) as n from lastrow group by status"
+
+_CLS = " or ".join(f"contains(lower(coalesce(error_class, '')), {_q(s)})" for s in [
+    "ratelimit", "resourceexhausted", "deadlineexceeded", "overloaded", "throttl", "timeout", "cancelled",
+    "unavailable", "serviceunavailable", "apiconnection", "internalserver", "remoteprotocol", "connect"])
+_MSG = " or ".join(f"contains(lower(coalesce(message, '')), {_q(s)})" for s in [
+    "timed out", "timeout", "deadline exceeded", "operation was cancelled", "cancelled", "server disconnected",
+    "disconnected", "connection reset", "connection aborted", "connection error", "peer closed",
+    "remotedisconnected", "incompleteread"])
+ORACLE["error_classes"] = with_views("error_log") + f"""
+select event_id, code, error_class,
+       coalesce(code in (408, 409, 425, 429, 499, 500, 502, 503, 504, 529), false) or {_CLS} or {_MSG} as transient,
+       coalesce(code = 400, false) and (contains(lower(coalesce(message, '')), 'payload size exceeds')
+                                        or contains(lower(coalesce(message, '')), 'flex api is not supported')) as payload_limit
+from error_log"""
+
+ORACLE["responses_export"] = matrix_sql() + """,
+res as (
+  select c.*, q.question, q.answer,
+         case c.model_ord when 0 then q.answer
+              when 1 then substr(q.answer, 1, cast(floor(length(q.answer) * 2 / 3) as int))
+              when 2 then concat(q.answer, ' ', q.question, ' ', q.answer, ' ', q.answer)
+              when 3 then q.question else '' end as resp
+  from cells c join prompts q using (case_uuid, prompt_file))
+select r.case_uuid, coalesce(trim(r.question), '') as prompt, r.difficulty,
+       coalesce(trim(a.answer), '') as human_validated_answer, r.model, r.modality,
+       r.ablation_ratio as junk_context_ratio, r.thinking, r.repetition,
+       nullif(cast(floor(length(r.question) / 4) as bigint) + case when r.repetition > 0 then 100 else 0 end, 0) as input_tokens,
+       cast(floor(length(r.resp) / 4) as bigint) as output_tokens,
+       cast(case when r.thinking = 'high' then 64 else 0 end as bigint) as thinking_tokens,
+       r.resp as response
+from res r left join (select case_uuid, 'a' || substr(prompt_file, 2) as answer_file, answer from prompts) a
+  on a.case_uuid = r.case_uuid and a.answer_file = 'a' || substr(r.prompt_file, 2)"""
+
+
+# ------------------------------------------------------------------ reports
+
+def _scored_sql():
+    return metrics_sql() + f""",
+c as (select {_ID}, difficulty,
+             length(regexp_replace(coalesce(human_validated_answer, ''), {_WS}, '', 'g')) as rc,
+             length(regexp_replace(coalesce(response, ''), {_WS}, '', 'g')) as pc from responses),
+scored as (
+  select m.model, c.difficulty,
+         cast(case when not (case when c.rc = 0 then c.pc = 0 else c.pc <= 3 * c.rc end) then 0
+                   when m.pred_1 = 0 then null
+                   when m.ov_1 * 2 >= m.ref_1 then 1 else 0 end as integer) as judge_correct
+  from m join c using ({_ID}))
+"""
+
+
+_MEAS = ("count(*) as n, count(judge_correct) as n_scored, count(*) filter (where judge_correct is null) as n_undetermined, "
+         "cast(sum(judge_correct) as bigint) as n_pass, avg(cast(judge_correct as double)) as pass_rate")
+
+ORACLE["pass_rate"] = _scored_sql() + f"""
+select model, difficulty, {_MEAS}, grouping(model, difficulty) as level
+from scored group by rollup (model, difficulty)"""
+
+ORACLE["pass_rate_by_difficulty"] = _scored_sql() + f"""
+select difficulty, model, {_MEAS}, grouping(difficulty, model) as level
+from scored group by grouping sets ((model, difficulty), (difficulty), ())"""
