@@ -288,3 +288,128 @@ def pass_rate_by_difficulty(spark: SparkSession, sf: str) -> DataFrame:
     """A10: pass rate over grouping sets (model×difficulty, difficulty, all)."""
     from longctx.operators.report import pass_rate_sets
     return pass_rate_sets(fixture_scored(spark, sf), [["model", "difficulty"], ["difficulty"], []])
+
+
+# ------------------------------------------------------------------ forms and checks
+
+FIXTURE_ALLOWED_FORMS = ["form-1", "form-2", "form-7", "bench", "cms-1"]
+
+
+@register
+def filler_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms per pool, file counts and whether the allow-list keeps them."""
+    from longctx.operators.forms import with_form
+    f = with_form(fx.filler_pages_df(spark, sf))
+    return (f.groupBy("subdir_name", "form").agg(F.count(F.lit(1)).alias("n_files"))
+            .withColumn("allowed", F.col("form").isin(FIXTURE_ALLOWED_FORMS)))
+
+
+@register
+def spec_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every rule broken by a faulty spec, checked against the tables."""
+    from longctx.operators.validate import violations
+    spec = fixture_spec()
+    spec.cases = ["src0", "src5", "src19", "src20", "srcX"]
+    spec.ratios = [0.0, 0.5, -1.0]
+    spec.thinking_overrides = {"b1": ["low", "extreme"], "c1": []}
+    spec.allowed_filler_forms = FIXTURE_ALLOWED_FORMS
+    spec.modalities = ["text", "audio"]
+    return violations(spark, spec, fixture_prompts(spark, sf), fx.case_pages_df(spark, sf),
+                      fx.filler_pages_df(spark, sf), model_ids=["a1", "b1", "z9"])
+
+
+# ------------------------------------------------------------------ prompts and payloads
+
+def _payloads(spark, sf):
+    from longctx.functions.keys import payload_fingerprint
+    from longctx.functions.verdict import py_strip
+    from longctx.operators.results import PROMPT_SEPARATOR
+    ctx = context_digest(spark, sf)
+    cells = fixture_matrix(spark, sf)
+    j = cells.join(ctx.select("case_uuid", "ratio_key", "n_chars", "digest"), ["case_uuid", "ratio_key"], "left")
+    text_on = F.col("modality").isin("text", "both")
+    q = py_strip(F.col("question"))
+    chars = F.when(text_on, F.coalesce(F.col("n_chars"), F.lit(0)) + len(PROMPT_SEPARATOR)).otherwise(0) + F.length(q)
+    content = F.concat_ws("|", F.when(text_on, F.coalesce(F.col("digest").cast("string"), F.lit(""))), q)
+    return j.select("row_id", "case_uuid", "ratio_key", "modality", "model", F.col("model_config_id"),
+                    chars.cast("bigint").alias("prompt_chars"),
+                    payload_fingerprint(F.col("model"), content).alias("payload_sha"))
+
+
+@register
+def prompt_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Per cell, exact prompt length and the request fingerprint (context
+    represented by its page-order digest, so the text is never materialised)."""
+    return _payloads(spark, sf)
+
+
+@register
+def payload_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Identical request bodies (same model, context, question) and how often they recur."""
+    return _payloads(spark, sf).groupBy("payload_sha", "model").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+# ------------------------------------------------------------------ synthetic filler
+
+GEN_VARIANTS = 3
+GEN_SEED = 42
+
+
+def _gen_inputs(spark, sf):
+    from longctx.operators.synth import blank_pages_from_filler
+    pages = fx.read_table(spark, sf, "pages").select("page_id")
+    fp = fx.filler_pages_df(spark, sf)
+    blank = blank_pages_from_filler(fp, "web")
+    ids = pages.select("page_id", F.concat(
+        F.lit("form-"), (F.col("page_id") % 12).cast("string"),
+        F.when(F.col("page_id") % 2 == 0, F.lit("-v1-")).otherwise(F.lit("_")),
+        F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".txt")).alias("file_name"))
+    vs = spark.range(1, GEN_VARIANTS + 1).select(F.col("id").cast("int").alias("variant"))
+    outputs = (ids.crossJoin(F.broadcast(vs))
+               .where((F.col("page_id") % 4 == 0) | ((F.col("page_id") % 4 == 1) & (F.col("variant") == 1))))
+    approved = ids.where(F.col("page_id") % 10 == 2).crossJoin(F.broadcast(vs))
+    return blank, outputs, approved
+
+
+@register
+def synthetic_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """One fake identity per web page, rendered as text filler."""
+    from longctx.operators.synth import profile_text, profiles
+    ids = fx.read_table(spark, sf, "pages").select(F.col("page_id").alias("profile_id"))
+    p = profiles(ids, GEN_SEED)
+    return p.select("*", profile_text(p).alias("profile_text"))
+
+
+def _variant_profiles(spark):
+    from longctx.operators.synth import fill_request, profile_text, profiles
+    p = profiles(spark.range(1, GEN_VARIANTS + 1).select(F.col("id").cast("int").alias("profile_id")), GEN_SEED)
+    p = p.withColumn("profile_text", profile_text(p))
+    return p.select(F.col("profile_id").alias("variant"), "name", "profile_text",
+                    fill_request().alias("fill_request"))
+
+
+@register
+def generation_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with at least one variant neither on disk nor approved."""
+    from longctx.operators.synth import generation_work
+    blank, outputs, approved = _gen_inputs(spark, sf)
+    _, triage = generation_work(blank, GEN_VARIANTS, outputs, approved, _variant_profiles(spark))
+    return triage
+
+
+@register
+def generation_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing (page, variant) items with output name, progress key and request."""
+    from longctx.operators.synth import generation_work as gw
+    blank, outputs, approved = _gen_inputs(spark, sf)
+    work, _ = gw(blank, GEN_VARIANTS, outputs, approved, _variant_profiles(spark))
+    return work.select("file_name", "variant", "out_name", "progress_key", "name",
+                       F.sha2(F.col("fill_request"), 256).alias("request_sha"))
+
+
+@register
+def generation_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of page × variant items done."""
+    from longctx.operators.synth import generation_progress as gp
+    blank, outputs, approved = _gen_inputs(spark, sf)
+    return gp(blank, GEN_VARIANTS, outputs, approved)

@@ -52,9 +52,13 @@ def modalities_values(spec: ExperimentSpec) -> str:
 # ------------------------------------------------------------------ dilution
 
 def context_pages_sql(spec: ExperimentSpec | None = None) -> str:
+    return with_views("case_pages", "filler_pages") + ",\n" + context_body(spec)
+
+
+def context_body(spec: ExperimentSpec | None = None) -> str:
     spec = spec or fixture_spec()
     s = spec.seed
-    return with_views("case_pages", "filler_pages") + f""",
+    return f"""
 real as (
   select case_uuid, summary_file, md5(summary_text) as text_md5, cast(length(summary_text) as bigint) as text_len,
          row_number() over (partition by case_uuid order by summary_file) - 1 as page_ord
@@ -124,12 +128,20 @@ def thinking_sql(provider="provider", model="model", level="thinking") -> dict[s
 
 
 def matrix_sql(spec: ExperimentSpec | None = None, categories: list[str] | None = None) -> str:
+    spec = spec or fixture_spec()
+    cat = ""
+    if categories:
+        cat = "where difficulty in (" + ", ".join(_q(c) for c in categories) + ")"
+    return with_views("questions") + ",\n" + matrix_body(spec, categories)
+
+
+def matrix_body(spec: ExperimentSpec | None = None, categories: list[str] | None = None) -> str:
     spec = spec or fixture_spec()
     cat = ""
     if categories:
         cat = "where difficulty in (" + ", ".join(_q(c) for c in categories) + ")"
     rep_tail = "case when repetition > 0 then '|rep=' || cast(repetition as varchar) else '' end"
-    return with_views("questions") + f""",
+    return f"""
 prompts as (select case_uuid, prompt_id || '.txt' as prompt_file, question, answer, difficulty from questions),
 diffs as (select case_uuid, lower(trim(regexp_replace(prompt_file, '\\.[^.]*$', ''))) as prompt_key, difficulty
           from prompts where difficulty <> ''),
@@ -358,15 +370,16 @@ res as (
               when 2 then concat(q.answer, ' ', q.question, ' ', q.answer, ' ', q.answer)
               when 3 then q.question else '' end as resp
   from cells c join prompts q using (case_uuid, prompt_file))
-select r.case_uuid, coalesce(trim(r.question), '') as prompt, r.difficulty,
-       coalesce(trim(a.answer), '') as human_validated_answer, r.model, r.modality,
+select r.case_uuid, coalesce(@QSTRIP@, '') as prompt, r.difficulty,
+       coalesce(@ASTRIP@, '') as human_validated_answer, r.model, r.modality,
        r.ablation_ratio as junk_context_ratio, r.thinking, r.repetition,
        nullif(cast(floor(length(r.question) / 4) as bigint) + case when r.repetition > 0 then 100 else 0 end, 0) as input_tokens,
        cast(floor(length(r.resp) / 4) as bigint) as output_tokens,
        cast(case when r.thinking = 'high' then 64 else 0 end as bigint) as thinking_tokens,
        r.resp as response
 from res r left join (select case_uuid, 'a' || substr(prompt_file, 2) as answer_file, answer from prompts) a
-  on a.case_uuid = r.case_uuid and a.answer_file = 'a' || substr(r.prompt_file, 2)"""
+  on a.case_uuid = r.case_uuid and a.answer_file = 'a' || substr(r.prompt_file, 2)""".replace(
+    "@QSTRIP@", _strip("r.question")).replace("@ASTRIP@", _strip("a.answer"))
 
 
 # ------------------------------------------------------------------ reports
@@ -395,3 +408,131 @@ from scored group by rollup (model, difficulty)"""
 ORACLE["pass_rate_by_difficulty"] = _scored_sql() + f"""
 select difficulty, model, {_MEAS}, grouping(difficulty, model) as level
 from scored group by grouping sets ((model, difficulty), (difficulty), ())"""
+
+
+# ------------------------------------------------------------------ forms and checks
+
+_STEM = "regexp_replace(file_name, '\\.[^.]*$', '')"
+_FORM = (f"case when regexp_matches({_STEM}, '-v\\d+-\\d+$') then regexp_replace({_STEM}, '-v\\d+-\\d+$', '') "
+         f"else split_part({_STEM}, '_', 1) end")
+_ALLOWED = ["form-1", "form-2", "form-7", "bench", "cms-1"]
+_ALLOWED_SQL = "(" + ", ".join(_q(f) for f in _ALLOWED) + ")"
+
+ORACLE["filler_forms"] = with_views("filler_pages") + f"""
+select subdir_name, {_FORM} as form, count(*) as n_files, {_FORM} in {_ALLOWED_SQL} as allowed
+from filler_pages group by all"""
+
+_CASES = "(select * from (values ('src0'), ('src5'), ('src19'), ('src20'), ('srcX')) t(c))"
+ORACLE["spec_violations"] = with_views("case_pages", "filler_pages", "questions") + f""",
+web as (select {_FORM} as form from filler_pages where subdir_name = 'web')
+select * from (values ('unknown_level', 'b1:extreme'), ('empty_levels', 'c1'), ('negative_ratio', '-1'),
+                      ('unknown_modality', 'audio'), ('unknown_model', 'z9')) t("check", subject)
+union all select 'case_without_prompts', c from {_CASES} where c not in (select case_uuid from questions)
+union all select 'case_without_pages', c from {_CASES} where c not in (select case_uuid from case_pages)
+union all select 'unknown_form', f from (select unnest({'[' + ', '.join(_q(f) for f in _ALLOWED) + ']'}) as f)
+          where f not in (select form from web)
+union all select 'empty_filler_pool', 'web' where not exists (select 1 from web where form in {_ALLOWED_SQL})"""
+
+
+# ------------------------------------------------------------------ prompts and payloads
+
+_SEP_LEN = len("\n\n---\n\nQuestion:\n")
+_PAYLOAD = (with_views("case_pages", "filler_pages", "questions") + ",\n" + context_body() + ",\n" + matrix_body()
+            + f""",
+ctxsum as (select case_uuid, ratio_key, cast(sum(text_len) + 2 * (count(*) - 1) as bigint) as n_chars,
+                  bit_xor({h60("concat(cast(ord as varchar), ':', text_md5)")}) as digest
+           from pages group by case_uuid, ratio_key),
+pay as (
+  select c.row_id, c.case_uuid, c.ratio_key, c.modality, c.model, c.model_config_id,
+         cast((case when c.modality in ('text', 'both') then coalesce(x.n_chars, 0) + {_SEP_LEN} else 0 end)
+              + length({_strip('qq.question')}) as bigint) as prompt_chars,
+         sha256(concat_ws(chr(30), c.model, coalesce(concat_ws('|', case when c.modality in ('text', 'both')
+              then coalesce(cast(x.digest as varchar), '') end, {_strip('qq.question')}), ''))) as payload_sha
+  from cells c join prompts qq on qq.case_uuid = c.case_uuid and qq.prompt_file = c.prompt_file
+  left join ctxsum x on x.case_uuid = c.case_uuid and x.ratio_key = c.ratio_key)
+""")
+ORACLE["prompt_payloads"] = _PAYLOAD + " select * from pay"
+ORACLE["payload_groups"] = _PAYLOAD + " select payload_sha, model, count(*) as n_cells from pay group by all"
+
+
+# ------------------------------------------------------------------ synthetic filler
+
+def _profile_sql(pid: str, seed: int = 42, as_of: str = "2026-01-01") -> dict[str, str]:
+    from longctx.operators import synth as sy
+
+    def h(field, pos=0):
+        return keyed(seed, pid, _q(field), _q(str(pos)))
+
+    def pick(words, hh):
+        return "[" + ", ".join(_q(w) for w in words) + f"][{hh} % {len(words)} + 1]"
+
+    def pat(field, p):
+        parts = []
+        for i, ch in enumerate(p):
+            if ch == "#":
+                parts.append(f"cast({h(field, i)} % 10 as varchar)")
+            elif ch == "?":
+                parts.append(f"substr({_q(sy.LETTERS)}, cast({h(field, i)} % {len(sy.LETTERS)} + 1 as integer), 1)")
+            else:
+                parts.append(_q(ch))
+        return "concat(" + ", ".join(parts) + ")"
+
+    first, last = pick(sy.FIRST, h("first")), pick(sy.LAST, h("last"))
+    cols = {
+        "first_name": first, "last_name": last, "name": f"concat_ws(' ', {first}, {last})",
+        "dob": f"strftime(date '{as_of}' - cast({18 * 365} + {h('dob')} % {67 * 365} as integer), '%Y-%m-%d')",
+        "address": f"concat(cast({h('num')} % 9000 + 100 as varchar), ' ', {pick(sy.STREETS, h('street'))}, ' ', "
+                   f"{pick(sy.STREET_KIND, h('kind'))})",
+        "city": pick(sy.CITIES, h("city")), "state": pick(sy.STATES, h("state")),
+        "email": f"lower(concat({first}, '.', {last}, '@', {pick(sy.DOMAINS, h('domain'))}))",
+        "company": f"concat_ws(' ', {pick(sy.LAST, h('company'))}, {pick(sy.COMPANY_KIND, h('ckind'))})",
+        "date_today": f"strftime(date '{as_of}' + cast({h('today')} % 365 as integer), '%Y-%m-%d')",
+        "physician": f"concat('Dr. ', {pick(sy.LAST, h('physician'))})",
+    }
+    for f, p in sy.PATTERNS.items():
+        cols[f] = pat(f, p)
+    return {f: cols[f] for f, _ in sy.PROFILE_LABELS}
+
+
+def _profiles_select(pid_expr: str, id_alias: str) -> str:
+    from longctx.operators import synth as sy
+    cols = _profile_sql(f"cast({pid_expr} as varchar)")
+    text = "concat_ws(chr(10), " + ", ".join(f"concat({_q(label + ': ')}, {cols[f]})" for f, label in sy.PROFILE_LABELS) + ")"
+    return (f"{pid_expr} as {id_alias}, " + ", ".join(f"{v} as {k}" for k, v in cols.items())
+            + f", {text} as profile_text")
+
+
+ORACLE["synthetic_profiles"] = f"select {_profiles_select('page_id', 'profile_id')} from pages"
+
+
+def _gen_sql():
+    from longctx.operators import synth as sy
+    pre, _, post = sy.FILL_TEMPLATE.partition("{faker_data}")
+    return with_views("filler_pages") + f""",
+blank as (select file_name, {_FORM} as prefix from filler_pages where subdir_name = 'web'),
+ids as (select page_id, concat('form-', cast(page_id % 12 as varchar), case when page_id % 2 = 0 then '-v1-' else '_' end,
+                               lpad(cast(page_id as varchar), 6, '0'), '.txt') as file_name from pages),
+vs as (select cast(unnest(range(1, 4)) as integer) as variant),
+outputs as (select file_name, variant from ids cross join vs
+            where page_id % 4 = 0 or (page_id % 4 = 1 and variant = 1)),
+approved as (select file_name, variant from ids cross join vs where page_id % 10 = 2),
+grid as (select b.*, v.variant from blank b cross join vs v),
+missing as (select * from grid g where not exists (select 1 from outputs o where o.file_name = g.file_name and o.variant = g.variant)
+                                  and not exists (select 1 from approved a where a.file_name = g.file_name and a.variant = g.variant)),
+prof as (select {_profiles_select('variant', 'pv')} from vs),
+req as (select pv as variant, name, {_q(pre)} || profile_text || {_q(post)} as fill_request from prof)
+"""
+
+
+_PNUM = (f"case when strpos({_STEM}, '_') > 0 then substr({_STEM}, strpos({_STEM}, '_') + 1) else '001' end")
+ORACLE["generation_queue"] = _gen_sql() + " select file_name, prefix, count(*) as n_missing from missing group by all"
+ORACLE["generation_work"] = _gen_sql() + f"""
+select m.file_name, m.variant, printf('%s-v%d-%s.jpg', m.prefix, m.variant, {_PNUM.replace('file_name', 'm.file_name')}) as out_name,
+       printf('%s::v%d::%s', m.prefix, m.variant, m.file_name) as progress_key, r.name, sha256(r.fill_request) as request_sha
+from missing m join req r using (variant)"""
+ORACLE["generation_progress"] = _gen_sql() + """,
+done as (select distinct file_name, variant from (select * from outputs union all select * from approved)),
+flag as (select g.file_name, g.variant, d.file_name is not null as is_done
+         from grid g left join done d on d.file_name = g.file_name and d.variant = g.variant)
+select count(*) as total, count(*) filter (where is_done) as done, count(*) filter (where is_done) / count(*) as fraction
+from flag"""
