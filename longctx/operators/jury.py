@@ -132,36 +132,41 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 
 def score_rows(responses: DataFrame, id_cols: list[str], judge_verdicts: DataFrame | None,
-               cache: DataFrame | None = None, threshold: int = 2, with_lcs: bool = True) -> DataFrame:
-    """V7/V8: heuristics for every row, gate 0, cached verdicts, jury for the rest.
-
-    ``judge_verdicts``: long form ``(row_key, judge_id, verdict_text, [usage…])`` for the
-    pending rows that pass the gate — from a table, or from ``respond.judge`` (X3).
-    Rows failing the gate get concise 0 / correct 0 and no judge columns; rows without any
-    verdict keep concise 1 and blank judge columns.
+               cache: DataFrame | None = None, threshold: int = 2, with_lcs: bool = True,
+               retry_errors: bool = False) -> DataFrame:
+    """V7/V8: heuristics for every row, cached verdicts, gate 0 and the jury for the rest.
+
+    Order as in the reference: the cache split comes first; pending rows failing the gate
+    get concise 0 / correct 0 and blank judge columns without any judge call; the others
+    get concise 1 and the jury columns.  ``judge_verdicts``: long form ``(row_key,
+    judge_id, verdict_text, [usage…], [call_error])`` — from a table, or from
+    ``respond.judge`` (X3) run on the gated pending rows.  ``scored_from`` tells where a
+    row's verdict came from.
     """
     rows = conciseness(text_metrics(with_row_key(responses), id_cols, with_lcs=with_lcs))
-    gated = rows.where(~F.col("concise")).select(
-        *rows.columns, F.lit(0).alias("judge_concise"), F.lit(0).alias("judge_correct"))
-    passed = rows.where(F.col("concise"))
-    cached, pending = split_cache(passed, cache)
+    cached, pending = split_cache(rows, cache, retry_errors)
+    gated = (pending.where(~F.col("concise"))
+             .withColumn("judge_concise", F.lit(0)).withColumn("judge_correct", F.lit(0))
+             .withColumn("scored_from", F.lit("gate0")))
+    passed = pending.where(F.col("concise"))
     if judge_verdicts is not None:
-        v = jury_verdict(assemble_votes(parse_verdicts(judge_verdicts.join(
-            pending.select("row_key", "response").dropDuplicates(["row_key"]), "row_key"))), ["row_key"], threshold)
-        judged = pending.join(v.drop("n_valid", "n_pass"), "row_key", "left")
+        keyed = judge_verdicts.join(passed.select("row_key", "response").dropDuplicates(["row_key"]), "row_key")
+        v = jury_verdict(assemble_votes(parse_verdicts(keyed)), ["row_key"], threshold)
+        judged = passed.join(v.drop("n_valid", "n_pass"), "row_key", "left")
     else:
-        judged = pending
-    judged = judged.withColumn("judge_concise", F.lit(1))
-    cached = cached.withColumn("judge_concise", F.lit(1))
+        judged = passed
+    judged = judged.withColumn("judge_concise", F.lit(1)).withColumn("scored_from", F.lit("jury"))
+    cached = cached.withColumn("scored_from", F.lit("cache"))
     return gated.unionByName(judged, allowMissingColumns=True).unionByName(cached, allowMissingColumns=True)
 
 
-def scoring_stats(scored: DataFrame, n_cached: DataFrame | None = None) -> DataFrame:
+def scoring_stats(scored: DataFrame) -> DataFrame:
     """A5: total, gate-0 failures, judged, errors."""
     return scored.agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("judge_concise") == 0).alias("gate0_fail"),
-        F.count_if(F.col("judge_concise") == 1).alias("judged"),
+        F.count_if(F.col("scored_from") == "cache").alias("cached"),
+        F.count_if(F.col("scored_from") == "gate0").alias("gate0_fail"),
+        F.count_if(F.col("scored_from") == "jury").alias("judged"),
         F.count_if(F.coalesce(F.col("judge_error"), F.lit("")) != "").alias("errors"),
         F.count_if(F.col("judge_correct") == 1).alias("passed"),
     )

@@ -413,3 +413,56 @@ def generation_progress(spark: SparkSession, sf: str) -> DataFrame:
     from longctx.operators.synth import generation_progress as gp
     blank, outputs, approved = _gen_inputs(spark, sf)
     return gp(blank, GEN_VARIANTS, outputs, approved)
+
+
+# ------------------------------------------------------------------ full scoring run
+
+JUDGES = ["j0", "j1", "j2"]
+
+
+def rule_judge_verdicts(rows: DataFrame) -> DataFrame:
+    """A deterministic three-judge panel written as column logic (no external calls): each
+    judge emits raw text in a different shape, which the V3–V5 parser then has to read."""
+    f1, em, r1, r2, bl = (F.col(c) for c in ("token_f1", "exact_match", "rouge1_f1", "rouge2_f1", "bleu"))
+    yes = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
+    j0 = F.concat(F.lit('{"complete": '), yes(f1 >= 0.5), F.lit(', "accurate": '), yes(em == 1),
+                  F.lit(', "rationale": " overlap check "}'))
+    j1 = F.concat(F.lit('```json\n{"complete": "'), F.when(r1 >= 0.5, "yes").otherwise("no"),
+                  F.lit('", "accurate": '), F.when(r2 >= 0.5, "1").otherwise("0"), F.lit("}\n```"))
+    j2 = F.when(F.col("n_pred_tokens") % 7 == 0, F.lit("no verdict")).otherwise(
+        F.concat(F.lit('Verdict: {"complete": true, "accurate": "'), yes(bl >= 0.3), F.lit('"} done')))
+    usage = [F.floor(F.length("prompt") / 4).cast("bigint").alias("prompt_tokens"),
+             F.floor(F.length("response") / 4).cast("bigint").alias("completion_tokens")]
+    out = None
+    for jid, text in zip(JUDGES, (j0, j1, j2)):
+        d = rows.select("row_key", F.lit(jid).alias("judge_id"), text.alias("verdict_text"), *usage)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _score(spark, sf):
+    from longctx.operators.jury import score_rows, with_row_key
+    from longctx.operators.metrics import text_metrics
+    resp = fx.responses_df(spark, sf)
+    # an earlier scoring run: verdicts of the exact-match responder are already cached
+    cache = with_row_key(resp.where(F.col("model") == "m0")).select(
+        "row_key", F.lit(1).alias("judge_correct"), F.lit("").alias("judge_error"),
+        F.lit(1).alias("judge_concise"))
+    panel = rule_judge_verdicts(text_metrics(with_row_key(resp), RESPONSE_ID, with_lcs=False))
+    return score_rows(resp, RESPONSE_ID, panel, cache=cache, with_lcs=True)
+
+
+@register
+def score_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every response scored: heuristics, cache, gate 0, parsed jury verdicts."""
+    s = _score(spark, sf)
+    return s.select(*RESPONSE_ID, "row_key", "scored_from", "judge_concise", "judge_correct", "judge_complete",
+                    "judge_accurate", F.coalesce(F.col("judge_error"), F.lit("")).alias("judge_error"),
+                    _map_text("judge_votes").alias("votes"), "rougeL_f1", "bleu")
+
+
+@register
+def score_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: totals of the scoring run (cached, gate-0 failures, judged, errors, passed)."""
+    from longctx.operators.jury import scoring_stats
+    return scoring_stats(_score(spark, sf))
