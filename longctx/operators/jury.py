@@ -133,7 +133,7 @@ def with_row_key(df: DataFrame) -> DataFrame:
 
 def score_rows(responses: DataFrame, id_cols: list[str], judge_verdicts: DataFrame | None,
                cache: DataFrame | None = None, threshold: int = 2, with_lcs: bool = True,
-               retry_errors: bool = False) -> DataFrame:
+               retry_errors: bool = False, limit: int | None = None) -> DataFrame:
     """V7/V8: heuristics for every row, cached verdicts, gate 0 and the jury for the rest.
 
     Order as in the reference: the cache split comes first; pending rows failing the gate
@@ -141,10 +141,13 @@ def score_rows(responses: DataFrame, id_cols: list[str], judge_verdicts: DataFra
     get concise 1 and the jury columns.  ``judge_verdicts``: long form ``(row_key,
     judge_id, verdict_text, [usage…], [call_error])`` — from a table, or from
     ``respond.judge`` (X3) run on the gated pending rows.  ``scored_from`` tells where a
-    row's verdict came from.
+    row's verdict came from.  ``limit`` (L2) judges only the first N pending rows in id
+    order; the others are kept with blank judge columns (``scored_from = 'deferred'``).
     """
     rows = conciseness(text_metrics(with_row_key(responses), id_cols, with_lcs=with_lcs))
     cached, pending = split_cache(rows, cache, retry_errors)
+    pending, deferred = limit_work(pending, id_cols, limit)
+    deferred = deferred.withColumn("scored_from", F.lit("deferred"))
     gated = (pending.where(~F.col("concise"))
              .withColumn("judge_concise", F.lit(0)).withColumn("judge_correct", F.lit(0))
              .withColumn("scored_from", F.lit("gate0")))
@@ -157,7 +160,8 @@ def score_rows(responses: DataFrame, id_cols: list[str], judge_verdicts: DataFra
         judged = passed
     judged = judged.withColumn("judge_concise", F.lit(1)).withColumn("scored_from", F.lit("jury"))
     cached = cached.withColumn("scored_from", F.lit("cache"))
-    return gated.unionByName(judged, allowMissingColumns=True).unionByName(cached, allowMissingColumns=True)
+    return (gated.unionByName(judged, allowMissingColumns=True).unionByName(cached, allowMissingColumns=True)
+            .unionByName(deferred, allowMissingColumns=True))
 
 
 def scoring_stats(scored: DataFrame) -> DataFrame:
@@ -175,3 +179,21 @@ def scoring_stats(scored: DataFrame) -> DataFrame:
 def scored_output_columns(in_cols: list[str]) -> list[str]:
     """Input columns first, then the missing score columns, in order."""
     return list(in_cols) + [c for c in HEURISTIC_COLS + JUDGE_COLS if c not in in_cols]
+
+
+def judge_request_text(question: Column, reference: Column, response: Column) -> Column:
+    """The user text of a judge request (the rubric is a separate, constant input)."""
+    c = lambda x: F.coalesce(x, F.lit(""))
+    return F.concat(F.lit("QUESTION:\n"), c(question), F.lit("\n\nREFERENCE ANSWER (ground truth):\n"), c(reference),
+                    F.lit("\n\nMODEL RESPONSE (to evaluate):\n"), c(response), F.lit("\n"))
+
+
+def limit_work(rows: DataFrame, order_cols: list[str], n: int | None) -> tuple[DataFrame, DataFrame]:
+    """L2: the first ``n`` rows (in ``order_cols`` order) are worked on; the rest are kept
+    untouched, never dropped (Q8).  Ranked with the skew-safe ordinal, no global collect."""
+    if n is None:
+        return rows, rows.limit(0)
+    from longctx.operators.ordinal import ordinal_within
+    ranked = ordinal_within(rows, [], order_cols, "_work_ord")
+    return (ranked.where(F.col("_work_ord") < n).drop("_work_ord"),
+            ranked.where(F.col("_work_ord") >= n).drop("_work_ord"))

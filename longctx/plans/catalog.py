@@ -466,3 +466,49 @@ def score_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A5: totals of the scoring run (cached, gate-0 failures, judged, errors, passed)."""
     from longctx.operators.jury import scoring_stats
     return scoring_stats(_score(spark, sf))
+
+
+# ------------------------------------------------------------------ ingest counts
+
+@register
+def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: rows per case (questions, pages) and per filler subdir, as reported on ingest."""
+    q = fx.questions_df(spark, sf).groupBy(F.col("case_uuid").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    p = fx.case_pages_df(spark, sf).groupBy(F.col("case_uuid").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    f = fx.filler_pages_df(spark, sf).groupBy(F.col("subdir_name").alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    return (q.withColumn("table", F.lit("questions")).unionByName(p.withColumn("table", F.lit("case_pages")))
+            .unionByName(f.withColumn("table", F.lit("filler_pages"))))
+
+
+# ------------------------------------------------------------------ streaming
+
+def _stream_scratch(spark, tag: str) -> str:
+    import uuid
+    from longctx.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@register
+def latest_status_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The result log replayed as a file stream through the stateful keep-last; the
+    live status table read back (equal to the batch keep-last)."""
+    from longctx.streaming.status import read_status, start_status_stream
+    root = _stream_scratch(spark, "t1")
+    log = fx.result_log_df(spark, sf).drop("run_ts")
+    log.repartition(4, "seq").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    start_status_stream(stream, f"{root}/status", f"{root}/ck").awaitTermination()
+    return read_status(spark, f"{root}/status").select("row_id", "first_seq", "seq", "experiment_uuid", "status")
+
+
+@register
+def incremental_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses arriving per case, scored batch by batch with resume and dedupe."""
+    from longctx.streaming.scoring import start_incremental_scoring
+    root = _stream_scratch(spark, "t2")
+    resp = fx.responses_df(spark, sf)
+    resp.repartition(4, "case_uuid").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(resp.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    start_incremental_scoring(stream, f"{root}/scored", f"{root}/ck", RESPONSE_ID, with_lcs=False).awaitTermination()
+    return spark.read.parquet(f"{root}/scored").select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens", "ov_1",
+                                                        "token_f1", "ref_chars", "response_chars", "concise")

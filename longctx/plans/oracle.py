@@ -536,3 +536,21 @@ flag as (select g.file_name, g.variant, d.file_name is not null as is_done
          from grid g left join done d on d.file_name = g.file_name and d.variant = g.variant)
 select count(*) as total, count(*) filter (where is_done) as done, count(*) filter (where is_done) / count(*) as fraction
 from flag"""
+
+
+# ------------------------------------------------------------------ ingest counts, streaming
+
+ORACLE["ingest_counts"] = with_views("case_pages", "filler_pages", "questions") + """
+select case_uuid as scope, count(*) as n, 'questions' as "table" from questions group by 1
+union all select case_uuid, count(*), 'case_pages' from case_pages group by 1
+union all select subdir_name, count(*), 'filler_pages' from filler_pages group by 1"""
+
+ORACLE["latest_status_stream"] = ORACLE["log_keep_last"]
+
+ORACLE["incremental_scores"] = metrics_sql() + f""",
+c as (select {_ID}, length(regexp_replace(coalesce(human_validated_answer, ''), {_WS}, '', 'g'))::bigint as ref_chars,
+             length(regexp_replace(coalesce(response, ''), {_WS}, '', 'g'))::bigint as response_chars from responses)
+select m.{_ID.replace(', ', ', m.')}, ref_1 as n_ref_tokens, pred_1 as n_pred_tokens, ov_1,
+       {_guard(_f1_sql('ov_1', 'ref_1', 'pred_1'))} as token_f1, ref_chars, response_chars,
+       case when ref_chars = 0 then response_chars = 0 else response_chars <= 3 * ref_chars end as concise
+from m join c using ({_ID})"""
