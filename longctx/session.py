@@ -7,11 +7,16 @@ scratch folder when that setting is missing.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "longctx") -> SparkSession:
@@ -55,6 +60,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def build_zip(path: str) -> str:
+    """Write this package as a zip that ``--py-files`` or ``addPyFile`` takes."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, dirs, files in os.walk(_PACKAGE):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, f)
+                z.write(full, os.path.join("longctx", os.path.relpath(full, _PACKAGE)))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by module name, so a worker that does not find the
+    package on its own path needs it.  Spark's file server carries the zip.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    tag = hashlib.sha256(app.encode()).hexdigest()[:8]
+    spark.sparkContext.addPyFile(build_zip(os.path.join(tempfile.mkdtemp(prefix="longctx-zip-"), f"longctx-{tag}.zip")))
+    _shipped.add(app)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
