@@ -9,8 +9,9 @@
 4. Inside a bucket no all-pairs step runs.  Members have an order (best first: the document
    whose buckets hold most documents, which is the hub of a group of copies).  All are compared
    with the first; members outside the bucket's main component are then compared with the next
-   1, 2, 4, ... members until they join it or have met every member.  So every link that could
-   still change a component is tested, and a group of copies costs about one pair per copy.
+   ``STEP - 1``, then up to the ``STEP**2``-th, ... until they join it or have met every member.  So
+   every link that could still change a component is tested, and a group of copies costs about
+   one pair per copy.
 5. A pair must agree in at least ``MIN_AGREE`` signature values (a pair at 0.75 fails this with
    probability 3e-7); then both full sets are compared.
 6. Components by alternating large-star and small-star.
@@ -28,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longctx.llm.components import connected_components
-from longctx.llm.pairs import check_against_hubs
+from longctx.llm.pairs import check_against_hubs, texts_of
 from longctx.llm.words import byte_rows, mix, pieces, signed, text_shingles
 from longctx.operators.ordinal import ordinal_within
-from longctx.session import cut_lineage
+from longctx.session import cut_lineage, drop_shared
 
 THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
 NUM_HASHES = ROWS * BANDS
 MIN_AGREE = NUM_HASHES // 2
-_STEP = 512
+STEP = 16
+_BLOCK = 512
 
 _seeds = mix(np.arange(1, 2 * NUM_HASHES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _A, _B = (_seeds[:NUM_HASHES] | np.uint64(1))[:, None], _seeds[NUM_HASHES:][:, None]
@@ -47,8 +49,8 @@ _SIG_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Top 32 bits of the minimum of each universal hash over the set (all ones if empty)."""
     low = np.full(NUM_HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _STEP):
-        h = _A * shingles[None, at:at + _STEP]
+    for at in range(0, len(shingles), _BLOCK):
+        h = _A * shingles[None, at:at + _BLOCK]
         h += _B
         np.minimum(low, h.min(axis=1), out=low)
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -102,14 +104,21 @@ def _confirm(members: pa.Table, hubs: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (hub, mem) that pass the signature and then the full sets."""
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links among ``pairs(hub, mem)`` not ``tested`` before: those that agree in signature and full sets.
+
+    Also returns the pairs that have been tested by now.
+    """
     left = sigs.select(F.col("doc_id").alias("hub"), F.col("sig").alias("_sa"))
     right = sigs.select(F.col("doc_id").alias("mem"), F.col("sig").alias("_sb"))
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda v: v))
+    if tested is not None:
+        back = tested.select(F.col("mem").alias("hub"), F.col("hub").alias("mem"))
+        pairs = pairs.join(tested.union(back), ["hub", "mem"], "left_anti")
     likely = cut_lineage(pairs.join(right, "mem").join(left, "hub").where(agree >= MIN_AGREE)
                          .select("hub", "mem").distinct())
-    return cut_lineage(check_against_hubs(likely, texts, _confirm, "a long, b long"))
+    links = cut_lineage(check_against_hubs(likely, texts, _confirm, "a long, b long"))
+    return links, likely if tested is None else tested.union(likely)
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +126,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     comp = cut_lineage(connected_components(links))
     got = members.drop("comp").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
         "comp", F.coalesce("component", "doc")).drop("component")
-    return got, comp
+    return cut_lineage(got), comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -134,36 +143,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                      F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
     members = cut_lineage(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
 
-    weight = members.groupBy("doc").agg(F.sum("size").alias("weight"))
-    members = members.join(weight, "doc").withColumn("bad", -F.col("weight"))
+    weight = cut_lineage(members.groupBy("doc").agg(F.sum("size").alias("weight")))
+    members = cut_lineage(members.join(weight, "doc").select("key", "doc", (-F.col("weight")).alias("bad")))
+    texts, path = texts_of(texts, members.select(F.col("doc").alias("id")).distinct())
+    sigs = cut_lineage(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
     hubs = members.groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select("key", F.col("h.doc").alias("hub"))
     pairs = members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct()
-    links = _verified(pairs, nodes, texts)
+    links, tested = _verified(pairs, sigs, texts, None)
     members, comp = _labelled(members, links)
 
-    ranked, lo = None, 1
-    while True:
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = cut_lineage(members.join(mixed, "key", "left_semi"))
+    ranked = cut_lineage(ordinal_within(members.select("key", "bad", "doc"), ["key"], ["bad", "doc"], "rank"))
+    last, lo = ranked.agg(F.max("rank")).first()[0] or 0, 1
+    while lo <= last:
         mains = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("m")).where("parts > 1").select(
-            "key", F.col("m.comp").alias("main"))
-        if ranked is None:
-            mains = cut_lineage(mains)
-            if mains.isEmpty():
-                break
-            members = cut_lineage(members.join(mains.select("key"), "key", "left_semi"))
-            ranked = cut_lineage(ordinal_within(members.select("key", "bad", "doc"), ["key"], ["bad", "doc"], "rank"))
+            F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
         late = members.join(mains, "key").where("comp <> main").select("key", F.col("doc").alias("mem"),
                                                                       F.col("comp").alias("mem_comp"))
-        targets = ranked.join(members.select("key", "doc", "comp"), ["key", "doc"]).where(
-            (F.col("rank") >= lo) & (F.col("rank") < 2 * lo)).select("key", F.col("doc").alias("hub"), "comp")
-        targets, late = cut_lineage(targets), cut_lineage(late)
-        if targets.isEmpty() or late.isEmpty():
-            break
+        targets = ranked.where((F.col("rank") >= lo) & (F.col("rank") < STEP * lo)).join(
+            members, ["key", "doc"]).select("key", F.col("doc").alias("hub"), "comp")
         pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
-        links = links.union(_verified(pairs, nodes, texts))
-        members, comp = _labelled(members, links)
-        members = cut_lineage(members)
-        lo *= 2
+        new, tested = _verified(pairs, sigs, texts, tested)
+        if not new.isEmpty():
+            links = links.union(new)
+            members, comp = _labelled(members, links)
+        lo *= STEP
+    drop_shared(docs.sparkSession, path)
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_c"))

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longctx.llm.prefilter import key_bitmap, may_match
+from longctx.session import cut_lineage, shared_table
+
 #: Members of one hub that meet its text in one group.
 GROUP = 64
 
@@ -27,3 +30,10 @@ def check_against_hubs(pairs: DataFrame, texts: DataFrame, check: Callable[[pa.T
     hubs = salted.select(F.col("hub").alias("id"), F.col("salt").alias("part")).distinct().join(
         texts.select("id", F.col("text").alias("hub_text")), "id").select("id", "part", "hub_text")
     return members.groupBy("hub", "salt").cogroup(hubs.groupBy("id", "part")).applyInArrow(check, schema)
+
+
+def texts_of(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``texts(id, text)`` whose id is in ``ids(id)``, as a table in the shared folder, and its path."""
+    ids = cut_lineage(ids)
+    few = may_match(texts, "id", cut_lineage(key_bitmap(ids, "id")))
+    return shared_table(few.join(ids, "id", "left_semi").select("id", "text"), "texts")
