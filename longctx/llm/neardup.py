@@ -6,14 +6,16 @@
 2. Documents with the same set (equal 128-bit digest and size) are one node, its least id.
 3. Bands of ``ROWS`` signature values are bucket keys.  ``BANDS`` bands miss a pair at the
    threshold 0.75 with probability ``(1 - 0.75**3)**24`` = 2e-6.
-4. Inside a bucket no all-pairs step runs.  Members have an order (best first: the document
-   whose buckets hold most documents, which is the hub of a group of copies).  All are compared
-   with the first; members outside the bucket's main component are then compared with the next
-   ``STEP - 1``, then up to the ``STEP**2``-th, ... until they join it or have met every member.  So
-   every link that could still change a component is tested, and a group of copies costs about
-   one pair per copy.
-5. A pair must agree in at least ``MIN_AGREE`` signature values (a pair at 0.75 fails this with
-   probability 3e-7); then both full sets are compared.
+4. Inside a bucket no all-pairs step runs.  Its hub (the document whose buckets hold most
+   documents, which is the origin of a group of copies) is compared with every other member: the
+   signatures first, then both full sets.  So a group of copies costs about one pair per copy.
+5. Two members x, y that are still in different components can only be linked if they share a
+   shingle that the hub lacks, or if the sizes of what they share with the hub allow it.  The few
+   pairs of the second kind come from a join on (hub, size) and are compared.  Members of the
+   first kind meet under (hub, added shingle); there, those outside the main component are compared
+   with the 1st, then up to the ``STEP``-th, ``STEP**2``-th, ... member, until they join it or have met
+   all.  No link that could change a component is left out.  Pairs other than with a hub must agree
+   in ``MIN_AGREE`` signature values first (a pair at 0.75 fails this with probability 3e-7).
 6. Components by alternating large-star and small-star.
 
 Nulls and edge cases: null or blank text has an empty set and links with nothing.  Fewer than
@@ -25,19 +27,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longctx.llm.components import connected_components
-from longctx.llm.pairs import check_against_hubs, texts_of
+from longctx.llm.pairs import check_against_hubs
 from longctx.llm.words import byte_rows, mix, pieces, signed, text_shingles
 from longctx.operators.ordinal import ordinal_within
-from longctx.session import cut_lineage, drop_shared
+from longctx.session import cut_lineage
 
 THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
 NUM_HASHES = ROWS * BANDS
-MIN_AGREE = NUM_HASHES // 2
+MIN_AGREE, HUB_AGREE = NUM_HASHES // 2, NUM_HASHES // 4
 STEP = 16
 _BLOCK = 512
 
@@ -80,53 +82,97 @@ def signatures(docs: DataFrame) -> DataFrame:
                        ).mapInArrow(_sign, _SIG_SCHEMA)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = THRESHOLD) -> bool:
-    """100 * |a & b| >= percent * |a | b| for sorted distinct arrays."""
-    lo, hi = sorted((len(a), len(b)))
-    if 100 * lo < percent * hi:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (lo + hi - both) and both > 0
-
-
 def _confirm(members: pa.Table, hubs: pa.Table) -> pa.Table:
-    """Both full sets of each pair.  A repeated id passes if any of its texts does."""
-    a, b = [], []
+    """Both full sets of each pair: sizes, common size, whether they are linked, and what only the member has.
+
+    An id with several texts is taken with the text that has most in common with the other side.
+    """
+    rows = {k: [] for k in ("a", "b", "na", "nb", "both", "link", "added")}
     sets = [np.unique(text_shingles(x)) for x in byte_rows(hubs.column("hub_text"))]
     if sets:
-        ids = members.column("mem").to_pylist()
         hub = hubs.column("id")[0].as_py()
-        for i, x in zip(ids, byte_rows(members.column("text")), strict=True):
+        for i, x in zip(members.column("mem").to_pylist(), byte_rows(members.column("text")), strict=True):
             s = np.unique(text_shingles(x))
-            if any(similar(t, s) for t in sets):
-                a.append(hub)
-                b.append(i)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links among ``pairs(hub, mem)`` not ``tested`` before: those that agree in signature and full sets.
-
-    Also returns the pairs that have been tested by now.
-    """
+            t = max(sets, key=lambda t: len(np.intersect1d(t, s, assume_unique=True))) if len(sets) > 1 else sets[0]
+            extra = np.setdiff1d(s, t, assume_unique=True)
+            both = len(s) - len(extra)
+            link = both > 0 and 100 * both >= THRESHOLD * (len(s) + len(t) - both)
+            for k, v in zip(rows, (hub, i, len(t), len(s), both, link, signed(extra)), strict=True):
+                rows[k].append(v)
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Exact comparison (see ``_confirm``) of the ``pairs(hub, mem)`` that agree in ``least`` signature values."""
     left = sigs.select(F.col("doc_id").alias("hub"), F.col("sig").alias("_sa"))
     right = sigs.select(F.col("doc_id").alias("mem"), F.col("sig").alias("_sb"))
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda v: v))
-    if tested is not None:
-        back = tested.select(F.col("mem").alias("hub"), F.col("hub").alias("mem"))
-        pairs = pairs.join(tested.union(back), ["hub", "mem"], "left_anti")
-    likely = cut_lineage(pairs.join(right, "mem").join(left, "hub").where(agree >= MIN_AGREE)
-                         .select("hub", "mem").distinct())
-    links = cut_lineage(check_against_hubs(likely, texts, _confirm, "a long, b long"))
-    return links, likely if tested is None else tested.union(likely)
+    likely = cut_lineage(pairs.join(right, "mem").join(left, "hub").where(agree >= least).select("hub", "mem").distinct())
+    return cut_lineage(check_against_hubs(likely, texts, _confirm,
+                                          "a long, b long, na long, nb long, both long, link boolean, added array<long>"))
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bucket members with their component so far; (node, component) of all linked nodes."""
-    comp = cut_lineage(connected_components(links))
-    got = members.drop("comp").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "comp", F.coalesce("component", "doc")).drop("component")
-    return cut_lineage(got), comp
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.where("link").select("a", "b")
+
+
+def _with_component(rows: DataFrame, doc: str, comp: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component so far of column ``doc``: its own id if it is linked to nothing."""
+    return rows.join(comp.select(F.col("node").alias(doc), F.col("component").alias("_c")), doc, "left").withColumn(
+        name, F.coalesce("_c", doc)).drop("_c")
+
+
+def _by_size(tested: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of members of one hub that may be linked though they share nothing that the hub lacks.
+
+    Members x and y of hub h that have i_x and i_y shingles in common with it have at most
+    min(i_x, i_y) in common with each other, so y has at most ``7/3 i_x - n_x`` shingles.  Sizes are
+    matched in steps of 1/32 of the hub's; only pairs within the bound come out.
+    """
+    t = _with_component(tested.select("a", "b", "na", "nb", "both"), "b", comp, "cb")
+    t = cut_lineage(_with_component(t, "a", comp, "ca"))
+    per = lambda n: F.floor(32 * n / F.col("na")).cast("int")
+    late = t.where("ca <> cb").withColumn("most", F.floor(F.col("both") * 175 / 75) - F.col("nb")).where(
+        "100 * most >= 75 * nb").select("a", F.col("b").alias("hub"), F.col("nb").alias("n"), F.col("both").alias("i"),
+                                        F.col("cb").alias("c"), F.explode(F.sequence(per(F.col("nb") * 0.75), per(
+                                            F.col("most")))).alias("step"))
+    every = t.select("a", F.col("b").alias("mem"), "nb", "both", "cb", "ca", per(F.col("nb")).alias("step"))
+    m = F.least("i", "both")
+    return late.join(every, ["a", "step"]).where((F.col("c") != F.col("cb")) & (
+        100 * m >= THRESHOLD * (F.col("n") + F.col("nb") - m))).select("hub", "mem").distinct()
+
+
+def _by_additions(tested: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, doc): members of one hub that share a shingle the hub lacks, where components still differ.
+
+    A partner of x has at least ``0.75 n_x`` shingles in common with it, so at least ``0.75 n_x - i_x`` of
+    those the hub lacks.  Hence x need not be entered under that many (less one) of its shingles, if
+    all members leave out the last ones of one order: by how many members share a shingle, so that
+    phrases that unrelated documents have in common are left out first.
+    """
+    mixed = _with_component(_with_component(tested, "b", comp, "cb"), "a", comp, "ca").where("ca <> cb").select("a").distinct()
+    rows = cut_lineage(_with_component(tested.join(mixed, "a", "left_semi"), "b", comp, "cb").select(
+        "a", "b", "cb", (F.size("added") - F.greatest(F.ceil(0.75 * F.col("nb")) - F.col("both"), F.lit(1)) + 1).alias("upto"),
+        F.size("added").alias("n"), F.explode(F.transform("added", lambda s: F.xxhash64("a", s))).alias("key")))
+    keys = rows.groupBy("key").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.count(F.lit(1)).alias("times")).where(
+        "lo <> hi").select("key", "times")
+    useful = rows.join(keys, "key")
+    mine = Window.partitionBy("a", "b")  # one document's shingles
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("times", "key"))
+    kept = useful.withColumn("place", place).where("place <= upto").select("key", F.col("b").alias("doc")).distinct()
+    kept = cut_lineage(kept)
+    met = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return kept.join(met, "key", "left_semi")
+
+
+def _added(links: DataFrame, comp: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links and their components after another round of tests."""
+    new = _links(tested)
+    if new.isEmpty():
+        return links, comp
+    links = links.union(new)
+    return links, cut_lineage(connected_components(links))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,33 +189,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                      F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
     members = cut_lineage(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
 
-    weight = cut_lineage(members.groupBy("doc").agg(F.sum("size").alias("weight")))
-    members = cut_lineage(members.join(weight, "doc").select("key", "doc", (-F.col("weight")).alias("bad")))
-    texts, path = texts_of(texts, members.select(F.col("doc").alias("id")).distinct())
+    weight = cut_lineage(members.groupBy("doc").agg((-F.sum("size")).alias("bad")))
     sigs = cut_lineage(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
-    hubs = members.groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select("key", F.col("h.doc").alias("hub"))
+    hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
+        "key", F.col("h.doc").alias("hub"))
     pairs = members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct()
-    links, tested = _verified(pairs, sigs, texts, None)
-    members, comp = _labelled(members, links)
+    tested = _verified(pairs, sigs, texts, HUB_AGREE)
+    links = _links(tested)
+    comp = cut_lineage(connected_components(links))
 
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = cut_lineage(members.join(mixed, "key", "left_semi"))
-    ranked = cut_lineage(ordinal_within(members.select("key", "bad", "doc"), ["key"], ["bad", "doc"], "rank"))
-    last, lo = ranked.agg(F.max("rank")).first()[0] or 0, 1
+    links, comp = _added(links, comp, _verified(_by_size(tested, comp), sigs, texts, MIN_AGREE))
+    rest = cut_lineage(_by_additions(tested, comp).join(weight, "doc"))
+    ranked = cut_lineage(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
+    last, lo = ranked.agg(F.max("rank")).first()[0] or 0, 0
     while lo <= last:
-        mains = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-        late = members.join(mains, "key").where("comp <> main").select("key", F.col("doc").alias("mem"),
-                                                                      F.col("comp").alias("mem_comp"))
-        targets = ranked.where((F.col("rank") >= lo) & (F.col("rank") < STEP * lo)).join(
-            members, ["key", "doc"]).select("key", F.col("doc").alias("hub"), "comp")
+        upto = max(1, lo * STEP)
+        now = _with_component(ranked, "doc", comp, "comp")
+        mains = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+            F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+            "key", F.col("m.comp").alias("main"))
+        late = now.join(mains, "key").where((F.col("comp") != F.col("main")) | F.lit(lo == 0)).select(
+            "key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
+        targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
         pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
-        new, tested = _verified(pairs, sigs, texts, tested)
-        if not new.isEmpty():
-            links = links.union(new)
-            members, comp = _labelled(members, links)
-        lo *= STEP
-    drop_shared(docs.sparkSession, path)
+        links, comp = _added(links, comp, _verified(pairs, sigs, texts, MIN_AGREE))
+        lo = upto
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_c"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longctx.llm.prefilter import key_bitmap, may_match
-from longctx.session import cut_lineage, shared_table
+from longctx.session import cut_lineage
 
 #: Members of one hub that meet its text in one group.
 GROUP = 64
@@ -19,21 +19,18 @@ def check_against_hubs(pairs: DataFrame, texts: DataFrame, check: Callable[[pa.T
                        schema: str) -> DataFrame:
     """Run ``check(members, hub)`` on every group of at most about ``GROUP`` members of one hub.
 
-    ``pairs(hub, mem, ...)`` has one row per pair; ``texts(id, text)`` one row per text.  ``check`` gets
-    tables (hub, mem, salt, text, ...) and (id, part, hub_text), where id is the hub.  A hub
-    with very many members is dealt to several groups by the hash of the member; its own text is
-    sent once per group, each member's text once per pair.
+    ``pairs(hub, mem, ...)``, a checkpointed frame, has one row per pair; ``texts(id, text)`` one row
+    per text.  ``check`` gets tables (hub, mem, salt, text, ...) and (id, part, hub_text), where id
+    is the hub.  A hub with very many members is dealt to several groups by the hash of the member;
+    its own text is sent once per group, each member's text once per pair.  Texts that occur in no
+    pair are dropped by a fixed-size bitmap before they would be shuffled.
     """
     counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
-    salted = pairs.join(counts, "hub").withColumn("salt", F.pmod(F.xxhash64("mem"), F.col("_groups"))).drop("_groups")
-    members = salted.join(texts.select(F.col("id").alias("mem"), "text"), "mem")
+    salted = cut_lineage(pairs.join(counts, "hub").withColumn(
+        "salt", F.pmod(F.xxhash64("mem"), F.col("_groups"))).drop("_groups"))
+    mine, theirs = (may_match(texts, "id", cut_lineage(key_bitmap(salted.select(F.col(c).alias("id")).distinct(), "id")))
+                    for c in ("mem", "hub"))
+    members = salted.join(mine.select(F.col("id").alias("mem"), "text"), "mem")
     hubs = salted.select(F.col("hub").alias("id"), F.col("salt").alias("part")).distinct().join(
-        texts.select("id", F.col("text").alias("hub_text")), "id").select("id", "part", "hub_text")
+        theirs.select("id", F.col("text").alias("hub_text")), "id").select("id", "part", "hub_text")
     return members.groupBy("hub", "salt").cogroup(hubs.groupBy("id", "part")).applyInArrow(check, schema)
-
-
-def texts_of(texts: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
-    """The rows of ``texts(id, text)`` whose id is in ``ids(id)``, as a table in the shared folder, and its path."""
-    ids = cut_lineage(ids)
-    few = may_match(texts, "id", cut_lineage(key_bitmap(ids, "id")))
-    return shared_table(few.join(ids, "id", "left_semi").select("id", "text"), "texts")

@@ -24,10 +24,26 @@ def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
         F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
 
 
-def may_match(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """Rows whose key may be among the bitmap's keys (all that are, few that are not)."""
+def _marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: whether the bit of the key is set; null keys and absent buckets give null."""
     at = _place(key)
-    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket")
+    known = F.when(F.col(key).isNotNull(), F.bitmap_bucket_number(at))
+    marked = rows.withColumn("_bucket", known).join(F.broadcast(bitmap), "_bucket", "left")
     place = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+    return marked.withColumn("_hit", F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
+def may_match(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose key may be among the bitmap's keys (all that are, few that are not)."""
+    return _marked(rows, key, bitmap).where("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not among ``keys(key)`` or is null; only the few that may match are shuffled."""
+    columns = rows.columns
+    bitmap = key_bitmap(keys, key)
+    maybe = _marked(rows, key, bitmap)
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    clear = maybe.where(~hit).select(*columns)
+    return clear.unionAll(maybe.where(hit).select(*columns).join(keys, key, "left_anti").select(*columns))
