@@ -28,7 +28,7 @@ def check_against_hubs(pairs: DataFrame, texts: DataFrame, check: Callable[[pa.T
     counts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_groups"))
     salted = cut_lineage(pairs.join(counts, "hub").withColumn(
         "salt", F.pmod(F.xxhash64("mem"), F.col("_groups"))).drop("_groups"))
-    mine, theirs = (may_match(texts, "id", cut_lineage(key_bitmap(salted.select(F.col(c).alias("id")).distinct(), "id")))
+    mine, theirs = (may_match(texts, "id", key_bitmap(salted.select(F.col(c).alias("id")), "id"))
                     for c in ("mem", "hub"))
     members = salted.join(mine.select(F.col("id").alias("mem"), "text"), "mem")
     hubs = salted.select(F.col("hub").alias("id"), F.col("salt").alias("part")).distinct().join(

@@ -1,6 +1,6 @@
 """Fixed-size bitmap of keys: drops most rows that cannot match before they are shuffled.
 
-A bitmap of ``BITS`` bits (16 MB, whatever the input) is built by Spark's bitmap aggregates and
+A bitmap of ``BITS`` bits (4 MB, whatever the input) is built by Spark's bitmap aggregates and
 broadcast.  A row whose key's bit is not set matches no key; the others still go through the exact
 join.  When very many keys fill the bitmap, it only drops fewer rows.
 """
@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 27
+BITS = 1 << 25
 
 
 def _place(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITS))
+    return F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
 
 
 def key_bitmap(keys: DataFrame, key: str) -> DataFrame:
