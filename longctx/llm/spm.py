@@ -5,9 +5,9 @@ model file.  A text becomes symbols (a leading dummy space if the model asks for
 U+2581); its ids are those of the segmentation with the greatest sum of piece scores.  A symbol
 that no piece covers costs ``min score - 10`` and is written as byte pieces (or as ``unk``).
 
-Streaming: scores and back pointers are needed only for the last ``max_len`` boundaries.  Whenever
-the back pointers of all boundaries that can still be extended lead to one common boundary, the
-ids up to it are final: they are written out and forgotten.  A boundary that no piece can cross
+Streaming: scores are needed only for the next ``max_len`` boundaries.  Whenever the back pointers of
+all boundaries that can still be extended lead to one common boundary, the ids up to it are
+final: they are written out and forgotten.  A boundary that no piece can cross
 (before a word start, if all pieces begin with the space mark or do not hold it) is such a point
 by itself, so texts are cut there first and the ids of repeated words are remembered in a
 table of bounded size.  Memory therefore follows the longest undecided stretch, not the text.
@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import chain
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from longctx.llm.words import pieces
 
 SPACE = "▁"
 UNK_PENALTY = 10
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 def _fields(b: bytes):
@@ -88,86 +90,92 @@ class Pieces:
         self.max_len = max(map(len, self.score), default=1)
         self.bad = min((s for s, _ in self.score.values()), default=0.0) - UNK_PENALTY
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.value = {i: bytes([x]) for x, i in self.byte_id.items()}
+        #: Every prefix of a piece; with (score, id) where it is a piece itself.
+        self.prefix = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
+        raw = {i: bytes([x]) for x, i in self.byte_id.items()}
+        shown = {self.UNKNOWN: " ⁇ ", self.CONTROL: ""}
+        self.bytes_of = [raw.get(i) or shown.get(k, t.replace(SPACE, " ")).encode()
+                         for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True))]
         self.memo: dict[str, list[int]] = {}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _spell(self, symbol: str) -> list[int]:
-        raw = (SPACE if symbol == "\0mark" else symbol).encode()
-        return [self.byte_id[x] for x in raw] if self.byte_id else [self.unk]
-
-    def stream(self, symbols: Iterable[str]):
-        """Yield the ids of a stream of symbols, as soon as they are decided."""
-        size, score = self.max_len, self.score
-        window: list[str] = []  # the last symbols, at most max_len
-        best = {0: 0.0}  # of the boundaries that can still be extended
-        back: dict[int, tuple[int, list[int]]] = {}  # of all boundaries after the last common one
-        done = i = 0
-        for symbol in symbols:
-            i += 1
-            window.append(symbol)
-            if len(window) > size:
-                del window[0]
-            top = best[i - 1] + self.bad
-            link = (i - 1, None)
-            tail = ""
-            for n in range(1, len(window) + 1):
-                tail = window[-n] + tail
-                hit = score.get(tail)
-                if hit is not None and i - n in best:
-                    total = best[i - n] + hit[0]
-                    if total > top or link[1] is None and n == 1:
-                        top, link = total, (i - n, hit[1])
-            best[i] = top
-            back[i] = (link[0], self._spell(symbol) if link[1] is None else [link[1]])
-            best.pop(i - size, None)
-            if i - done >= 2 * size and not i % size:
-                common = self._meet(best, back, done)
-                if common > done:
-                    yield from self._trace(back, done, common)
-                    for k in range(done + 1, common + 1):
-                        back.pop(k, None)
-                    low = best[common] if common in best else min(best.values())
-                    for k in best:
-                        best[k] -= low  # sums stay small, so adding stays exact
-                    done = common
+        return [self.byte_id[x] for x in symbol.encode()] if self.byte_id else [self.unk]
+
+    def _extend(self, buf: str, at: int, i: int, best: dict, back: dict) -> None:
+        """Follow all pieces that start at boundary ``i``, which is ``buf[at]``; the earlier start wins ties."""
+        have, prefix, single = best.pop(i), self.prefix, False
+        for n in range(1, min(self.max_len, len(buf) - at) + 1):
+            piece = prefix.get(buf[at:at + n], self)
+            if piece is self:
+                break
+            if piece is not None:
+                single = single or n == 1
+                total = have + piece[0]
+                if total > best.get(i + n, -inf):
+                    best[i + n], back[i + n] = total, (i, piece[1])
+        if not single and have + self.bad > best.get(i + 1, -inf):
+            best[i + 1], back[i + 1] = have + self.bad, (i, buf[at])
+
+    def stream(self, chunks: Iterable[str]):
+        """Yield the ids of a text that arrives in chunks, as soon as they are decided.
+
+        Held at any time: the next ``max_len`` symbols, the scores of the boundaries they reach, and
+        the back pointers after the last boundary that all surviving paths share.
+        """
+        size = self.max_len
+        best, back = {0: 0.0}, {}
+        buf, start, i, done = "", 0, 0, 0  # buf begins at boundary start
+        for chunk in chain(chunks, [None]):
+            if chunk is not None:
+                buf += chunk
+            while i - start < len(buf) and (chunk is None or i - start + size <= len(buf)):
+                self._extend(buf, i - start, i, best, back)
+                i += 1
+                if i % size == 0:
+                    common = self._meet(best, back, done)
+                    if common > done:
+                        yield from self._trace(back, done, common)
+                        low = min(best.values())
+                        for k in best:
+                            best[k] -= low  # sums stay small, so that adding stays exact
+                        done = common
+            buf, start = buf[i - start:], i
         yield from self._trace(back, done, i)
 
     @staticmethod
     def _meet(best, back, done) -> int:
-        """The last boundary on the best paths of all live boundaries."""
+        """The last boundary on the paths to all boundaries that can still be extended."""
         live = set(best)
         while len(live) > 1:
-            k = max(live)
-            live.remove(k)
-            live.add(max(back[k][0], done) if k > done else done)
+            last = max(live)
+            live.remove(last)
+            live.add(max(back[last][0], done))
         return live.pop()
 
-    @staticmethod
-    def _trace(back, start, end):
-        path = []
-        while end > start:
-            end, ids = back[end]
-            path.append(ids)
-        for ids in reversed(path):
-            yield from ids
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        s = text.replace(SPACE, "\0mark") if SPACE in text else text
-        if s is not text:  # rare: the mark itself is spelled in bytes
-            parts = s.split("\0mark")
-            symbols = [c for k, p in enumerate(parts) for c in [*(["\0mark"] if k else []), *p.replace(" ", SPACE)]]
-            return list(self.stream([SPACE, *symbols] if self.dummy else symbols))
-        s = (" " + s if self.dummy else s).replace(" ", SPACE)
+    def _trace(self, back, start, end):
+        """Ids of the path from ``start`` to ``end``; its back pointers and older ones are forgotten."""
+        path, at = [], end
+        while at > start:
+            at, piece = back[at]
+            path.append(piece)
+        for k in range(start + 1, end + 1):
+            back.pop(k, None)
+        for piece in reversed(path):
+            if isinstance(piece, str):
+                yield from self._spell(piece)
+            else:
+                yield piece
+
+    def _stretch(self, text: str) -> list[int]:
+        """Ids of a stretch without the mark in its text; spaces are marks already."""
         if not self.by_word:
-            return list(self.stream(s))
+            return list(self.stream(text[k:k + 4096] for k in range(0, len(text), 4096)))
         out, memo = [], self.memo
-        for word in self.word.findall(s):
+        for word in self.word.findall(text):
             ids = memo.get(word)
             if ids is None:
-                ids = list(self.stream(word))
+                ids = list(self.stream(word[k:k + 4096] for k in range(0, len(word), 4096)))
                 if len(word) <= 64:
                     if len(memo) >= CACHE_WORDS:
                         memo.clear()
@@ -175,16 +183,18 @@ class Pieces:
             out += ids
         return out
 
+    def encode(self, text: str) -> list[int]:
+        if not text:
+            return []
+        parts = text.split(SPACE)  # a mark in the text itself is no space: spelled in bytes, and no piece crosses it
+        out = self._stretch(((" " if self.dummy else "") + parts[0]).replace(" ", SPACE))
+        for part in parts[1:]:
+            out = out + self._spell(SPACE) + self._stretch(part.replace(" ", SPACE))
+        return out
+
     def decode(self, ids: list[int]) -> str:
-        value = self.value
-        out = bytearray()
-        for i in ids:
-            x = value.get(i)
-            if x is None:
-                x = value[i] = (" ⁇ " if self.kind[i] == self.UNKNOWN else "" if self.kind[i] == self.CONTROL
-                                else self.text[i].replace(SPACE, " ")).encode()
-            out += x
-        text = out.decode("utf-8", "replace")
+        table = self.bytes_of
+        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
