@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longctx.llm.prefilter import key_bitmap, may_match
 from longctx.llm.words import byte_rows, mix, pieces, word_hashes, word_spans
 
 BUCKETS, SAMPLE, SMOOTHING = 1 << 17, 6000, 1.0
@@ -132,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from all rows of ``docs(doc_id, text)`` that ``labels(doc_id, label)`` names."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = docs.join(labels, "doc_id").select("text", "label")
+    # labels grow with the corpus, so they are joined by shuffle at any size; only texts that may have one move
+    labelled = may_match(docs, "doc_id", key_bitmap(labels, "doc_id")).join(labels.hint("merge"), "doc_id").select(
+        "text", "label")
     counts = labelled.mapInArrow(_count, "bucket int, pos long, neg long").groupBy("bucket").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     got = counts.toArrow()  # at most BUCKETS + 1 rows
