@@ -7,6 +7,7 @@ scratch folder when that setting is missing.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -107,3 +108,13 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared checkpoint folder through Hadoop's file system API."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    Spark does so by itself when the driver happens to collect its garbage; a long job with large
+    steps frees the disk sooner this way.  What a checkpoint or a written table holds needs no shuffle files.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
