@@ -34,7 +34,7 @@ from longctx.llm.words import pieces
 
 SPACE = "▁"
 UNK_PENALTY = 10
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def _fields(b: bytes):
@@ -96,7 +96,9 @@ class Pieces:
         shown = {self.UNKNOWN: " ⁇ ", self.CONTROL: ""}
         self.bytes_of = [raw.get(i) or shown.get(k, t.replace(SPACE, " ")).encode()
                          for i, (t, k) in enumerate(zip(self.text, self.kind, strict=True))]
+        self.tree: dict = {}
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def _spell(self, symbol: str) -> list[int]:
@@ -167,6 +169,43 @@ class Pieces:
             else:
                 yield piece
 
+    def _word(self, s: str) -> list[int]:
+        """The search of ``stream`` over a stretch so short that it needs no window."""
+        n, bad, root = len(s), self.bad, self._trie()
+        best, back, ids = [-inf] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            have, node, j = best[i], root, i
+            for c in s[i:]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                piece = node.get("")
+                if piece is not None and have + piece[0] > best[j]:
+                    best[j], back[j], ids[j] = have + piece[0], i, piece[1]
+            if s[i] not in self.score and have + bad > best[i + 1]:
+                best[i + 1], back[i + 1], ids[i + 1] = have + bad, i, None
+        path = []
+        while n:
+            at = back[n]
+            if ids[n] is None:
+                path += reversed(self._spell(s[at]))
+            else:
+                path.append(ids[n])
+            n = at
+        return path[::-1]
+
+    def _trie(self) -> dict:
+        """The pieces by character; the entry of a piece stands under the empty string."""
+        if not self.tree:
+            for piece, entry in self.score.items():
+                node = self.tree
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = entry
+        return self.tree
+
     def _stretch(self, text: str) -> list[int]:
         """Ids of a stretch without the mark in its text; spaces are marks already."""
         if not self.by_word:
@@ -175,10 +214,13 @@ class Pieces:
         for word in self.word.findall(text):
             ids = memo.get(word)
             if ids is None:
-                ids = list(self.stream(word[k:k + 4096] for k in range(0, len(word), 4096)))
-                if len(word) <= 64:
-                    if len(memo) >= CACHE_WORDS:
-                        memo.clear()
+                if len(word) > 64:
+                    ids = list(self.stream(word[k:k + 4096] for k in range(0, len(word), 4096)))
+                else:
+                    ids = self.older.get(word) or self._word(word)
+                    if len(memo) >= CACHE_WORDS:  # the words of this generation stay for one more
+                        self.older, self.memo = memo, {}
+                        memo = self.memo
                     memo[word] = ids
             out += ids
         return out
