@@ -34,7 +34,7 @@ from longctx.llm.components import connected_components
 from longctx.llm.pairs import check_against_hubs
 from longctx.llm.words import byte_rows, mix, pieces, signed, text_shingles
 from longctx.operators.ordinal import ordinal_within
-from longctx.session import cut_lineage
+from longctx.session import cut_lineage, free_shuffles
 
 THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
@@ -109,8 +109,10 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: int) -
     right = sigs.select(F.col("doc_id").alias("mem"), F.col("sig").alias("_sb"))
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda v: v))
     likely = cut_lineage(pairs.join(right, "mem").join(left, "hub").where(agree >= least).select("hub", "mem").distinct())
-    return cut_lineage(check_against_hubs(likely, texts, _confirm,
+    done = cut_lineage(check_against_hubs(likely, texts, _confirm,
                                           "a long, b long, na long, nb long, both long, link boolean, added array<long>"))
+    free_shuffles(done.sparkSession)
+    return done
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -189,6 +191,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                      F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
     members = cut_lineage(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
 
+    del rows, shared
     weight = cut_lineage(members.groupBy("doc").agg((-F.sum("size")).alias("bad")))
     sigs = cut_lineage(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
     hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
