@@ -40,6 +40,8 @@ VECTOR = {
 }
 FLOOR = (0.10, 0.08, 0.08, 0.12, 0.20)
 SUBSET, STEPS, MIN_GROUP, SHRINK = 0.75, 4, 100, 30
+#: Groups (some 300 bytes each) up to which the estimates are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 20_000
 CONSISTENCY = 1.41  # SUBSET / P(chi2_7 <= chi2_5 quantile of SUBSET): the half with least distances understates scatter
 CUTOFF = 37.3  # chi2 with 5 degrees of freedom exceeds this once in two million
 
@@ -79,7 +81,9 @@ def text_counts(b: np.ndarray) -> tuple[int, ...]:
 
 def _count(batches):
     for batch in pieces(batches):
-        rows = np.array([text_counts(b) for b in byte_rows(batch.column("text"))], np.int64).reshape(-1, len(_COUNTS))
+        row = batch.column("row")
+        text = batch.column("text") if "text" in batch.schema.names else row.field(row.type.get_field_index("text"))
+        rows = np.array([text_counts(b) for b in byte_rows(text)], np.int64).reshape(-1, len(_COUNTS))
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("grp"), *[pa.array(rows[:, k]) for k in range(len(_COUNTS))]],
             names=["row", "grp", *_COUNTS])
@@ -89,6 +93,8 @@ def with_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Struct ``row`` of the columns ``keep``, ``grp`` (lang, source) and the counts and vector of each text."""
     rows = docs.select(F.struct(*keep).alias("row"), F.struct(F.col("lang").cast("string").alias("lang"), F.col(
         "source").cast("string").alias("source")).alias("grp"), F.col("text").cast("string").alias("text"))
+    if "text" in keep and docs.schema["text"].dataType == T.StringType():
+        rows = rows.drop("text")  # the row has it; wide texts cross to Python once
     schema = T.StructType([rows.schema["row"], rows.schema["grp"], *[T.StructField(c, T.LongType()) for c in _COUNTS]])
     counted = rows.mapInArrow(_count, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -160,7 +166,9 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     pools = cut_lineage(_pools(narrow))
     same = lambda d: pools["lang"].eqNullSafe(d["grp"]["lang"]) & pools["source"].eqNullSafe(d["grp"]["source"])
     vectors = cut_lineage(narrow.join(pools, same(narrow)).select("pool", *VECTOR))
-    found = pools.join(robust_estimates(vectors), "pool").select("lang", "source", "mean", "inverse")
+    found = cut_lineage(pools.join(robust_estimates(vectors), "pool").select("lang", "source", "mean", "inverse"))
+    if found.count() <= BROADCAST_GROUPS:
+        found = F.broadcast(found)
     rows = with_counts(docs, keep)
     rows = rows.join(found, found["lang"].eqNullSafe(rows["grp"]["lang"]) & found["source"].eqNullSafe(
         rows["grp"]["source"]), "left")

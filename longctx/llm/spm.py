@@ -34,7 +34,7 @@ from longctx.llm.words import pieces
 
 SPACE = "▁"
 UNK_PENALTY = 10
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 def _fields(b: bytes):
@@ -249,7 +249,9 @@ def _mapper(model, decode: bool):
     def run(batches):
         vocab = Pieces(model.value)
         for batch in pieces(batches, 128):
-            texts = batch.column("text").to_pylist()
+            row = batch.column("row")
+            text = batch.column("text") if "text" in batch.schema.names else row.field(row.type.get_field_index("text"))
+            texts = text.to_pylist()
             ids = [None if t is None else vocab.encode(t) for t in texts]
             cols = [batch.column("row"), pa.array(ids, pa.list_(pa.int32()))]
             if decode:
@@ -265,6 +267,8 @@ def encode(docs: DataFrame, model_path: str, decode: bool = False, keep: list[st
     model = spark.sparkContext.broadcast(load(spark, model_path))
     kept = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
+    if "text" in kept and docs.schema["text"].dataType == T.StringType():
+        rows = rows.drop("text")  # the row has it; wide texts cross to Python once
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
                           + [T.StructField("decoded", T.StringType())] * decode)
     return rows.mapInArrow(_mapper(model, decode), schema)

@@ -118,6 +118,8 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back
 
 
 def signed(x: np.ndarray) -> np.ndarray:
