@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longctx.functions.keys import keyed_hash
-from longctx.functions.text import blank_page_parts, filler_form, generated_page_name, progress_key
+from longctx.functions.text import blank_page_parts, generated_page_name, progress_key
 
 FIRST = ["Ada", "Bela", "Caro", "Dario", "Elin", "Femi", "Gala", "Hugo", "Ines", "Joss", "Kira", "Luca",
          "Mina", "Nils", "Oona", "Pavel", "Rhea", "Sami", "Tove", "Ugo"]
@@ -109,23 +109,21 @@ def generation_work(blank_pages: DataFrame, variants: int, outputs: DataFrame, a
     Returns (work list of missing (page, variant) with its profile, triage queue of pages with
     at least one missing variant).  Every variant count is a parameter; all joins are keyed.
     """
-    vs = blank_pages.sparkSession.range(1, variants + 1).select(F.col("id").cast("int").alias("variant"))
     prefix, pnum = blank_page_parts(F.col("file_name"))
-    grid = (blank_pages.crossJoin(F.broadcast(vs))
+    grid = (blank_pages.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))))
             .withColumn("page_number", pnum)
             .withColumn("out_name", generated_page_name(F.col("prefix"), F.col("variant"), F.col("page_number")))
             .withColumn("progress_key", progress_key(F.col("prefix"), F.col("variant"), F.col("file_name"))))
     missing = (grid.join(outputs.select("file_name", "variant"), ["file_name", "variant"], "left_anti")
                .join(approved.select("file_name", "variant"), ["file_name", "variant"], "left_anti"))
-    work = missing.join(F.broadcast(profiles_by_variant), "variant")
+    work = missing.join(profiles_by_variant, "variant")
     triage = missing.groupBy("file_name", "prefix").agg(F.count(F.lit(1)).alias("n_missing"))
     return work, triage
 
 
 def generation_progress(blank_pages: DataFrame, variants: int, outputs: DataFrame, approved: DataFrame) -> DataFrame:
     """Done (on disk or approved) over total page × variant items."""
-    vs = blank_pages.sparkSession.range(1, variants + 1).select(F.col("id").cast("int").alias("variant"))
-    grid = blank_pages.select("file_name").crossJoin(F.broadcast(vs))
+    grid = blank_pages.select("file_name", F.explode(F.sequence(F.lit(1), F.lit(variants))).alias("variant"))
     done = outputs.select("file_name", "variant").unionByName(approved.select("file_name", "variant")).distinct()
     flagged = grid.join(done.withColumn("_d", F.lit(1)), ["file_name", "variant"], "left")
     return flagged.agg(F.count(F.lit(1)).alias("total"), F.count("_d").alias("done"),
@@ -135,4 +133,4 @@ def generation_progress(blank_pages: DataFrame, variants: int, outputs: DataFram
 def blank_pages_from_filler(filler_pages: DataFrame, subdir: str) -> DataFrame:
     """Blank pages of a pool with their form prefix."""
     return (filler_pages.where(F.col("subdir_name") == subdir)
-            .select("file_name", filler_form(F.col("file_name")).alias("prefix")))
+            .select("file_name", blank_page_parts(F.col("file_name"))[0].alias("prefix")))

@@ -92,9 +92,14 @@ def matrix_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def matrix_preview(spark: SparkSession, sf: str) -> DataFrame:
-    """K5 + L1: preview lines of the first 1000 cells (the limit is the run option)."""
-    cells = fixture_matrix(spark, sf, limit=1000)
-    return matrix.matrix_preview_lines(cells, fixture_spec().repetitions)
+    """K5: preview lines of every cell of the run."""
+    return matrix.matrix_preview_lines(fixture_matrix(spark, sf), fixture_spec().repetitions)
+
+
+@register
+def matrix_first_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """L1: the run option that keeps the first N cells; here N is 100."""
+    return matrix.matrix_preview_lines(fixture_matrix(spark, sf, limit=100), fixture_spec().repetitions)
 
 
 # ------------------------------------------------------------------ metrics
@@ -259,7 +264,7 @@ def responses_export(spark: SparkSession, sf: str) -> DataFrame:
     """Results with prompt text, validated answer (qNN → aNN) and flat usage."""
     from longctx.operators.results import responses_export as rx
     q = fixture_prompts(spark, sf)
-    answers = q.select("case_uuid", F.concat(F.lit("a"), F.substring("prompt_file", 2, 100)).alias("answer_file"),
+    answers = q.select("case_uuid", F.concat(F.lit("a"), F.substr(F.col("prompt_file"), F.lit(2))).alias("answer_file"),
                        "answer")
     res = fixture_results(spark, sf).drop("row_id")
     return rx(res, q.select("case_uuid", "prompt_file", "question"), answers)

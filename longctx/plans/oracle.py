@@ -184,7 +184,9 @@ ORACLE["matrix_preview"] = matrix_sql() + """
 select ordinal, printf('%4d', ordinal) || '. ' || row_id || '  case=' || case_uuid || '  case_specific_prompt=' || prompt_file
        || '  model=' || model_config_id || '  modality=' || modality || '  junk_context_ratio=' || ratio_key
        || '  thinking=' || thinking || '  rep=' || cast(repetition as varchar) as line
-from cells where ordinal <= 1000"""
+from cells"""
+
+ORACLE["matrix_first_cells"] = ORACLE["matrix_preview"] + " where ordinal <= 100"
 
 
 # ------------------------------------------------------------------ metrics
@@ -320,10 +322,13 @@ lastrow as (select l.row_id, l.first_seq, r.seq, r.experiment_uuid, r.status
 
 ORACLE["log_keep_last"] = with_views("result_log") + ", " + _LAST + " select * from lastrow"
 
-_PREV = f"""prev as (
-  select row_id, experiment_uuid as reused_from, seq as reused_seq from (
-    select *, row_number() over (partition by row_id order by run_ts desc, seq desc) as rn
-    from result_log where status = 'ok' and experiment_uuid <> {_CUR}) where rn = 1)"""
+_PREV = f"""ended as (
+  select * from result_log r where experiment_uuid <> {_CUR} and seq = (
+    select max(seq) from result_log x where x.row_id = r.row_id and x.experiment_uuid = r.experiment_uuid)),
+prev as (
+  select row_id, arg_max(experiment_uuid, {{'t': run_ts, 's': seq}}) as reused_from,
+         arg_max(seq, {{'t': run_ts, 's': seq}}) as reused_seq
+  from ended where status = 'ok' group by row_id)"""
 
 ORACLE["reuse_latest_ok"] = with_views("result_log") + ", " + _PREV + " select * from prev"
 
@@ -509,7 +514,7 @@ def _gen_sql():
     from longctx.operators import synth as sy
     pre, _, post = sy.FILL_TEMPLATE.partition("{faker_data}")
     return with_views("filler_pages") + f""",
-blank as (select file_name, {_FORM} as prefix from filler_pages where subdir_name = 'web'),
+blank as (select file_name, split_part({_STEM}, '_', 1) as prefix from filler_pages where subdir_name = 'web'),
 ids as (select page_id, concat('form-', cast(page_id % 12 as varchar), case when page_id % 2 = 0 then '-v1-' else '_' end,
                                lpad(cast(page_id as varchar), 6, '0'), '.txt') as file_name from pages),
 vs as (select cast(unnest(range(1, 4)) as integer) as variant),

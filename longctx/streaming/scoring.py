@@ -1,14 +1,15 @@
 """Incremental scoring with checkpoint and resume.
 
-New response files are picked up by a file stream; each micro-batch is scored with the
-batch operators (heuristics, gate, optional jury) and appended to the scored table.  Rows
-whose ``row_key`` is already in the scored table are dropped first, so a replayed batch or
-a re-delivered file never scores a row twice.  The stream checkpoint replaces the periodic
-full rewrite of the reference.
+New response files are picked up by a file stream; each micro-batch is scored with the batch
+operators (heuristics, gate, optional jury) and written to a folder of its own, named by stream and
+batch.  A replayed batch overwrites its folder, and responses that another batch has scored already
+(a re-delivered file) are left out by their identity columns.  Responses with equal texts are different
+responses: every one of them is kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,11 +20,13 @@ from longctx.operators.jury import with_row_key
 from longctx.operators.metrics import conciseness, text_metrics
 
 
-def _existing_keys(spark, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("row_key")
-    except Exception:  # noqa: BLE001 - first batch: no table yet
+def _scored_elsewhere(spark, path: str, stream: str, batch_id: int, identity: list[str]) -> DataFrame | None:
+    """Identities in the scored table, those of this very batch (a replay) aside; None before the first batch."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
+    own = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+    return spark.read.parquet(path).where(~own).select(*identity)
 
 
 def score_batch(batch: DataFrame, id_cols: list[str], with_lcs: bool = True) -> DataFrame:
@@ -34,17 +37,19 @@ def score_batch(batch: DataFrame, id_cols: list[str], with_lcs: bool = True) ->
 def start_incremental_scoring(responses_stream: DataFrame, scored_path: str, checkpoint: str,
                               id_cols: list[str], with_lcs: bool = True,
                               extra: Callable[[DataFrame], DataFrame] | None = None,
-                              available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                              available_now: bool = True, identity: list[str] | None = None) -> StreamingQuery:
+    """``identity``: the columns that tell responses apart (run, row, repetition, ...); default ``id_cols``."""
+    who = identity or id_cols
+    stream = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        seen = _scored_elsewhere(batch.sparkSession, scored_path, stream, batch_id, who)
+        if seen is not None:
+            batch = batch.join(seen.distinct(), who, "left_anti")
         scored = score_batch(batch, id_cols, with_lcs)
         if extra is not None:
             scored = extra(scored)
-        seen = _existing_keys(spark, scored_path)
-        if seen is not None:
-            scored = scored.join(seen, "row_key", "left_anti")
-        scored.dropDuplicates(["row_key"]).withColumn("batch_id", F.lit(batch_id).cast("bigint")) \
-            .write.mode("append").parquet(scored_path)
+        scored.write.mode("overwrite").parquet(f"{scored_path}/stream={stream}/batch_id={batch_id}")
 
     writer = responses_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -2,8 +2,11 @@
 including the LCS that has no SQL oracle) on the sf0.001 responses fixture."""
 
 import math
+import sys
 import re
 from collections import Counter
+from functools import cache
+from itertools import combinations
 
 from conftest import SF001
 
@@ -11,6 +14,7 @@ from longctx.functions.lcs import lcs_length
 from longctx.operators.metrics import text_metrics
 from longctx.sources import fixtures as fx
 
+sys.setrecursionlimit(20_000)
 _W = re.compile(r"[^\w\s]")
 
 
@@ -30,50 +34,56 @@ def f1(ov, lp, lr):
     return 2 * p * r / (p + r)
 
 
+def ratio_of(ref, pred, n):
+    """F1 of the n-gram multisets; without n-grams on either side, 1 only for equal token lists."""
+    rg, pg = grams(ref, n), grams(pred, n)
+    sizes = rg.total(), pg.total()
+    return f1((rg & pg).total(), sizes[1], sizes[0]) if all(sizes) else float(not any(sizes) and ref == pred)
+
+
+def smoothed_bleu(ref, pred):
+    def precision(n):
+        pg = grams(pred, n)
+        return ((pg & grams(ref, n)).total() + 1) / (pg.total() + 1) if pg else 1e-9
+    brevity = min(1.0, math.exp(1 - len(ref) / len(pred)))
+    return brevity * math.prod(precision(n) for n in range(1, 5)) ** 0.25
+
+
 def ref_metrics(a, b):
     r, p = toks(a), toks(b)
-    if not r and not p:
-        return dict(exact_match=1.0, token_f1=1.0, rouge1_f1=1.0, rouge2_f1=1.0, rougeL_f1=1.0, bleu=1.0)
-    if not r or not p:
-        return dict(exact_match=0.0, token_f1=0.0, rouge1_f1=0.0, rouge2_f1=0.0, rougeL_f1=0.0, bleu=0.0)
-    out = {"exact_match": float(r == p), "token_f1": f1(sum((Counter(r) & Counter(p)).values()), len(p), len(r))}
-    for n in (1, 2):
-        rg, pg = grams(r, n), grams(p, n)
-        if not rg and not pg:
-            out[f"rouge{n}_f1"] = float(r == p)
-        elif not rg or not pg:
-            out[f"rouge{n}_f1"] = 0.0
-        else:
-            out[f"rouge{n}_f1"] = f1(sum((rg & pg).values()), sum(pg.values()), sum(rg.values()))
-    lcs = lcs_dp(r, p)
-    out["rougeL_f1"] = f1(lcs, len(p), len(r))
-    logs = []
-    for n in range(1, 5):
-        pg = grams(p, n)
-        tot = sum(pg.values())
-        logs.append(math.log(1e-9) if tot == 0 else math.log((sum((pg & grams(r, n)).values()) + 1) / (tot + 1)))
-    bp = 1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p))
-    out["bleu"] = bp * math.exp(sum(logs) / 4)
-    return out
-
-
-def lcs_dp(a, b):
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            cur[j] = prev[j - 1] + 1 if x == y else max(prev[j], cur[j - 1])
-        prev = cur
-    return prev[-1]
-
-
-def test_bit_parallel_lcs_matches_dp():
+    names = ("exact_match", "token_f1", "rouge1_f1", "rouge2_f1", "rougeL_f1", "bleu")
+    if not (r and p):
+        return dict.fromkeys(names, float(r == p))
+    return dict(zip(names, (float(r == p), ratio_of(r, p, 1), ratio_of(r, p, 1), ratio_of(r, p, 2),
+                            f1(lcs_recursive(r, p), len(p), len(r)), smoothed_bleu(r, p))))
+
+
+def lcs_by_subsets(a, b):
+    """Length of the longest subsequence of ``a`` that is one of ``b``, by trying all of them, longest first."""
+    def inside(sub, seq):
+        rest = iter(seq)
+        return all(x in rest for x in sub)
+    return next(n for n in range(len(a), -1, -1) if any(inside(s, b) for s in combinations(a, n)))
+
+
+def lcs_recursive(a, b):
+    """Take the first token and its next place in ``b``, or leave it."""
+    @cache
+    def longest(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        skip = longest(i + 1, j)
+        return max(skip, 1 + longest(i + 1, b.index(a[i], j) + 1)) if a[i] in b[j:] else skip
+    return longest(0, 0)
+
+
+def test_bit_parallel_lcs_matches_plain_searches():
     import random
     rnd = random.Random(7)
-    for _ in range(300):
-        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 40))]
-        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 40))]
-        assert lcs_length(a, b) == lcs_dp(a, b)
+    for _ in range(120):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]
+        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]
+        assert lcs_length(a, b) == lcs_by_subsets(a, b) == lcs_recursive(a, b)
 
 
 def test_metrics_equal_python(spark):

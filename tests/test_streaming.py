@@ -38,6 +38,19 @@ def test_incremental_scoring_equals_batch(spark, scratch):
     q2.awaitTermination()
     cols = ids + ["token_f1", "bleu", "concise"]
     got = spark.read.parquet(out).select(*cols)
-    exp = score_batch(resp, ids, with_lcs=False).dropDuplicates(["row_key"]).select(*cols)
+    exp = score_batch(resp, ids, with_lcs=False).select(*cols)
     assert got.count() == exp.count()
     assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_equal_answers_of_two_repetitions_are_both_kept(spark, scratch):
+    one = fx.responses_df(spark, SF001).limit(3)
+    resp = one.withColumn("repetition", F.lit(1)).union(one.withColumn("repetition", F.lit(2)))
+    src = os.path.join(scratch, "resp2")
+    resp.repartition(2, "repetition").write.parquet(src)
+    ids = ["case_uuid", "prompt_id", "model", "repetition"]
+    out = os.path.join(scratch, "scored2")
+    for ck in ("a", "b"):
+        stream = spark.readStream.schema(resp.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        start_incremental_scoring(stream, out, os.path.join(scratch, ck), ids, with_lcs=False).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
