@@ -43,7 +43,7 @@ SUBSET, STEPS, MIN_GROUP, SHRINK = 0.75, 4, 100, 30
 #: Groups (some 300 bytes each) up to which the estimates are broadcast; more are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 CONSISTENCY = 1.41  # SUBSET / P(chi2_7 <= chi2_5 quantile of SUBSET): the half with least distances understates scatter
-CUTOFF = 37.3  # chi2 with 5 degrees of freedom exceeds this once in two million
+CUTOFF = 30.86  # chi2 with 5 degrees of freedom exceeds this once in 100,000
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -106,9 +106,9 @@ def _pools(vectors: DataFrame) -> DataFrame:
     """(lang, source, pool): the pool a group is estimated in; no row for groups without one."""
     sizes = vectors.groupBy("grp.lang", "grp.source").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("small", F.col("n") < MIN_GROUP)
-    by_lang = sizes.where("small").groupBy("lang").agg(F.sum("n").alias("m"))
+    by_lang = sizes.where("small").groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("m"))
     rest = by_lang.where(F.col("m") < MIN_GROUP).agg(F.sum("m").alias("rest"))
-    got = sizes.join(by_lang, sizes["lang"].eqNullSafe(by_lang["lang"]), "left").drop(by_lang["lang"]).join(rest, how="left")
+    got = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(rest, how="left")
     pool = (F.when(~F.col("small"), F.to_json(F.struct("lang", "source")))
             .when(F.col("m") >= MIN_GROUP, F.to_json(F.struct("lang"))).when(F.col("rest") >= MIN_GROUP, F.lit("all")))
     return got.select("lang", "source", pool.alias("pool")).where("pool is not null")
@@ -164,14 +164,13 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     ``base_failed``, ``distance`` (squared; null where nothing could be estimated) and ``kept``."""
     narrow = cut_lineage(with_counts(docs, ["lang"]).where("n_words > 0 and not base_failed").select("grp", *VECTOR))
     pools = cut_lineage(_pools(narrow))
-    same = lambda d: pools["lang"].eqNullSafe(d["grp"]["lang"]) & pools["source"].eqNullSafe(d["grp"]["source"])
-    vectors = cut_lineage(narrow.join(pools, same(narrow)).select("pool", *VECTOR))
+    same = F.col("lang").eqNullSafe(F.col("grp.lang")) & F.col("source").eqNullSafe(F.col("grp.source"))
+    vectors = cut_lineage(narrow.join(pools, same).select("pool", *VECTOR))
     found = cut_lineage(pools.join(robust_estimates(vectors), "pool").select("lang", "source", "mean", "inverse"))
     if found.count() <= BROADCAST_GROUPS:
         found = F.broadcast(found)
     rows = with_counts(docs, keep)
-    rows = rows.join(found, found["lang"].eqNullSafe(rows["grp"]["lang"]) & found["source"].eqNullSafe(
-        rows["grp"]["source"]), "left")
+    rows = rows.join(found, same, "left")
     shrink = F.col("n_words") / (F.col("n_words") + SHRINK)
     d = shrink * _distance([F.col("mean")[i] for i in range(len(VECTOR))], F.col("inverse"))
     return rows.select("row", *_COUNTS, "base_failed", d.alias("distance"),
