@@ -49,6 +49,11 @@ LABELLED = [
     (120, 0.0, 90, 0.0, 80, 0.0, 1, 1), (60, 0.1, 40, 0.0, 30, 0.0, 1, 1), (40, 0.3, 40, 0.0, 30, 0.1, 1, 1),
     (12, 0.5, 50, 0.0, 45, 0.0, 1, 1), (3, 0.0, 2, 0.0, 2, 0.0, 1, 1), (5, 0.0, 3, 1.0, 3, 1.0, 1, 1),
     (30, 0.6, 20, 0.1, 40, 0.0, 1, 1), (4, 0.0, 0, 0.0, 0, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1),
+    (10, 0.0, 21, 0.05, 1, 0.0, 1, 1), (10, 0.0, 20, 0.0, 2, 0.0, 1, 1), (6, 0.0, 5, 0.0, 3, 0.0, 1, 1),
+    (4, 0.0, 6, 0.0, 0, 0.0, 1, 1), (3, 0.0, 15, 0.0, 1, 0.0, 1, 1), (1, 0.0, 10, 0.0, 14, 0.0, 1, 1),
+    (15, 0.0, 3, 0.0, 2, 1.0, 1, 1), (20, 0.0, 10, 0.0, 3, 1.0, 1, 1), (8, 0.0, 2, 1.0, 2, 1.0, 1, 1),
+    (2, 0.0, 12, 0.0, 4, 0.9, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 1), (2, 0.0, 4, 0.0, 5, 0.0, 1, 1),
+    (50, 0.2, 1, 0.0, 1, 0.0, 1, 1), (7, 0.3, 8, 0.0, 2, 0.0, 1, 1), (1, 0.0, 30, 0.0, 3, 0.0, 1, 1),
     (2, 1.0, 40, 0.0, 2, 1.0, 1, 0), (3, 1.0, 2, 1.0, 2, 1.0, 1, 0), (6, 1.0, 3, 1.0, 0, 0.0, 1, 0),
     (4, 0.95, 30, 0.0, 5, 1.0, 1, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (4, 0.0, 2, 1.0, 40, 0.0, -1, 0), (40, 0.0, 0, 0.0, 8, 0.0, -1, 0),
