@@ -281,3 +281,20 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark, docs, tmp_path):
         for r in cur.collect():
             assert vocab.decode(r.ids) == r.text and r.n_tokens == len(r.ids)
         assert (cur.count() > 0) == (table is docs)
+
+
+def test_texts_that_share_an_id_are_judged_each(spark, tmp_path):
+    rng = random.Random(9)
+    copied, clean, passage, leak = prose(rng, 120), prose(rng, 120), prose(rng, 60), prose(rng, 30)
+    rows = [(1, copied), (2, copied), (2, clean), (2, clean), (3, prose(rng, 90)), (3, prose(rng, 90)), (None, copied)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.minhash_near_dedup(spark, table, str(tmp_path)).collect())
+    assert got == sorted([(1, copied), (2, clean), rows[4], rows[5], (0, copied)])
+
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, passage + " first"), (2, clean + " " + passage), (2, prose(rng, 200)), (4, clean[:300] + " " + leak), (4, copied)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text for r in corpus_pipeline.substring_dedup(spark, table, str(tmp_path)).collect()}
+    assert got >= {rows[0][1], clean, rows[2][1], copied}
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, table, str(tmp_path)).collect()}
+    assert got == {*rows[:3], rows[4]}
