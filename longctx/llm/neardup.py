@@ -7,8 +7,8 @@
 3. Bands of ``ROWS`` signature values are bucket keys.  ``BANDS`` bands miss a pair at the
    threshold 0.75 with probability ``(1 - 0.75**3)**24`` = 2e-6.
 4. Inside a bucket no all-pairs step runs.  Its hub (the document whose buckets hold most
-   documents, which is the origin of a group of copies) is compared with every other member: the
-   signatures first, then both full sets.  So a group of copies costs about one pair per copy.
+   documents, which is the origin of a group of copies) is compared with every other member, however
+   unlike, by both full sets.  So a group of copies costs about one pair per copy.
 5. Two members x, y that are still in different components can only be linked if they share a
    shingle that the hub lacks, or if the sizes of what they share with the hub allow it.  The few
    pairs of the second kind come from a join on (hub, size) and are compared.  Members of the
@@ -39,7 +39,7 @@ from longctx.session import cut_lineage, free_shuffles
 THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
 NUM_HASHES = ROWS * BANDS
-MIN_AGREE, HUB_AGREE = NUM_HASHES // 2, NUM_HASHES // 4
+MIN_AGREE = NUM_HASHES // 2
 STEP = 16
 _BLOCK = 512
 
@@ -103,13 +103,17 @@ def _confirm(members: pa.Table, hubs: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Exact comparison (see ``_confirm``) of the ``pairs(hub, mem)`` that agree in ``least`` signature values."""
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The ``pairs(hub, mem)`` that agree in ``MIN_AGREE`` signature values."""
     left = sigs.select(F.col("doc_id").alias("hub"), F.col("sig").alias("_sa"))
     right = sigs.select(F.col("doc_id").alias("mem"), F.col("sig").alias("_sb"))
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda v: v))
-    likely = cut_lineage(pairs.join(right, "mem").join(left, "hub").where(agree >= least).select("hub", "mem").distinct())
-    done = cut_lineage(check_against_hubs(likely, texts, _confirm,
+    return pairs.join(right, "mem").join(left, "hub").where(agree >= MIN_AGREE).select("hub", "mem").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact comparison (see ``_confirm``) of the ``pairs(hub, mem)``."""
+    done = cut_lineage(check_against_hubs(cut_lineage(pairs), texts, _confirm,
                                           "a long, b long, na long, nb long, both long, link boolean, added array<long>"))
     free_shuffles(done.sparkSession)
     return done
@@ -197,11 +201,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
         "key", F.col("h.doc").alias("hub"))
     pairs = members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct()
-    tested = _verified(pairs, sigs, texts, HUB_AGREE)
+    tested = _verified(pairs, texts)  # all of them: a member unlike the hub may be like another member
     links = _links(tested)
     comp = cut_lineage(connected_components(links))
 
-    links, comp = _added(links, comp, _verified(_by_size(tested, comp), sigs, texts, MIN_AGREE))
+    links, comp = _added(links, comp, _verified(_likely(_by_size(tested, comp), sigs), texts))
     rest = cut_lineage(_by_additions(tested, comp).join(weight, "doc"))
     ranked = cut_lineage(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
     last, lo = ranked.agg(F.max("rank")).first()[0] or 0, 0
@@ -215,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             "key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
         targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
         pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
-        links, comp = _added(links, comp, _verified(pairs, sigs, texts, MIN_AGREE))
+        links, comp = _added(links, comp, _verified(_likely(pairs, sigs), texts))
         lo = upto
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -7,6 +7,7 @@ import re
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -17,6 +18,7 @@ import corpus_pipeline  # noqa: E402
 from longctx.llm import decontam, langid, mainhtml, nbsvm, neardup, quality, spm, substrings, urls, warc  # noqa: E402
 from longctx.llm.components import connected_components  # noqa: E402
 from longctx.llm.queries import MODEL_PATH, URL_RULES  # noqa: E402
+from longctx.llm.words import text_shingles  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, component_id int, label int"
 
@@ -106,6 +108,35 @@ def test_many_near_copies_of_an_absent_origin(spark):
     assert got == want
 
 
+def unlike_hubs():
+    """Two near copies, and in each bucket they share 30 heavier documents that are like each other but unlike them."""
+    rng = random.Random(6)
+    x = prose(rng, 150).split()
+    y = [*x[:60], *prose(rng, 9).split(), *x[69:]]
+    hashes = [text_shingles(np.frombuffer(" ".join(t).encode(), np.uint8)) for t in (x, y)]
+    a, b = (neardup.signature(h) for h in hashes)
+    least = (neardup._A * hashes[0][None, :] + neardup._B).argmin(axis=1)
+    rows = [(1000, " ".join(x)), (1001, " ".join(y))]
+    for k in range(neardup.BANDS):
+        band = slice(neardup.ROWS * k, neardup.ROWS * (k + 1))
+        if (a[band] == b[band]).all():
+            for _ in range(200):  # the words added must not take the band's minima over
+                text = prose(rng, 8) + " " + " ".join(" ".join(x[p:p + 5]) + " " + prose(rng, 1) for p in least[band])
+                t = neardup.signature(text_shingles(np.frombuffer(text.encode(), np.uint8)))
+                if (t[band] == a[band]).all():
+                    break
+            rows += [(k * 30 + j, f"{text} {prose(rng, 1)}") for j in range(30)]
+    return rows
+
+
+def test_near_copies_whose_hubs_are_unlike_them(spark):
+    rows = unlike_hubs()
+    x, y = (shingles(t) for _, t in rows[:2])
+    assert 100 * len(x & y) >= 75 * len(x | y) and len(rows) > 90
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1001] == got[1000] == 1000
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 8), (3, 1), (None, 4), (20, 10), (10, 5), (5, 30)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
