@@ -25,6 +25,8 @@ are returned, unlinked, with null ``component_id`` and ``kept`` true.  Other col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -181,6 +183,32 @@ def _added(links: DataFrame, comp: DataFrame, tested: DataFrame) -> tuple[DataFr
     return links, cut_lineage(connected_components(links))
 
 
+def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components after members of one key in ``ranked(key, doc, rank)`` have joined or met each other.
+
+    All meet the first member; then those outside the key's main component meet the next ones, ``STEP`` times as
+    many each round.  The main is chosen once, as the component of a fixed document: it only grows, so of two
+    members that are not in it together, one is late whenever the other is a target.
+    """
+    last, lo, mains = ranked.agg(F.max("rank")).first()[0] or 0, 0, None
+    while lo <= last:
+        upto = max(1, lo * STEP)
+        now = _with_component(ranked, "doc", comp, "comp")
+        late = now
+        if lo:
+            if mains is None:
+                mains = cut_lineage(now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+                    F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+                    "key", F.col("m.comp").alias("first")))
+            late = now.join(_with_component(mains, "first", comp, "main"), "key").where("comp <> main")
+        late = late.select("key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
+        targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
+        pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
+        links, comp = _added(links, comp, test(pairs))
+        lo = upto
+    return comp
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
     signed_docs = cut_lineage(signatures(docs))
@@ -208,19 +236,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, comp = _added(links, comp, _verified(_likely(_by_size(tested, comp), sigs), texts))
     rest = cut_lineage(_by_additions(tested, comp).join(weight, "doc"))
     ranked = cut_lineage(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
-    last, lo = ranked.agg(F.max("rank")).first()[0] or 0, 0
-    while lo <= last:
-        upto = max(1, lo * STEP)
-        now = _with_component(ranked, "doc", comp, "comp")
-        mains = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-            F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
-            "key", F.col("m.comp").alias("main"))
-        late = now.join(mains, "key").where((F.col("comp") != F.col("main")) | F.lit(lo == 0)).select(
-            "key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
-        targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
-        pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
-        links, comp = _added(links, comp, _verified(_likely(pairs, sigs), texts))
-        lo = upto
+    comp = _ranked_rounds(ranked, links, comp, lambda pairs: _verified(_likely(pairs, sigs), texts))
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_c"))

@@ -137,6 +137,23 @@ def test_near_copies_whose_hubs_are_unlike_them(spark):
     assert got[1001] == got[1000] == 1000
 
 
+def test_members_of_an_outgrown_main_component_still_meet(spark):
+    """X and Z join and outgrow M, the first main; the only link between x in X and y in M must be tested all the same."""
+    x, z, m = range(0, 12), range(100, 112), range(200, 220)
+    order = [x[1], z[1], x[0], *z[2:], *x[2:], z[0], *m]
+    ranked = spark.createDataFrame([(1, d, k) for k, d in enumerate(order)], "key long, doc long, rank long")
+    comp = spark.createDataFrame([(d, g[0]) for g in (x, z, m) for d in g], "node long, component long")
+    links = spark.createDataFrame([(g[0], d) for g in (x, z, m) for d in g[1:]], "a long, b long")
+    linked = {frozenset((z[1], x[2])), frozenset((x[0], m[19]))}
+    assert order.index(m[19]) >= neardup.STEP > order.index(x[0])
+
+    def verify(pairs):
+        found = [(r.hub, r.mem, frozenset((r.hub, r.mem)) in linked) for r in pairs.collect()]
+        return spark.createDataFrame(found, "a long, b long, link boolean")
+    got = {r.node: r.component for r in neardup._ranked_rounds(ranked, links, comp, verify).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 8), (3, 1), (None, 4), (20, 10), (10, 5), (5, 30)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
