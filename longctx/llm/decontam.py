@@ -2,11 +2,11 @@
 
 1. Words are runs of letters and digits of the lower-cased text.  An item is its word sequence;
    its tokens are the 5-word shingles with their counts (fewer words: the whole sequence).
-2. Windows have the length of an item.  Only windows that share a shingle with an item can be
-   similar to one of that length, and they lie where the shared shingle puts them, so those are
-   the windows that get a fingerprint.  A similar window misses at most a seventh of its shingles;
-   five-word shingles of a document are therefore looked up at every ``stride``-th position only, with
-   the largest stride up to ``MAX_STRIDE`` for which no similar window can escape (``_stride``).
+2. Windows have the length of an item.  A similar window misses at most a seventh of its shingles, so
+   shingles of a document are looked up in those of all items of a length, at every ``stride``-th position
+   only, with the largest stride up to ``MAX_STRIDE`` for which no similar window can escape (``_stride``).
+   Every window in which few enough of the places looked up miss gets a fingerprint, wherever in the item
+   the shared shingles stand, so items whose parts are in another order are found too (``_starts``).
 3. A window's fingerprint is a 128-bit SimHash of its words.  It is cut in ``BLOCKS`` blocks.
    Two fingerprints that differ in at most ``RADIUS = BLOCKS - 1`` bits agree in some block, so a
    join on (length, block, value) finds all pairs within the radius.  At similarity 0.75 the
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longctx.llm.prefilter import key_bitmap, may_match
 from longctx.session import cut_lineage
 
 SHINGLE = 5
@@ -79,9 +80,27 @@ def _similarity(a: str, b: str) -> Column:
 def _stride(sizes: list[int]) -> int:
     """Largest step g <= MAX_STRIDE such that any similar window shows a shared shingle at a multiple of g.
 
-    At most n // 7 of the n shingles of a window are missing, and at least n // g positions are looked up.
+    A window of n shingles, or of ``a`` of them at an end of the text, is similar to n others only if it
+    misses at most (4 a - 3 n) // 7, and at least a // g positions are looked up.
     """
-    return max(g for g in range(1, MAX_STRIDE + 1) if g == 1 or all(n // g > n // 7 for n in sizes))
+    return max(g for g in range(1, MAX_STRIDE + 1) if g == 1 or all(
+        a // g > (4 * a - 3 * n) // 7 for n in sizes for a in range(-(-3 * n // 4), n + 1)))
+
+
+def _starts(hits: DataFrame, step: int) -> DataFrame:
+    """(doc_id, t, n, at): all starts of windows of n words that can be similar to an item of n words.
+
+    ``hits(doc_id, t, size, n, p)`` are the places looked up whose shingle an item of that length has, at
+    whatever place.  Of the places looked up in a window at most as many miss as shingles may.
+    """
+    one = hits.select("doc_id", "t", "n", "p", F.expr(f"greatest(n - {SHINGLE - 1}, 1)").alias("m"), F.expr(
+        f"size - least(n, {SHINGLE}) + 1").alias("len"), F.expr(f"if(n >= {SHINGLE}, {step}, 1)").alias("g")).distinct()
+    one = one.withColumn("first", F.expr("greatest(p - m + 1, (3 * m + 3) div 4 - m)")).withColumn(
+        "last", F.expr("least(p, len - (3 * m + 3) div 4)")).where("first <= last")
+    at = one.select("doc_id", "t", "n", "m", "len", "g", F.expr("explode(sequence(int(first), int(last)))").alias("at"))
+    many = at.groupBy("doc_id", "t", "n", "m", "len", "g", "at").agg(F.count(F.lit(1)).alias("hits")).withColumn(
+        "lo", F.expr("greatest(at, 0)")).withColumn("hi", F.expr("least(at + m, len)"))
+    return many.where("(hi + g - 1) div g - (lo + g - 1) div g - hits <= (4 * (hi - lo) - 3 * m) div 7").select("doc_id", "t", "n", "at")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,33 +118,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = shape["lengths"]  # as many as items have lengths
     step = _stride([n - SHINGLE + 1 for n in lengths if n >= SHINGLE])
     looks = [_runs("w", k) for k in range(1, SHINGLE) if k in lengths] + [_runs("w", SHINGLE, step)]
-    seeds = items.select("n", F.inline("s")).select("n", F.col("p").alias("o"), "h").distinct()
+    seeds = items.select("n", F.expr("inline(s)")).select("n", "h").distinct()
 
-    parts = docs.where("doc_id is not null and text is not null").select("doc_id", words(F.col("text")).alias("w"))
-    looked = parts.select("doc_id", "w", F.expr(f"concat({', '.join(looks)})").alias("s"))
-    at = (F.col("p") - F.col("o")).alias("at")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
+    looked = docs.select("doc_id", "t", words(F.col("text")).alias("w")).select(
+        "doc_id", "t", F.size("w").alias("size"), F.expr(f"concat({', '.join(looks)})").alias("s"))
     # inline_outer: from a plain inline the optimiser infers a filter on the array and pushes it below the
     # words, which would split the text again for every place; the join drops the null rows anyway
-    if shape["total"] <= BROADCAST_SHINGLES:
-        # the words ride along in the task and are cut to the window as soon as a shingle matches
-        hits = looked.select("doc_id", "w", F.inline_outer("s")).join(F.broadcast(seeds), "h").select(
-            "doc_id", "w", "n", at)
-    else:
-        found = looked.select("doc_id", F.inline_outer("s")).join(seeds, "h").select(
-            "doc_id", "n", at).distinct()
-        hits = found.join(parts, "doc_id")
-    first = F.greatest(F.col("at"), F.lit(0))
-    win = hits.select("doc_id", "n", "at", F.slice("w", first + 1, F.col("n") + F.col("at") - first).alias("w"))
-    win = win.groupBy("doc_id", "n", "at").agg(F.min("w").alias("w"))
-    win = cut_lineage(win.select("doc_id", "n", "at", "w", _shingles("w").alias("s"), *_simhash("w")))
-
-    mine = win.select("doc_id", "at", "n", "f1", "f2", F.inline(_blocks()))
+    looked = looked.select("doc_id", "t", "size", F.inline_outer("s"))
+    hits = looked.join(F.broadcast(seeds) if shape["total"] <= BROADCAST_SHINGLES else seeds, "h")
+    starts = cut_lineage(_starts(hits, step).groupBy("doc_id", "t").agg(F.collect_list(F.struct("n", "at")).alias("starts")))
+    held = may_match(docs, "doc_id", key_bitmap(starts, "doc_id")).select("doc_id", "t", words(F.col("text")).alias("w"))
+    win = held.join(starts, ["doc_id", "t"]).select("doc_id", "t", F.inline_outer(F.expr(
+        "transform(starts, x -> struct(x.n as n, x.at as at, "
+        "slice(w, greatest(x.at, 0) + 1, x.n + least(x.at, 0)) as w))")))
+    win = win.groupBy("doc_id", "t", "n", "at").agg(F.min("w").alias("w"))
+    win = cut_lineage(win.select("doc_id", "t", "n", "at", "w", _shingles("w").alias("s"), *_simhash("w")))
+
+    mine = win.select("doc_id", "t", "at", "n", "f1", "f2", F.inline(_blocks()))
     theirs = items.select("item_id", "n", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.inline(_blocks()))
     close = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2"))) <= RADIUS
-    near = mine.join(theirs, ["n", "block", "value"]).where(close).select("doc_id", "at", "n", "item_id").distinct()
-    scored = near.join(win.select("doc_id", "at", "n", "s"), ["doc_id", "at", "n"]).join(
-        items.select("item_id", "n", F.col("s").alias("t")), ["item_id", "n"]).select(
-        "doc_id", "item_id", "at", _similarity("s", "t").alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    near = mine.join(theirs, ["n", "block", "value"]).where(close).select("doc_id", "t", "at", "n", "item_id").distinct()
+    scored = near.join(win.select("doc_id", "t", "at", "n", "s"), ["doc_id", "t", "at", "n"]).join(
+        items.select("item_id", "n", F.col("s").alias("own")), ["item_id", "n"]).select(
+        "doc_id", "item_id", "at", _similarity("s", "own").alias("similarity")).where(F.col("similarity") >= SIMILARITY)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.greatest("at", F.lit(0))).alias("at"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.at")).alias("start_word"))
 

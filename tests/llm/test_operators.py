@@ -221,6 +221,16 @@ def test_contaminated_equals_brute_force(spark, docs):
     assert decontam.contaminated(table, bench.where("1 = 0")).count() == 0
 
 
+def test_contaminated_by_a_reordered_item(spark):
+    rng = random.Random(12)
+    one, two = prose(rng, 20), prose(rng, 20)
+    table = [(k, f"{prose(rng, 30 + k)} {two} {one} {prose(rng, 25)}") for k in range(4)] + [(9, f"{two} {prose(rng, 50)} {one}"), (10, f"{two} {one}")]
+    got = {(r.doc_id, r.item_id, r.start_word): r.similarity for r in decontam.contaminated(
+        spark.createDataFrame(table, "doc_id long, text string"),
+        spark.createDataFrame([(1, f"{one} {two}")], "item_id long, text string")).collect()}
+    assert got == {(k, 1, 30 + k): 0.8 for k in range(4)} | {(10, 1, 0): 0.8}
+
+
 def test_quality_counts_and_verdicts(spark, docs):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60) + ".", "en", "s") for i in range(200)]
