@@ -178,6 +178,30 @@ def test_repeated_passages(docs):
     assert not clean & {r.doc_id for r in got}
 
 
+def test_near_copies_miss_rate_with_context():
+    """Tokens of 50 words of which some are changed: chance that no hash function gives a shared key."""
+    n, size, worst = substrings.MIN_TOKENS, substrings.MIN_WORDS, {}
+    edits = [e for k in (1, 2) for e in itertools.combinations(range(size), k)]
+    edits += [(*range(x), *range(size - y, size)) for x in range(7) for y in range(7 - x)]  # more of them only fit at the ends
+    for changed in edits:
+        gone = {t for p in changed for t in range(p - 4, p + 1) if 0 <= t < n}
+        if n - len(gone) >= substrings.MIN_MATCH:
+            left = set(range(n)) - gone
+            found = sum(c - substrings.CONTEXT in left or c + substrings.CONTEXT in left for c in left) / (n + len(gone))
+            worst[len(changed)] = max(worst.get(len(changed), 0), (1 - found) ** substrings.HASHES)
+    assert worst[1] <= 0.008 and max(worst.values()) <= 0.015
+
+
+def test_passages_with_one_changed_word(spark):
+    rng, rows = random.Random(21), []
+    for k in range(60):
+        passage = prose(rng, 50).split()
+        edited = [*passage[:20 + k % 10], "changed", *passage[21 + k % 10:]]
+        rows += [(2 * k + j, f"{prose(rng, 30)} {' '.join(p)} {prose(rng, 30)}") for j, p in enumerate((passage, edited))]
+    got = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(120))
+
+
 def test_remove_repeats_keeps_first_and_rest(docs):
     left = substrings.remove_repeats(docs)
     assert left.columns == docs.columns
