@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longctx.llm import decontam, langid, mainhtml, nbsvm, neardup, quality, spm, substrings, urls, warc
+from longctx.llm import (align, decontam, langid, mainhtml, nbsvm, neardup, quality, resample, sharding, spm, substrings,
+                         urls, warc)
 from longctx.session import ensure_checkpoint_dir
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -96,7 +98,30 @@ def op10_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark's word n-grams; every document's weight."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    out = resample.resample(docs, _table(spark, sf, "benchmark"), ["doc_id"])
+    return out.select("row.doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """24 shards of near equal bytes; equal texts stay together."""
+    out = sharding.assign(_table(spark, sf, "documents").select("doc_id", "text"), 24, ["doc_id"])
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of the byte-level and the SentencePiece tokens of every document, with corpus counts."""
+    out = align.aligned(_table(spark, sf, "documents").select("doc_id", "text"), BYTE_BPE_PATH, MODEL_PATH, ["doc_id"],
+                        groups="sha256")
+    return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_url_filter, op3_sentencepiece, op4_decontamination, op5_main_text, op6_repeated_passages,
-    op7_quality_rules, op8_warc, op9_quality_classifier, op10_minhash)}
+    op7_quality_rules, op8_warc, op9_quality_classifier, op10_minhash, op11_importance_resampling, op12_sharding,
+    op13_token_alignment)}
 ORACLE: dict[str, str] = {}
