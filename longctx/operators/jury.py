@@ -2,24 +2,35 @@
 
 Verdicts are long-form rows ``(row_key, judge_id, …)``; the jury is a ``groupBy(row_key)``
 over them, so the vote for a row is a handful of rows (one per judge) — bounded by the
-jury size whatever the data size.  Free checks run first: rows failing the conciseness
+jury size whatever the data size.  Free checks run first (``triage``): rows failing the conciseness
 gate never reach a judge, rows with a cached verdict never reach a judge again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longctx.functions.keys import scoring_key
 from longctx.functions.verdict import coerce_bool, extract_json, is_object, py_strip, rationale
 from longctx.operators.metrics import HEURISTIC_COLS, conciseness, text_metrics
+from longctx.operators.ordinal import ordinal_within
+from longctx.session import shared_table
 
+# Fixed values that must equal the reference's: output columns and texts of the jury.
 JUDGE_COLS = ["judge_concise", "judge_complete", "judge_accurate", "judge_correct", "judge_votes",
               "judge_rationales", "judge_input_tokens", "judge_output_tokens", "judge_thinking_tokens",
               "judge_error"]
+_MAP = "map<string,bigint>"
+JUDGE_TYPES = [("judge_concise", "int"), ("judge_complete", "int"), ("judge_accurate", "int"), ("judge_correct", "int"),
+               ("judge_votes", "map<string,boolean>"), ("judge_rationales", "map<string,string>"),
+               ("judge_input_tokens", _MAP), ("judge_output_tokens", _MAP), ("judge_thinking_tokens", _MAP),
+               ("judge_error", "string")]
 UNPARSEABLE = "unparseable verdict"
 EMPTY_RESPONSE = "empty response"
+PENDING = ["row_key", "prompt", "human_validated_answer", "response"]
 
 
 def parse_verdicts(df: DataFrame, text: str = "verdict_text", response: str = "response") -> DataFrame:
@@ -68,9 +79,22 @@ def _sorted_map(key: str, value: Column) -> Column:
     return F.map_from_entries(entries)
 
 
+def one_vote_each(votes: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
+    """One row per (key, judge): the greatest ``seq`` if there is such a column, then the greatest row.
+
+    Rows are dealt by the key alone, so the jury's aggregate needs no second shuffle.
+    """
+    rest = [c for c in votes.columns if c not in (*key, "judge_id")]
+    order = [seq] * (seq in rest) + [c for c in rest if c != seq]
+    last = F.max(F.struct(*order)).alias("_last")
+    return votes.repartition(*key).groupBy(*key, "judge_id").agg(last).select(*key, "judge_id", "_last.*")
+
+
 def jury_verdict(votes: DataFrame, key: list[str], threshold: int = 2) -> DataFrame:
     """Majority pass, per-criterion majority, per-judge maps, joined errors.
 
+    A judge that appears more than once for a key counts once (``one_vote_each``).
+
     ``threshold`` is the reference's fixed 2 (Q12).  Maps are keyed and ordered by judge id
     (Q13).  Token maps need ``prompt_tokens, cache_creation_input_tokens,
     cache_read_input_tokens, completion_tokens, thinking_tokens`` when present.
@@ -79,6 +103,9 @@ def jury_verdict(votes: DataFrame, key: list[str], threshold: int = 2) -> DataFr
         return F.coalesce(F.col(c), F.lit(0)).cast("bigint") if c in votes.columns else F.lit(0).cast("bigint")
 
     valid = F.col("valid")
+    wide = ["vote", "note", "valid", "complete", "accurate", "vote_error", "seq", "prompt_tokens",
+            "cache_creation_input_tokens", "cache_read_input_tokens", "completion_tokens", "thinking_tokens"]
+    votes = one_vote_each(votes.select(*key, "judge_id", *[c for c in wide if c in votes.columns]), key)
     agg = votes.groupBy(*key).agg(
         F.count_if(valid).alias("n_valid"),
         F.count_if(valid & F.col("vote")).alias("n_pass"),
@@ -99,29 +126,26 @@ def jury_verdict(votes: DataFrame, key: list[str], threshold: int = 2) -> DataFr
             .drop("_c_yes", "_a_yes"))
 
 
-def split_cache(rows: DataFrame, cache: DataFrame | None, retry_errors: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(cached, pending) by ``row_key``.  A cache row counts when it has a verdict or an
-    error (P17); errored ones are retried only with ``retry_errors`` (Q10).  Last duplicate
-    of a key wins (W5) through ``seq`` when present."""
-    if cache is None:
-        return rows.limit(0), rows
-    c = cache.where(F.col("judge_correct").isNotNull() | (F.trim(F.coalesce(F.col("judge_error"), F.lit(""))) != ""))
-    if retry_errors:
-        c = c.where(F.trim(F.coalesce(F.col("judge_error"), F.lit(""))) == "")
-    if "seq" in c.columns:
-        c = c.groupBy("row_key").agg(F.max_by(F.struct(*[x for x in c.columns if x not in ("row_key",)]),
-                                               F.col("seq")).alias("_s")).select("row_key", "_s.*").drop("seq")
-    else:
-        c = c.dropDuplicates(["row_key"])
-    judge_cols = [x for x in JUDGE_COLS if x in c.columns]
-    cached = rows.drop(*[x for x in JUDGE_COLS if x in rows.columns]).join(c.select("row_key", *judge_cols), "row_key")
-    pending = rows.join(c.select("row_key"), "row_key", "left_anti")
-    return cached, pending
+def has_verdict() -> Column:
+    """A stored row with a verdict or an error."""
+    return F.col("judge_correct").isNotNull() | (F.trim(F.coalesce(F.col("judge_error"), F.lit(""))) != "")
 
 
-def fan_out(pending: DataFrame, judges: DataFrame) -> DataFrame:
-    """Each pending row once per judge (the jury is a few rows: broadcast)."""
-    return pending.crossJoin(F.broadcast(judges))
+def cached_verdicts(cache: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """One usable stored verdict per ``row_key``: the last by ``seq`` (W5) if there is such a column, then the
+    greatest row; all of ``JUDGE_COLS``, absent ones as null.  Errors count unless ``retry_errors`` (Q10)."""
+    types = dict(JUDGE_TYPES)
+    for c in JUDGE_COLS:
+        if c not in cache.columns:
+            cache = cache.withColumn(c, F.lit(None).cast(types[c]))
+    usable = cache.where(has_verdict())
+    if retry_errors:
+        usable = usable.where(F.trim(F.coalesce(F.col("judge_error"), F.lit(""))) == "")
+    order = ["seq"] if "seq" in cache.columns else []
+    plain = [F.map_entries(c).alias(c) if types[c].startswith("map") else F.col(c) for c in JUDGE_COLS]  # maps have no order
+    last = usable.select("row_key", F.struct(*order, *plain).alias("_s")).groupBy("row_key").agg(F.max("_s").alias("_s"))
+    return last.select("row_key", *[(F.map_from_entries(f"_s.{c}") if types[c].startswith("map") else F.col(f"_s.{c}")).alias(c)
+                                    for c in JUDGE_COLS])
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -131,47 +155,78 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("row_key", scoring_key(*cols))
 
 
-def score_rows(responses: DataFrame, id_cols: list[str], judge_verdicts: DataFrame | None,
+def triage(responses: DataFrame, id_cols: list[str], cache: DataFrame | None = None, retry_errors: bool = False,
+           limit: int | None = None, with_lcs: bool = True) -> DataFrame:
+    """V8, first half: every response with its heuristics and what becomes of it, before any judge is asked.
+
+    ``scored_from``: ``cache`` (a stored verdict, in the judge columns), ``gate0`` (not concise), ``jury`` (to be judged) or
+    ``deferred`` (beyond the first ``limit`` rows without a stored verdict, in id order, L2).  The heuristics are computed once,
+    in one Python stage, and the result is written, so that judging does not compute them again.
+    """
+    rows = conciseness(text_metrics(with_row_key(responses.drop(*JUDGE_COLS)), id_cols, with_lcs=with_lcs))
+    if cache is None:
+        for c, t in JUDGE_TYPES:
+            rows = rows.withColumn(c, F.lit(None).cast(t))
+        rows = rows.withColumn("_hit", F.lit(False))
+    else:
+        rows = rows.join(cached_verdicts(cache, retry_errors).withColumn("_hit", F.lit(True)), "row_key", "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    outcome = F.when(hit, "cache").when(~F.col("concise"), "gate0").otherwise("jury")
+    rows, _ = shared_table(rows.withColumn("scored_from", outcome).drop("_hit"), "triage")
+    if limit is not None:
+        waiting = rows.where(F.col("scored_from") != "cache").select(*id_cols)
+        late = ordinal_within(waiting, [], id_cols, "_at").where(F.col("_at") >= limit).select(*id_cols).distinct()
+        rows = rows.join(late.withColumn("_late", F.lit(True)), id_cols, "left").withColumn(
+            "scored_from", F.when((F.col("scored_from") != "cache") & F.col("_late"), "deferred")
+            .otherwise(F.col("scored_from"))).drop("_late")
+    return rows
+
+
+def score_rows(responses: DataFrame, id_cols: list[str], judged_by: Callable[[DataFrame], DataFrame] | DataFrame | None,
                cache: DataFrame | None = None, threshold: int = 2, with_lcs: bool = True,
                retry_errors: bool = False, limit: int | None = None) -> DataFrame:
-    """V7/V8: heuristics for every row, cached verdicts, gate 0 and the jury for the rest.
-
-    Order as in the reference: the cache split comes first; pending rows failing the gate
-    get concise 0 / correct 0 and blank judge columns without any judge call; the others
-    get concise 1 and the jury columns.  ``judge_verdicts``: long form ``(row_key,
-    judge_id, verdict_text, [usage…], [call_error])`` — from a table, or from
-    ``respond.judge`` (X3) run on the gated pending rows.  ``scored_from`` tells where a
-    row's verdict came from.  ``limit`` (L2) judges only the first N pending rows in id
-    order; the others are kept with blank judge columns (``scored_from = 'deferred'``).
+    """V7/V8: heuristics for every row, stored verdicts, gate 0 and the jury for the rest.
+
+    The cache and the gate come first (``triage``): only rows that are left reach ``judged_by``, a function of the pending
+    rows (``row_key, prompt, human_validated_answer, response``, one per key) that returns long-form verdicts ``(row_key,
+    judge_id, verdict_text, [usage…], [call_error])``, such as ``respond.settle_verdicts``; or a table of such verdicts.  Rows
+    failing the gate get concise 0 / correct 0 and blank judge columns; without ``judged_by`` the others
+    stay unjudged.  ``scored_from`` tells where a row's verdict came from.  Every row of ``responses`` is kept.
     """
-    rows = conciseness(text_metrics(with_row_key(responses), id_cols, with_lcs=with_lcs))
-    cached, pending = split_cache(rows, cache, retry_errors)
-    pending, deferred = limit_work(pending, id_cols, limit)
-    deferred = deferred.withColumn("scored_from", F.lit("deferred"))
-    gated = (pending.where(~F.col("concise"))
-             .withColumn("judge_concise", F.lit(0)).withColumn("judge_correct", F.lit(0))
-             .withColumn("scored_from", F.lit("gate0")))
-    passed = pending.where(F.col("concise"))
-    if judge_verdicts is not None:
-        keyed = judge_verdicts.join(passed.select("row_key", "response").dropDuplicates(["row_key"]), "row_key")
-        v = jury_verdict(assemble_votes(parse_verdicts(keyed)), ["row_key"], threshold)
-        judged = passed.join(v.drop("n_valid", "n_pass"), "row_key", "left")
+    rows = triage(responses, id_cols, cache, retry_errors, limit, with_lcs)
+    kind = F.col("scored_from")
+    pending = rows.where(kind == "jury").select(*PENDING).dropDuplicates(["row_key"])
+    given = judged_by(pending) if callable(judged_by) else judged_by
+    if given is None:
+        verdicts = None
     else:
-        judged = passed
-    judged = judged.withColumn("judge_concise", F.lit(1)).withColumn("scored_from", F.lit("jury"))
-    cached = cached.withColumn("scored_from", F.lit("cache"))
-    return (gated.unionByName(judged, allowMissingColumns=True).unionByName(cached, allowMissingColumns=True)
-            .unionByName(deferred, allowMissingColumns=True))
+        keyed = given.join(pending.select("row_key", "response"), "row_key")
+        verdicts = jury_verdict(assemble_votes(parse_verdicts(keyed)), ["row_key"], threshold)
+    columns = [c for c in rows.columns if c not in JUDGE_COLS]
+    new = [c for c in JUDGE_COLS if c != "judge_concise"]
+    if verdicts is not None:
+        rows = rows.join(verdicts.select("row_key", *[F.col(c).alias(f"_new_{c}") for c in new]), "row_key", "left")
+    out = [F.when(kind == "cache", F.col("judge_concise")).when(kind == "gate0", F.lit(0)).when(kind == "jury", F.lit(1))
+           .alias("judge_concise")]
+    for c in new:
+        value = F.when(kind == "cache", F.col(c))
+        if c == "judge_correct":
+            value = value.when(kind == "gate0", F.lit(0))
+        if verdicts is not None:
+            value = value.when(kind == "jury", F.col(f"_new_{c}"))
+        out.append(value.alias(c))
+    return rows.select(*columns, *out)
 
 
 def scoring_stats(scored: DataFrame) -> DataFrame:
-    """A5: total, gate-0 failures, judged, errors."""
+    """A5: total, stored verdicts, gate-0 failures, judged, errors of this run (not those in stored verdicts), passed."""
+    error = F.coalesce(F.col("judge_error"), F.lit("")) != ""
     return scored.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("scored_from") == "cache").alias("cached"),
         F.count_if(F.col("scored_from") == "gate0").alias("gate0_fail"),
         F.count_if(F.col("scored_from") == "jury").alias("judged"),
-        F.count_if(F.coalesce(F.col("judge_error"), F.lit("")) != "").alias("errors"),
+        F.count_if((F.col("scored_from") == "jury") & error).alias("errors"),
         F.count_if(F.col("judge_correct") == 1).alias("passed"),
     )
 
@@ -186,14 +241,3 @@ def judge_request_text(question: Column, reference: Column, response: Column) ->
     c = lambda x: F.coalesce(x, F.lit(""))
     return F.concat(F.lit("QUESTION:\n"), c(question), F.lit("\n\nREFERENCE ANSWER (ground truth):\n"), c(reference),
                     F.lit("\n\nMODEL RESPONSE (to evaluate):\n"), c(response), F.lit("\n"))
-
-
-def limit_work(rows: DataFrame, order_cols: list[str], n: int | None) -> tuple[DataFrame, DataFrame]:
-    """L2: the first ``n`` rows (in ``order_cols`` order) are worked on; the rest are kept
-    untouched, never dropped (Q8).  Ranked with the skew-safe ordinal, no global collect."""
-    if n is None:
-        return rows, rows.limit(0)
-    from longctx.operators.ordinal import ordinal_within
-    ranked = ordinal_within(rows, [], order_cols, "_work_ord")
-    return (ranked.where(F.col("_work_ord") < n).drop("_work_ord"),
-            ranked.where(F.col("_work_ord") >= n).drop("_work_ord"))

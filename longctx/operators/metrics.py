@@ -23,7 +23,8 @@ from longctx.functions.lcs import lcs_udf
 from longctx.functions.text import stripped_len, tokens
 
 MAX_N = 4
-LOG_FLOOR = math.log(1e-9)  # fixed value: log precision used when a response has no n-grams
+# Fixed values that must equal the reference's: log precision of a response without n-grams, output columns.
+LOG_FLOOR = math.log(1e-9)
 HEURISTIC_COLS = ["exact_match", "token_f1", "rouge1_f1", "rouge2_f1", "rougeL_f1", "bleu"]
 
 
@@ -75,8 +76,9 @@ def text_metrics(df: DataFrame, id_cols: list[str], ref: str = "human_validated_
     ``method``:
     * ``rowwise`` (default): tokens are built by native regex functions; the multiset
       overlaps and the LCS of each pair are counted by one Arrow UDF over the two token
-      arrays.  Each pair is a row-local computation, so there is no shuffle at all —
-      measured 10x faster than the shuffle form at sf0.1, and linear in text size.
+      arrays, a row-local computation without a shuffle.  Measured at sf0.1: 23 s against 51 s for
+      the shuffle form.  The overlaps are linear in the texts, the LCS is O(n·m / word size).  Lengths and
+      equality are native, so a query that needs only those runs no Python.
     * ``explode``: all built-in; the shared n-gram stage (``ngram_overlaps``), one shuffle
       by (id, n, gram), for runtimes without Python workers.
     """
@@ -85,16 +87,17 @@ def text_metrics(df: DataFrame, id_cols: list[str], ref: str = "human_validated_
         from longctx.functions.lcs import overlap_stats_nolcs_udf, overlap_stats_udf
         udf = overlap_stats_udf if with_lcs else overlap_stats_nolcs_udf
         out = base.withColumn("_st", udf(F.col("_rt"), F.col("_pt")))
-        fields = [f"{k}_{n}" for n in range(1, MAX_N + 1) for k in ("ov", "ref", "pred")]
-        out = out.select(*base.columns, *[F.col(f"_st.{c}").alias(c) for c in fields],
-                         F.col("_st.same").alias("_same"), F.col("_st.lcs").alias("_lcs")).drop("_st")
+        out = out.select(*base.columns, *[F.col(f"_st.ov_{n}").alias(f"ov_{n}") for n in range(1, MAX_N + 1)],
+                         F.col("_st.lcs").alias("_lcs"))
     else:
-        ov = ngram_overlaps(df, id_cols, ref, pred)
+        ov = ngram_overlaps(df, id_cols, ref, pred).select(*id_cols, *[f"ov_{n}" for n in range(1, MAX_N + 1)])
         out = base.join(ov, id_cols, "left")
         for n in range(1, MAX_N + 1):
-            for c in (f"ov_{n}", f"ref_{n}", f"pred_{n}"):
-                out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("bigint"))
-        out = out.withColumn("_same", F.col("_rt") == F.col("_pt"))
+            out = out.withColumn(f"ov_{n}", F.coalesce(F.col(f"ov_{n}"), F.lit(0)).cast("bigint"))
+    out = out.withColumn("_same", F.col("_rt") == F.col("_pt"))
+    for n in range(1, MAX_N + 1):
+        for side, toks in (("ref", "_rt"), ("pred", "_pt")):
+            out = out.withColumn(f"{side}_{n}", F.greatest(F.size(toks) - (n - 1), F.lit(0)).cast("bigint"))
     out = out.withColumn("n_ref_tokens", F.col("ref_1")).withColumn("n_pred_tokens", F.col("pred_1"))
     lr, lp = F.col("n_ref_tokens"), F.col("n_pred_tokens")
     both_empty, one_empty = (lr == 0) & (lp == 0), (lr == 0) | (lp == 0)
@@ -127,11 +130,12 @@ def text_metrics(df: DataFrame, id_cols: list[str], ref: str = "human_validated_
 
 
 def round_metrics(df: DataFrame, digits: int = 4) -> DataFrame:
-    """M10 at the sink: half-even rounding of the six metrics (the stored values stay exact)."""
-    for c in HEURISTIC_COLS:
-        if c in df.columns:
-            df = df.withColumn(c, F.bround(F.col(c), digits))
-    return df
+    """M10 at the sink: half-even rounding of the six metrics (the stored values stay exact).
+
+    A metric that was not computed becomes a null column, so the output always has all six."""
+    return df.select(*[c for c in df.columns if c not in HEURISTIC_COLS],
+                     *[(F.bround(F.col(c), digits) if c in df.columns else F.lit(None).cast("double")).alias(c)
+                       for c in HEURISTIC_COLS])
 
 
 def conciseness(df: DataFrame, ref: str = "human_validated_answer", pred: str = "response") -> DataFrame:

@@ -273,12 +273,8 @@ def responses_export(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ reports
 
 def fixture_scored(spark, sf):
-    """Scored view for the reports: gate 0 then a token-overlap verdict (blank → undetermined)."""
-    from longctx.operators.metrics import conciseness, text_metrics
-    m = conciseness(text_metrics(fx.responses_df(spark, sf), RESPONSE_ID, with_lcs=False))
-    jc = (F.when(~F.col("concise"), F.lit(0)).when(F.col("n_pred_tokens") == 0, F.lit(None))
-          .otherwise((F.col("ov_1") * 2 >= F.col("n_ref_tokens")).cast("int")))
-    return m.withColumn("judge_correct", jc.cast("int"))
+    """The rows of the scoring run."""
+    return _score(spark, sf, False).select(*RESPONSE_ID, "difficulty", "judge_correct")
 
 
 @register
@@ -422,55 +418,57 @@ def generation_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ full scoring run
 
-JUDGES = ["j0", "j1", "j2"]
-
-
-def rule_judge_verdicts(rows: DataFrame) -> DataFrame:
-    """A deterministic three-judge panel written as column logic (no external calls): each
-    judge emits raw text in a different shape, which the V3–V5 parser then has to read."""
-    f1, em, r1, r2, bl = (F.col(c) for c in ("token_f1", "exact_match", "rouge1_f1", "rouge2_f1", "bleu"))
-    yes = lambda c: F.when(c, F.lit("true")).otherwise(F.lit("false"))
-    j0 = F.concat(F.lit('{"complete": '), yes(f1 >= 0.5), F.lit(', "accurate": '), yes(em == 1),
-                  F.lit(', "rationale": " overlap check "}'))
-    j1 = F.concat(F.lit('```json\n{"complete": "'), F.when(r1 >= 0.5, "yes").otherwise("no"),
-                  F.lit('", "accurate": '), F.when(r2 >= 0.5, "1").otherwise("0"), F.lit("}\n```"))
-    j2 = F.when(F.col("n_pred_tokens") % 7 == 0, F.lit("no verdict")).otherwise(
-        F.concat(F.lit('Verdict: {"complete": true, "accurate": "'), yes(bl >= 0.3), F.lit('"} done')))
-    usage = [F.floor(F.length("prompt") / 4).cast("bigint").alias("prompt_tokens"),
-             F.floor(F.length("response") / 4).cast("bigint").alias("completion_tokens")]
-    out = None
-    for jid, text in zip(JUDGES, (j0, j1, j2)):
-        d = rows.select("row_key", F.lit(jid).alias("judge_id"), text.alias("verdict_text"), *usage)
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-def _score(spark, sf):
+def _scratch(spark, tag: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    import uuid
+    from longctx.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _score(spark, sf, with_lcs: bool, ledger: str | None = None):
+    """The scoring run: stored verdicts and the gate first, then the panel through a call ledger."""
     from longctx.operators.jury import score_rows, with_row_key
-    from longctx.operators.metrics import text_metrics
+    from longctx.operators.respond import settle_verdicts
+    from longctx.plans.clients import JUDGES, rule_judges
     resp = fx.responses_df(spark, sf)
-    # an earlier scoring run: verdicts of the exact-match responder are already cached
-    cache = with_row_key(resp.where(F.col("model") == "m0")).select(
-        "row_key", F.lit(1).alias("judge_correct"), F.lit("").alias("judge_error"),
-        F.lit(1).alias("judge_concise"))
-    panel = rule_judge_verdicts(text_metrics(with_row_key(resp), RESPONSE_ID, with_lcs=False))
-    return score_rows(resp, RESPONSE_ID, panel, cache=cache, with_lcs=True)
+    # an earlier scoring run stored verdicts of responder m0; a later row of a key replaces an earlier one
+    stored = with_row_key(resp.where(F.col("model") == "m0")).select(
+        "row_key", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
+    stored = stored.select("row_key", "seq", F.col("seq").alias("judge_correct"), F.lit("").alias("judge_error"),
+                           F.lit(1).alias("judge_concise"))
+    judges = spark.createDataFrame([(j,) for j in JUDGES], "judge_id string")
+    at = ledger or _scratch(spark, "verdicts")
+    return score_rows(resp, RESPONSE_ID, lambda pending: settle_verdicts(pending, judges, rule_judges, at), cache=stored,
+                      with_lcs=with_lcs)
 
 
 @register
 def score_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Every response scored: heuristics, cache, gate 0, parsed jury verdicts."""
-    s = _score(spark, sf)
+    """Every response scored: heuristics, stored verdicts, gate 0, parsed jury verdicts."""
+    s = _score(spark, sf, True)
     return s.select(*RESPONSE_ID, "row_key", "scored_from", "judge_concise", "judge_correct", "judge_complete",
                     "judge_accurate", F.coalesce(F.col("judge_error"), F.lit("")).alias("judge_error"),
-                    _map_text("judge_votes").alias("votes"), "rougeL_f1", "bleu")
+                    _map_text("judge_votes").alias("votes"), _map_text("judge_rationales").alias("rationales"),
+                    _map_text("judge_input_tokens").alias("input_tokens"), F.round("rougeL_f1", 9).alias("rougeL_f1"),
+                    F.round("bleu", 9).alias("bleu"))
 
 
 @register
 def score_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """A5: totals of the scoring run (cached, gate-0 failures, judged, errors, passed)."""
+    """A5: totals of the scoring run (stored, gate-0 failures, judged, errors, passed)."""
     from longctx.operators.jury import scoring_stats
-    return scoring_stats(_score(spark, sf))
+    return scoring_stats(_score(spark, sf, False))
+
+
+@register
+def judge_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scoring run asked its judges, from the ledger: nothing stored, gated or blank."""
+    from longctx.operators.ledger import CallLedger
+    from longctx.operators.respond import VERDICT_SCHEMA
+    at = _scratch(spark, "verdicts")
+    _score(spark, sf, False, at)
+    asked = CallLedger(spark, at, ["row_key", "judge_id"], VERDICT_SCHEMA).results()
+    return asked.select("row_key", "judge_id", "prompt_tokens", "verdict_text")
 
 
 # ------------------------------------------------------------------ ingest counts
@@ -487,18 +485,12 @@ def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ streaming
 
-def _stream_scratch(spark, tag: str) -> str:
-    import uuid
-    from longctx.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @register
 def latest_status_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The result log replayed as a file stream through the stateful keep-last; the
     live status table read back (equal to the batch keep-last)."""
     from longctx.streaming.status import read_status, start_status_stream
-    root = _stream_scratch(spark, "t1")
+    root = _scratch(spark, "t1")
     log = fx.result_log_df(spark, sf).drop("run_ts")
     log.repartition(4, "seq").write.parquet(f"{root}/log")
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
@@ -510,7 +502,7 @@ def latest_status_stream(spark: SparkSession, sf: str) -> DataFrame:
 def incremental_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Responses arriving per case, scored batch by batch with resume and dedupe."""
     from longctx.streaming.scoring import start_incremental_scoring
-    root = _stream_scratch(spark, "t2")
+    root = _scratch(spark, "t2")
     resp = fx.responses_df(spark, sf)
     resp.repartition(4, "case_uuid").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(resp.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")

@@ -389,18 +389,97 @@ from res r left join (select case_uuid, 'a' || substr(prompt_file, 2) as answer_
 
 # ------------------------------------------------------------------ reports
 
-def _scored_sql():
-    return metrics_sql() + f""",
-c as (select {_ID}, difficulty,
-             length(regexp_replace(coalesce(human_validated_answer, ''), {_WS}, '', 'g')) as rc,
-             length(regexp_replace(coalesce(response, ''), {_WS}, '', 'g')) as pc from responses),
+def _jury_sql():
+    """The scoring run, row by row: the panel's verdicts as booleans instead of texts."""
+    text = "concat('QUESTION:', chr(10), prompt, chr(10), chr(10), 'REFERENCE ANSWER (ground truth):', chr(10), " \
+           "human_validated_answer, chr(10), chr(10), 'MODEL RESPONSE (to evaluate):', chr(10), response, chr(10))"
+    no_json = "'j2: ValueError: no JSON object in judge output'"
+    return f"""
+gate as (select *, length(regexp_replace(human_validated_answer, {_WS}, '', 'g')) as rc,
+                length(regexp_replace(response, {_WS}, '', 'g')) as pc,
+                substr(sha256(concat_ws(chr(31), case_uuid, prompt, model, '', '', '', response)), 1, 24) as row_key,
+                cast(floor(length({text}) / 4) as bigint) as in_tokens,
+                length(human_validated_answer) as nr, length(response) as ng from responses),
+kinds as (select *, case when model = 'm0' then 'cache'
+                         when not (case when rc = 0 then pc = 0 else pc <= 3 * rc end) then 'gate0' else 'jury' end as kind,
+                 pc = 0 as blank from gate),
+panel as (
+  select *, not blank and ng * 2 >= nr as c0, not blank and response = human_validated_answer as a0,
+         not blank and ng >= 120 as c1, not blank and contains(response, substr(human_validated_answer, 1, 20)) as a1,
+         case when blank then false when ng % 7 <> 0 then true end as c2,
+         case when blank then false when ng % 7 <> 0 then ng >= nr * 0.5 end as a2 from kinds),
+tally as (
+  select *, 2 + (c2 is not null)::int as n_valid, (c0 and a0)::int + (c1 and a1)::int + coalesce(c2 and a2, false)::int as n_pass,
+         c0::int + c1::int + coalesce(c2, false)::int as n_c, a0::int + a1::int + coalesce(a2, false)::int as n_a from panel),
 scored as (
-  select m.model, c.difficulty,
-         cast(case when not (case when c.rc = 0 then c.pc = 0 else c.pc <= 3 * c.rc end) then 0
-                   when m.pred_1 = 0 then null
-                   when m.ov_1 * 2 >= m.ref_1 then 1 else 0 end as integer) as judge_correct
-  from m join c using ({_ID}))
+  select case_uuid, prompt_id, model, difficulty, row_key, kind as scored_from, in_tokens, blank,
+         case kind when 'gate0' then 0 else 1 end as judge_concise,
+         cast(case kind when 'cache' then 1 when 'gate0' then 0 else (n_pass >= 2)::int end as integer) as judge_correct,
+         case when kind = 'jury' then (n_c >= 2)::int end as judge_complete,
+         case when kind = 'jury' then (n_a >= 2)::int end as judge_accurate,
+         case when kind = 'jury' and c2 is null then {no_json} else '' end as judge_error,
+         case when kind = 'jury' then concat('j0=', cast(c0 and a0 as varchar), ',j1=', cast(c1 and a1 as varchar), ',j2=',
+              coalesce(cast(c2 and a2 as varchar), 'null')) end as votes,
+         case when kind <> 'jury' then null when blank then 'j0=empty response,j1=empty response,j2=empty response'
+              else concat('j0=length and equality,j1=,j2=', case when c2 is null then substr({no_json}, 5) else '' end) end as rationales,
+         case when kind <> 'jury' then null when blank then 'j0=0,j1=0,j2=0'
+              else concat_ws(',', 'j0=' || in_tokens, 'j1=' || in_tokens, 'j2=' || in_tokens) end as input_tokens
+  from tally)
+"""
+
+
+def _scored_sql():
+    return with_views("responses") + ", " + _jury_sql()
+
+
+# Longest common subsequence by anti-diagonals of the classic table, one list a pair and diagonal.
+_LCS = f"""
+lcs_in as (select {_ID}, case when len(rt) <= len(pt) then rt else pt end as a, case when len(rt) <= len(pt) then pt else rt end as b
+           from t),
+lcs_run as (
+  select {_ID}, a, b, 1 as d, list_transform(range(len(a) + 1), lambda x: 0) as p2,
+         list_transform(range(len(a) + 1), lambda x: 0) as p1 from lcs_in
+  union all
+  select {_ID}, a, b, d + 1, p1, list_transform(range(len(a) + 1), lambda i: case
+             when i = 0 or d + 1 - i < 1 then 0
+             when d + 1 - i > len(b) then p1[i]
+             when a[i] = b[d + 1 - i] then p2[i] + 1
+             else greatest(p1[i + 1], p1[i]) end)
+  from lcs_run where d < len(a) + len(b)),
+lcs as (select {_ID}, cast(p1[len(a) + 1] as bigint) as lcs from lcs_run where d = greatest(len(a) + len(b), 1))
 """
+_ROUGE_L = _guard(_f1_sql("lcs", "ref_1", "pred_1"))
+
+
+def _recursive(sql: str) -> str:
+    return "with recursive " + sql.strip().removeprefix("with")
+
+
+ORACLE["metric_rouge_l"] = _recursive(metrics_sql()) + ", " + _LCS + f"""
+select m.{_ID.replace(', ', ', m.')}, ref_1 as n_ref_tokens, pred_1 as n_pred_tokens, lcs, {_ROUGE_L} as "rougeL_f1"
+from m join lcs using ({_ID})"""
+
+ORACLE["score_rows"] = _recursive(metrics_sql()) + ", " + _LCS + ", " + _jury_sql() + f"""
+select s.{_ID.replace(', ', ', s.')}, row_key, scored_from, judge_concise, judge_correct, judge_complete, judge_accurate, judge_error,
+       votes, rationales, input_tokens, round({_ROUGE_L}, 9) as "rougeL_f1", round({_BLEU}, 9) as bleu
+from scored s join m using ({_ID}) join lcs using ({_ID})"""
+
+ORACLE["score_stats"] = _scored_sql() + """
+select count(*) as total, count(*) filter (where scored_from = 'cache') as cached,
+       count(*) filter (where scored_from = 'gate0') as gate0_fail, count(*) filter (where scored_from = 'jury') as judged,
+       count(*) filter (where judge_error <> '') as errors, count(*) filter (where judge_correct = 1) as passed
+from scored"""
+
+ORACLE["judge_calls"] = _scored_sql() + """
+select distinct row_key, judge_id, in_tokens as prompt_tokens,
+       case judge_id
+         when 'j0' then concat('{"complete": ', cast(c0 as varchar), ', "accurate": ', cast(a0 as varchar),
+                               ', "rationale": " length and equality "}')
+         when 'j1' then concat('```json', chr(10), '{"complete": "', case when c1 then 'yes' else 'no' end, '", "accurate": ',
+                               case when a1 then '1' else '0' end, '}', chr(10), '```')
+         else case when c2 is null then 'no verdict'
+                   else concat('Verdict: {"complete": true, "accurate": "', cast(a2 as varchar), '"} done') end end as verdict_text
+from panel cross join (values ('j0'), ('j1'), ('j2')) j(judge_id) where kind = 'jury' and not blank"""
 
 
 _MEAS = ("count(*) as n, count(judge_correct) as n_scored, count(*) filter (where judge_correct is null) as n_undetermined, "
