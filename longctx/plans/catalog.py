@@ -492,20 +492,23 @@ def latest_status_stream(spark: SparkSession, sf: str) -> DataFrame:
     from longctx.streaming.status import read_status, start_status_stream
     root = _scratch(spark, "t1")
     log = fx.result_log_df(spark, sf).drop("run_ts")
-    log.repartition(4, "seq").write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
-    start_status_stream(stream, f"{root}/status", f"{root}/ck").awaitTermination()
+    log.repartition(5, "seq").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    start_status_stream(stream, f"{root}/status", f"{root}/ck", compact_every=2).awaitTermination()
     return read_status(spark, f"{root}/status").select("row_id", "first_seq", "seq", "experiment_uuid", "status")
 
 
 @register
 def incremental_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Responses arriving per case, scored batch by batch with resume and dedupe."""
-    from longctx.streaming.scoring import start_incremental_scoring
+    from longctx.streaming.scoring import read_scores, start_incremental_scoring
     root = _scratch(spark, "t2")
     resp = fx.responses_df(spark, sf)
     resp.repartition(4, "case_uuid").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(resp.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     start_incremental_scoring(stream, f"{root}/scored", f"{root}/ck", RESPONSE_ID, with_lcs=False).awaitTermination()
-    return spark.read.parquet(f"{root}/scored").select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens", "ov_1",
+    # the same files again, by a stream that starts anew: nothing is added
+    again = spark.readStream.schema(resp.schema).parquet(f"{root}/in")
+    start_incremental_scoring(again, f"{root}/scored", f"{root}/ck2", RESPONSE_ID, with_lcs=False).awaitTermination()
+    return read_scores(spark, f"{root}/scored").select(*RESPONSE_ID, "n_ref_tokens", "n_pred_tokens", "ov_1",
                                                         "token_f1", "ref_chars", "response_chars", "concise")
