@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longctx.functions.keys import scoring_key
-from longctx.functions.verdict import coerce_bool, extract_json, is_object, py_strip, rationale
+from longctx.functions.verdict import coerce_bool, extract_json, py_strip, rationale, verdict_fields
 from longctx.operators.metrics import HEURISTIC_COLS, conciseness, text_metrics
 from longctx.operators.ordinal import ordinal_within
 from longctx.session import shared_table
@@ -42,16 +42,13 @@ def parse_verdicts(df: DataFrame, text: str = "verdict_text", response: str = "r
     """
     parsed, err = extract_json(F.col(text))
     blank = py_strip(F.coalesce(F.col(response), F.lit(""))) == ""
-    obj = is_object(parsed)
     prior_err = F.col("call_error") if "call_error" in df.columns else F.lit(None).cast("string")
-    return (df.withColumn("_v", parsed)
-            .withColumn("error", F.when(blank, F.lit("")).otherwise(F.coalesce(prior_err, err, F.lit(""))))
-            .withColumn("complete", F.when(blank, F.lit(False))
-                        .when((F.col("error") == "") & obj, coerce_bool(F.col("_v"), "$.complete")))
-            .withColumn("accurate", F.when(blank, F.lit(False))
-                        .when((F.col("error") == "") & obj, coerce_bool(F.col("_v"), "$.accurate")))
-            .withColumn("rationale", F.when(blank, F.lit(EMPTY_RESPONSE))
-                        .when((F.col("error") == "") & obj, rationale(F.col("_v"))).otherwise(F.lit("")))
+    read = F.col("error") == ""
+    return (df.withColumn("error", F.when(blank, F.lit("")).otherwise(F.coalesce(prior_err, err, F.lit(""))))
+            .withColumn("_v", F.when(read, verdict_fields(parsed)))
+            .withColumn("complete", F.when(blank, F.lit(False)).otherwise(coerce_bool(F.col("_v.complete"))))
+            .withColumn("accurate", F.when(blank, F.lit(False)).otherwise(coerce_bool(F.col("_v.accurate"))))
+            .withColumn("rationale", F.when(blank, F.lit(EMPTY_RESPONSE)).otherwise(rationale(F.col("_v.rationale"))))
             .drop("_v"))
 
 

@@ -54,9 +54,12 @@ def fixture_prompts(spark, sf):
 
 
 def fixture_difficulties(spark, sf):
-    """Difficulty table as written by the case layout writer: only non-blank labels."""
-    return fixture_prompts(spark, sf).where(F.col("difficulty") != "").select(
+    """Difficulty table as written by the case layout writer: only non-blank labels, each after an outdated one."""
+    labels = fixture_prompts(spark, sf).where(F.col("difficulty") != "").select(
         "case_uuid", F.col("prompt_file").alias("prompt"), "difficulty")
+    both = F.array(F.struct(F.lit(0).alias("seq"), F.lit("Tier 9 · Outdated").alias("difficulty")),
+                   F.struct(F.lit(1).alias("seq"), F.col("difficulty")))
+    return labels.select("case_uuid", "prompt", F.explode(both).alias("l")).select("case_uuid", "prompt", "l.*")
 
 
 def fixture_matrix(spark, sf, spec=None, limit=None):
@@ -84,9 +87,10 @@ def matrix_size(spark: SparkSession, sf: str) -> DataFrame:
     """A15 + P4: cell counts, without and with a difficulty filter."""
     spec = fixture_spec()
     spec.prompt_categories = ["Tier 1 · Easy", "Tier 2 · Medium"]
-    a = fixture_matrix(spark, sf).agg(F.count(F.lit(1)).alias("n_cells"), F.max("ordinal").alias("max_ordinal"))
-    b = fixture_matrix(spark, sf, spec).agg(F.count(F.lit(1)).alias("n_cells_filtered"),
-                                            F.max("ordinal").alias("max_ordinal_filtered"))
+    prompts, labels = fixture_prompts(spark, sf).drop("difficulty"), fixture_difficulties(spark, sf)
+    a = matrix.matrix_counts(prompts, fixture_spec(), labels)
+    b = matrix.matrix_counts(prompts, spec, labels).select(F.col("n_cells").alias("n_cells_filtered"),
+                                                           F.col("max_ordinal").alias("max_ordinal_filtered"))
     return a.crossJoin(b)
 
 
@@ -196,12 +200,12 @@ def log_keep_last(spark: SparkSession, sf: str) -> DataFrame:
 def reuse_latest_ok(spark: SparkSession, sf: str) -> DataFrame:
     """Newest successful result of another run per row id."""
     from longctx.operators.results import latest_ok
-    return latest_ok(fx.result_log_df(spark, sf), CURRENT_RUN).select(
+    return latest_ok(fx.run_log_df(spark, sf), CURRENT_RUN).select(
         "row_id", F.col("experiment_uuid").alias("reused_from"), F.col("seq").alias("reused_seq"))
 
 
 def _planned(spark, sf):
-    log = fx.result_log_df(spark, sf)
+    log = fx.run_log_df(spark, sf)
     return log.select("row_id").distinct(), log
 
 
@@ -225,7 +229,8 @@ def run_progress(spark: SparkSession, sf: str) -> DataFrame:
     """A4: totals of the current run's plan."""
     from longctx.operators.results import plan_run, run_progress as rp
     cells, log = _planned(spark, sf)
-    return rp(plan_run(cells, log, CURRENT_RUN))
+    answered = log.where(F.col("experiment_uuid") == CURRENT_RUN).select("row_id")
+    return rp(plan_run(cells, log, CURRENT_RUN), answered)
 
 
 @register

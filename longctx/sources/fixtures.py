@@ -60,20 +60,31 @@ select case_uuid, prompt_id, question as prompt, difficulty, answer as human_val
 from questions cross join (select 'm0' as model union all select 'm1' union all select 'm2'
                            union all select 'm3' union all select 'm4') m""",
     "verdicts": """
-select doc_id, 'j0' as judge_id, quality = 1 as complete, toxic = 0 as accurate from labels
+select doc_id, 'j0' as judge_id, quality = 1 as complete, toxic = 0 as accurate, 1 as seq from labels
 union all
-select doc_id, 'j1', quality = 1, doc_id % 5 <> 0 from labels
+select doc_id, 'j1', quality = 1, doc_id % 5 <> 0, 1 from labels
 union all
-select doc_id, 'j2', case when doc_id % 7 = 0 then null else quality = 1 end, toxic = 0 from labels""",
+select doc_id, 'j2', case when doc_id % 7 = 0 then null else quality = 1 end, toxic = 0, 1 from labels
+union all
+select doc_id, 'j0', quality <> 1, toxic = 0, 0 from labels where doc_id % 4 = 0""",
     "verdict_text": """
 select doc_id,
-       case doc_id % 6
+       case doc_id % 15
+         when 5 then 'no verdict'
+         when 6 then '{"complete": true, "accurate": true}] {"x": 1}'
+         when 7 then '{"complete": false, "complete": true, "accurate": true, "accurate": false}'
+         when 8 then '{"complete": NaN, "accurate": true, "rationale": "n"}'
+         when 9 then '{"complete": true, "accurate": true} trailing'
+         when 10 then '  '
+         when 11 then 'true'
+         when 12 then '{"complete": true, "accurate": {"a": 1}, "rationale": null}'
+         when 13 then '{"complete": true, "accurate": -Infinity}'
+         when 14 then '{"complete": true "accurate": false}'
          when 0 then '{"complete": true, "accurate": false, "rationale": " date differs "}'
          when 1 then concat('```json', chr(10), '{"complete": "yes", "accurate": "no", "rationale": "x"}', chr(10), '```')
          when 2 then 'Verdict: {"complete": 1, "accurate": 0} end'
          when 3 then '{"complete": "2", "accurate": 2}'
-         when 4 then '[1, 2]'
-         else 'no verdict' end as verdict
+         else '[1, 2]' end as verdict
 from labels""",
     "result_log": """
 select event_id as seq, concat('r', cast(user_id as string)) as row_id,
@@ -83,6 +94,9 @@ select event_id as seq, concat('r', cast(user_id as string)) as row_id,
        case when event_id % 3 = 0 then 100 end as cache_read_input_tokens,
        cast(round(value * 100) as bigint) as completion_tokens
 from events""",
+    "run_log": """
+select row_id, experiment_uuid, run_ts, status,
+       row_number() over (partition by experiment_uuid order by seq) - 1 as seq from result_log""",
     "error_log": """
 select event_id, 400 + event_id % 130 as code,
        case event_id % 4 when 0 then 'RateLimitError' when 1 then 'ValueError'
@@ -94,7 +108,7 @@ from events where event_type = 'error'""",
 
 # Dependency order for CTE prefixes.
 VIEW_ORDER = ["case_pages", "filler_pages", "questions", "responses", "verdicts", "verdict_text",
-              "result_log", "error_log"]
+              "result_log", "run_log", "error_log"]
 
 
 def with_views(*names: str) -> str:
@@ -102,6 +116,8 @@ def with_views(*names: str) -> str:
     need = set(names)
     if "responses" in need:
         need.add("questions")
+    if "run_log" in need:
+        need.add("result_log")
     parts = [f"{n} as ({VIEW_SQL[n].strip()})" for n in VIEW_ORDER if n in need]
     return "with " + ",\n".join(parts) + "\n"
 
@@ -187,7 +203,11 @@ def verdicts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     j2 = lab.select(d, F.lit("j2").alias("judge_id"),
                     F.when(d % 7 == 0, F.lit(None).cast("boolean")).otherwise(q == 1).alias("complete"),
                     (t == 0).alias("accurate"))
-    return j0.unionByName(j1).unionByName(j2)
+    last = j0.unionByName(j1).unionByName(j2).withColumn("seq", F.lit(1))
+    # an earlier, replaced verdict of the first judge
+    first = lab.where(d % 4 == 0).select(d, F.lit("j0").alias("judge_id"), (q != 1).alias("complete"),
+                                         (t == 0).alias("accurate"), F.lit(0).alias("seq"))
+    return last.unionByName(first)
 
 
 VERDICT_SHAPES = [
@@ -197,16 +217,28 @@ VERDICT_SHAPES = [
     '{"complete": "2", "accurate": 2}',
     '[1, 2]',
     'no verdict',
+    '{"complete": true, "accurate": true}] {"x": 1}',
+    '{"complete": false, "complete": true, "accurate": true, "accurate": false}',
+    '{"complete": NaN, "accurate": true, "rationale": "n"}',
+    '{"complete": true, "accurate": true} trailing',
+    '  ',
+    'true',
+    '{"complete": true, "accurate": {"a": 1}, "rationale": null}',
+    '{"complete": true, "accurate": -Infinity}',
+    '{"complete": true "accurate": false}',
 ]
 
 
 def verdict_text_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = read_table(spark, sf_dir, "labels")
-    m = F.col("doc_id") % 6
-    expr = F.lit(VERDICT_SHAPES[5])
-    for i in range(4, -1, -1):
-        expr = F.when(m == i, F.lit(VERDICT_SHAPES[i])).otherwise(expr)
-    return lab.select("doc_id", expr.alias("verdict"))
+    shapes = F.array(*[F.lit(v) for v in VERDICT_SHAPES])
+    return lab.select("doc_id", F.get(shapes, (F.col("doc_id") % len(VERDICT_SHAPES)).cast("int")).alias("verdict"))
+
+
+def run_log_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result log with ``seq`` counted anew in every run."""
+    log = result_log_df(spark, sf_dir).select("row_id", "experiment_uuid", "run_ts", "status", "seq")
+    return ordinal_within(log, ["experiment_uuid"], ["seq"], "run_seq", carry=True).drop("seq").withColumnRenamed("run_seq", "seq")
 
 
 def result_log_df(spark: SparkSession, sf_dir: str) -> DataFrame:
