@@ -1,4 +1,4 @@
-"""Context dilution.
+"""Context dilution.
 
 For every (case, ratio) context:
 
@@ -198,26 +198,74 @@ def context_text(pages_with_text: DataFrame, keys=("case_uuid", "ratio_key")) ->
         F.array_join(F.transform(parts, lambda s: s["text"]), "\n\n").alias("context_text"))
 
 
-def image_pages(slots: DataFrame, case_images: DataFrame, image_pool: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """interleave image paths with the same slots and positions as the text channel.
+def image_contexts(case_pages: DataFrame, case_images: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Every (case, ratio) of both channels: cases with pages, with images, or with both."""
+    cases = case_pages.select("case_uuid").union(case_images.select("case_uuid")).distinct()
+    return cases.crossJoin(F.broadcast(ratios.select("ablation_ratio", "ratio_key")))
 
-    ``slots``: filler rows of ``context_pages`` (``case_uuid, ratio_key, slot, pos, pool_ord``).
-    ``case_images``: ``(case_uuid, image_file)``; ``image_pool``: ``(file_name)`` of the paired
-    image pool (the i-th image pairs with the i-th text page).  Positions are drawn from the
-    text page count; one past the image count is clamped to it (Q16).
+
+def image_pages(pages: DataFrame, case_images: DataFrame, image_pool: DataFrame, ratios: DataFrame,
+                num_partitions: int | None = None) -> DataFrame:
+    """the image channel, interleaved from the draws of the text channel.
+
+    ``pages``: ``context_pages``, whose filler rows hold the one set of draws (slot, position, pool page) that both
+    channels use, so modalities are comparable.  ``case_images``: ``(case_uuid, image_file)``; ``image_pool``:
+    ``(file_name)`` of the paired image pool, whose i-th file is the image of the i-th text page.  Every case
+    image is there at every ratio, also of cases without text pages (no filler: the amount follows the pages) and at ratio 0.  With an
+    empty image pool there are case images only.  A position beyond the last image is that of the end (Q16).  A
+    draw whose image is missing from a pool that is too small yields no page (V2 reports such a pool).
+
+    Columns: ``case_uuid, ratio_key, ord, is_filler, image_file, slot, pos``.
     """
     imgs = ordinal_within(case_images.select("case_uuid", "image_file"), ["case_uuid"], ["image_file"],
                           "img_ord", num_partitions, carry=True)
     n_img = imgs.groupBy("case_uuid").agg(F.count(F.lit(1)).alias("n_img"))
-    pool = ordinal_within(image_pool.select(F.lit(1).alias("_one"), "file_name"), ["_one"], ["file_name"],
-                          "pool_ord", num_partitions, carry=True).drop("_one")
-    fill = (slots.where("is_filler").select("case_uuid", "ratio_key", "slot", "pos", "pool_ord")
-            .join(n_img, "case_uuid").join(pool, "pool_ord")
-            .select("case_uuid", "ratio_key", F.least("pos", "n_img").alias("pos"), F.lit(0).alias("is_real"),
+    pool = ordinal_within(image_pool.select("file_name"), [], ["file_name"], "pool_ord", num_partitions, carry=True)
+    fill = (pages.where("is_filler").select("case_uuid", "ratio_key", "slot", "pos", "pool_ord")
+            .join(pool, "pool_ord").join(n_img, "case_uuid", "left")
+            .select("case_uuid", "ratio_key", F.least("pos", F.coalesce("n_img", F.lit(0))).alias("pos"), F.lit(0).alias("is_real"),
                     F.col("slot").alias("k"), F.col("file_name").alias("image_file")))
-    ratios = slots.select("case_uuid", "ratio_key").distinct()
-    real = imgs.join(ratios, "case_uuid").select(
+    real = imgs.crossJoin(F.broadcast(ratios.select("ratio_key"))).select(
         "case_uuid", "ratio_key", F.col("img_ord").alias("pos"), F.lit(1).alias("is_real"),
         F.col("img_ord").alias("k"), "image_file")
-    return ordinal_within(real.unionByName(fill), ["case_uuid", "ratio_key"], ["pos", "is_real", "k"],
-                          "ord", num_partitions)
+    ranked = ordinal_within(real.unionByName(fill), ["case_uuid", "ratio_key"], ["pos", "is_real", "k"],
+                            "ord", num_partitions, carry=True)
+    return ranked.select("case_uuid", "ratio_key", "ord", (F.col("is_real") == 0).alias("is_filler"), "image_file",
+                         F.col("k").alias("slot"), "pos")
+
+
+def image_summary(contexts: DataFrame, images: DataFrame) -> DataFrame:
+    """Per context of ``image_contexts``: image counts and an order-sensitive digest (0 and null without images)."""
+    elem = hash64_text(F.concat(F.col("ord").cast("string"), F.lit(":"), F.col("image_file")))
+    per = images.groupBy("case_uuid", "ratio_key").agg(
+        F.count_if(~F.col("is_filler")).alias("n_real_images"), F.count_if("is_filler").alias("n_filler_images"),
+        F.bit_xor(elem).alias("image_digest"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return contexts.select("case_uuid", "ratio_key").join(per, ["case_uuid", "ratio_key"], "left").select(
+        "case_uuid", "ratio_key", zero("n_real_images"), zero("n_filler_images"), "image_digest")
+
+
+def image_list(images: DataFrame, keys=("case_uuid", "ratio_key")) -> DataFrame:
+    """K6: the image files of a context in order, as an array and as JSON text.
+
+    One context becomes one value: only for contexts that are sent, like ``context_text``."""
+    parts = F.sort_array(F.collect_list(F.struct("ord", "image_file")))
+    files = F.transform(parts, lambda x: x["image_file"])
+    return images.groupBy(*keys).agg(files.alias("images")).withColumn("images_json", F.to_json("images"))
+
+
+def filler_summary(contexts: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
+    """P12 without lists: what was inserted into each context of ``image_contexts``, as counts and order-sensitive digests.
+
+    ``text_files`` and ``image_files`` digest slot and file, ``insertion_positions`` slot and position; 0 without filler.
+    """
+    def digest(value):
+        return F.bit_xor(F.when(F.col("is_filler"), hash64_text(F.concat(F.col("slot").cast("string"), F.lit(":"), value))))
+    text = pages.groupBy("case_uuid", "ratio_key").agg(
+        F.count_if(~F.col("is_filler")).alias("real_page_count"), F.count_if("is_filler").alias("filler_page_count"),
+        digest(F.col("source_file")).alias("text_files"), digest(F.col("pos").cast("string")).alias("insertion_positions"))
+    image = images.groupBy("case_uuid", "ratio_key").agg(digest(F.col("image_file")).alias("image_files"))
+    keys = ["case_uuid", "ratio_key"]
+    return (contexts.select(*keys).join(text, keys, "left").join(image, keys, "left")
+            .select(*keys, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in (
+                "real_page_count", "filler_page_count", "text_files", "image_files", "insertion_positions")]))

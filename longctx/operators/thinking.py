@@ -48,23 +48,32 @@ def thinking_columns(provider: Column, model: Column, level: Column) -> dict[str
     }
 
 
-def apply_thinking(cells: DataFrame, provider="provider", model="model", level="thinking",
-                   extra="extra") -> DataFrame:
-    """Add ``thinking_settings map<string,string>`` and merge ``extra`` for anthropic
-    (``output_config.effort``), as the provider would receive them."""
-    cols = thinking_columns(F.col(provider), F.col(model), F.col(level))
-    out = cells
-    for k, v in cols.items():
-        out = out.withColumn(k, v)
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"))
-                        for k in cols if k != "effort"]
-                      + [F.struct(F.lit("effort").alias("key"), F.col("effort").alias("value"))])
-    kept = F.filter(entries, lambda e: e["value"].isNotNull())
-    out = out.withColumn("thinking_settings", F.when(F.size(kept) > 0, F.map_from_entries(kept)))
-    if extra in cells.columns:
-        eff = F.create_map(F.lit("output_config.effort"), F.col(level))
-        merged = F.map_concat(F.map_filter(F.coalesce(F.col(extra), F.create_map().cast("map<string,string>")),
-                                           lambda k, v: k != "output_config.effort"), eff)
-        out = out.withColumn(extra, F.when((F.col(provider) == "anthropic_gcp") & (F.col(level) != "none"), merged)
-                             .otherwise(F.col(extra)))
-    return out
+def apply_thinking(cells: DataFrame, provider="provider", model="model", level="thinking", extra="extra") -> DataFrame:
+    """The settings of each cell's provider, as variants.
+
+    ``thinking_settings``: the nested object for the provider (null with ``none`` and for providers without one).  ``extra``, the
+    model's own settings as JSON text, becomes a variant; for anthropic ``output_config.effort`` is set in it and
+    everything beside it is kept, also the other keys of ``output_config``.
+    """
+    c = thinking_columns(F.col(provider), F.col(model), F.col(level))
+    fields = F.struct(c["thinking_budget"].alias("thinking_budget"), c["include_thoughts"].alias("include_thoughts"),
+                      c["thinking_level"].alias("thinking_level"), c["thinking_type"].alias("type"),
+                      F.when(F.col(provider) == "azure_openai", c["effort"]).alias("effort"))
+    text = F.to_json(fields)  # null fields are left out
+    out = cells.withColumn("thinking_settings", F.when(text != "{}", F.parse_json(text)))
+    if extra not in cells.columns:
+        return out
+    own = F.from_json(F.coalesce(F.col(extra), F.lit("{}")), "map<string,variant>")
+    config = F.coalesce(F.try_variant_get(F.try_element_at(own, F.lit("output_config")), "$", "map<string,variant>"),
+                        F.create_map().cast("map<string,variant>"))
+    effort = F.create_map(F.lit("effort"), _string(F.col(level)))
+    config = F.map_concat(F.map_filter(config, lambda k, v: k != "effort"), effort)
+    merged = F.map_concat(F.map_filter(own, lambda k, v: k != "output_config"),
+                          F.create_map(F.lit("output_config"), F.to_variant_object(config)))
+    uses = (F.col(provider) == "anthropic_gcp") & (F.col(level) != "none")
+    return out.withColumn(extra, F.to_variant_object(F.when(uses, merged).otherwise(own)))
+
+
+def _string(text: Column) -> Column:
+    """A string as a variant."""
+    return F.variant_get(F.to_variant_object(F.struct(text.alias("s"))), "$.s", "variant")

@@ -326,27 +326,65 @@ def spec_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ prompts and payloads
 
-def _payloads(spark, sf):
+def _images(spark, sf, pages, spec):
+    """(contexts, image pages) of the fixture for text pages that are at hand."""
+    images = fx.case_images_df(spark, sf)
+    ratios = spec.ratios_df(spark)
+    shown = dilute.image_pages(pages, images, fx.image_pool_df(spark, sf, spec.filler_subdir), ratios)
+    return dilute.image_contexts(fx.case_pages_df(spark, sf), images, ratios), shown
+
+
+@register
+def image_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Every image of every context in order: case images, filler images at the text channel's positions."""
+    _, shown = _images(spark, sf, _context_pages(spark, sf), fixture_spec())
+    return shown
+
+
+@register
+def filler_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """What was inserted into each context, both channels, image-only cases and ratio 0 included."""
+    from longctx.session import cut_lineage
+    pages = cut_lineage(_context_pages(spark, sf))
+    contexts, shown = _images(spark, sf, pages, fixture_spec())
+    return dilute.filler_summary(contexts, pages, shown)
+
+
+def _payloads(spark, sf, seed=None):
+    """Cells of all three modalities with the length and the fingerprint of their request."""
     from longctx.functions.keys import payload_fingerprint
     from longctx.functions.verdict import py_strip
     from longctx.operators.results import PROMPT_SEPARATOR
-    ctx = context_digest(spark, sf)
-    cells = fixture_matrix(spark, sf)
-    j = cells.join(ctx.select("case_uuid", "ratio_key", "n_chars", "digest"), ["case_uuid", "ratio_key"], "left")
-    text_on = F.col("modality").isin("text", "both")
+    from longctx.session import cut_lineage
+    spec = fixture_spec()
+    spec.modalities = ["text", "image", "both"]
+    spec.seed = spec.seed if seed is None else seed
+    pages = cut_lineage(dilute.context_pages(
+        fx.case_pages_df(spark, sf), fx.filler_pages_df(spark, sf), spec.ratios_df(spark), seed=spec.seed,
+        filler_subdir=spec.filler_subdir))
+    contexts, shown = _images(spark, sf, pages, spec)
+    keys = ["case_uuid", "ratio_key"]
+    ctx = dilute.image_summary(contexts, shown).join(
+        dilute.context_summary(pages).select(*keys, "n_chars", "digest"), keys, "left")
+    prompts = fixture_prompts(spark, sf).drop("difficulty")
+    cells = matrix.build_matrix(spark, prompts, spec, fixture_difficulties(spark, sf))
+    j = cells.join(ctx, keys, "left")
+    text_on, image_on = F.col("modality").isin("text", "both"), F.col("modality").isin("image", "both")
     q = py_strip(F.col("question"))
     chars = F.when(text_on, F.coalesce(F.col("n_chars"), F.lit(0)) + len(PROMPT_SEPARATOR)).otherwise(0) + F.length(q)
     content = F.concat_ws("|", F.when(text_on, F.coalesce(F.col("digest").cast("string"), F.lit(""))), q)
-    return j.select("row_id", "case_uuid", "ratio_key", "modality", "model", F.col("model_config_id"),
-                    chars.cast("bigint").alias("prompt_chars"),
-                    payload_fingerprint(F.col("model"), content).alias("payload_sha"))
+    n_images = F.when(image_on, F.col("n_real_images") + F.col("n_filler_images")).otherwise(0)
+    files = F.array(F.when(image_on, F.coalesce(F.col("image_digest").cast("string"), F.lit(""))).otherwise(F.lit("")))
+    return j.select("row_id", "ordinal", "case_uuid", "ratio_key", "modality", "model", F.col("model_config_id"),
+                    chars.cast("bigint").alias("prompt_chars"), F.coalesce(n_images, F.lit(0)).cast("bigint").alias("n_images"),
+                    payload_fingerprint(F.col("model"), content, files).alias("payload_sha"))
 
 
 @register
 def prompt_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Per cell, exact prompt length and the request fingerprint (context
-    represented by its page-order digest, so the text is never materialised)."""
-    return _payloads(spark, sf)
+    """Per cell of three modalities, exact prompt length, image count and the request
+    fingerprint (channels represented by their page-order digests, so the text is never materialised)."""
+    return _payloads(spark, sf).drop("ordinal")
 
 
 @register
@@ -355,6 +393,24 @@ def payload_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _payloads(spark, sf).groupBy("payload_sha", "model").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@register
+def reuse_by_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A run after a run with the same seed and a newer one with another seed: a result is reused only for an
+    equal request, so cells with filler pages go back to the older run, and cells without filler take the newer one."""
+    from longctx.operators.results import plan_run
+    from longctx.session import cut_lineage
+    mine = cut_lineage(_payloads(spark, sf).select("row_id", "ordinal", "ratio_key", "payload_sha"))
+    other = _payloads(spark, sf, seed=7).select("row_id", "ordinal", "payload_sha")
+
+    def run(name, day, cells, keep):
+        return cells.where(keep).select(
+            "row_id", "payload_sha", F.lit(name).alias("experiment_uuid"), F.lit(f"2026-01-0{day} 00:00:00").cast("timestamp")
+            .alias("run_ts"), F.lit("ok").alias("status"), F.col("ordinal").alias("seq"))
+    log = run("same", 1, mine, F.col("ordinal") % 3 == 0).unionByName(run("other", 2, other, F.col("ordinal") % 2 == 0))
+    plan = plan_run(mine, log, "now", payload="payload_sha")
+    return plan.select("row_id", "ratio_key", "action", "reused_from", "reused_seq")
+
+
 # ------------------------------------------------------------------ synthetic filler
 
 GEN_VARIANTS = 3
@@ -476,6 +532,160 @@ def judge_calls(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("row_key", "judge_id", "prompt_tokens", "verdict_text")
 
 
+# ------------------------------------------------------------------ one run with a client
+
+RUN = "now"
+
+
+def run_spec():
+    """Three levels for most models, so that cache groups have several members; the question alone is the prompt."""
+    spec = fixture_spec()
+    spec.modalities, spec.ratios, spec.thinking_default = ["image"], [0.0], ["minimal", "low", "high"]
+    return spec
+
+
+def _run_cells(spark, sf):
+    """Cells with their prompts; every question whose length is a multiple of 13 is taken as blank."""
+    from longctx.functions.keys import payload_fingerprint
+    from longctx.operators.results import compose_prompt
+    cells = fixture_matrix(spark, sf, run_spec())
+    question = F.when(F.length("question") % 13 == 0, F.lit(" \n")).otherwise(F.col("question"))
+    text, error = compose_prompt(F.lit(None).cast("string"), question, F.col("modality"))
+    return cells.select(
+        *[c for c in cells.columns if c not in ("question", "answer")], text.alias("prompt_text"), error.alias("prompt_error"),
+        payload_fingerprint(F.col("model"), text).alias("payload_sha"))
+
+
+def _earlier(cells):
+    """An older run with equal requests, a newer one with other requests, and the first part of the run itself."""
+    from longctx.operators.run import USAGE
+
+    def run(name, day, keep, status, sha):
+        n = F.col("ordinal")
+        usage = [(n % 40 if c == "completion_tokens" else F.lit(2)).cast("bigint").alias(c) for c in USAGE]
+        return cells.where(keep).select(
+            "row_id", F.lit(name).alias("experiment_uuid"), F.lit(f"2026-01-0{day} 00:00:00").cast("timestamp").alias("run_ts"),
+            n.alias("seq"), F.lit(status).alias("status"), sha.alias("payload_sha"),
+            F.concat(F.lit(f"{name} "), n.cast("string")).alias("answer"), F.lit(None).cast("string").alias("thinking_text"),
+            (n % 100).cast("bigint").alias("latency_ms"), *usage)
+    n, sha = F.col("ordinal"), F.col("payload_sha")
+    return (run("older", 1, n % 5 == 0, "ok", sha).unionByName(run("newer", 2, n % 7 == 0, "ok", F.reverse(sha)))
+            .unionByName(run(RUN, 3, n % 9 == 0, "ok", sha)).unionByName(run(RUN, 3, n % 9 == 1, "error", sha)))
+
+
+def _run(spark, sf, **options):
+    from longctx.operators.run import run_cells
+    from longctx.plans.clients import MAX_ATTEMPTS, scripted_client
+    from longctx.session import cut_lineage
+    cells = cut_lineage(_run_cells(spark, sf))
+    return run_cells(cells, _earlier(cells), scripted_client, _scratch(spark, "calls"), RUN, per_round=20_000,
+                     max_attempts=MAX_ATTEMPTS, initial_backoff=0.0, **options)
+
+
+@register
+def run_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that is resumed: done cells skipped, equal requests reused, the others called
+    with retries, the members of a cache group one after the other in one task (the first one pays for the prompt)."""
+    return _run(spark, sf).select(
+        "row_id", "status", "outcome", "error_type", F.coalesce("error_message", F.lit("")).alias("error_message"), "reused_from",
+        "answer", F.coalesce("attempts", F.lit(0)).alias("attempts"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in (
+            "cache_creation_input_tokens", "cache_read_input_tokens", "completion_tokens", "latency_ms")])
+
+
+@register
+def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of the resumed run, of a forced run without reuse, and of a dry run."""
+    from longctx.operators.run import outcome_counts
+    kinds = {"resumed": {}, "forced": {"force": True, "use_previous": False}, "dry": {"dry_run": True}}
+    out = None
+    for name, options in kinds.items():
+        one = outcome_counts(_run(spark, sf, **options)).withColumn("run", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register
+def result_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's nested records written as JSON and read back, with a broken line and a file that is no JSON."""
+    from longctx.sources.records import RESULT_SCHEMA, read_records, result_records, write_records
+    at = _scratch(spark, "records")
+    write_records(result_records(_run(spark, sf), RUN, fixture_spec().seed), at)
+    folder = f"{at}/results/experiment_uuid={RUN}"
+    for broken in ('{"answer": "cut o', '{"answer": "a"} {"answer": "b"}\n\n[1, 2]'):
+        spark.createDataFrame([(broken,)], "value string").write.mode("append").text(folder)
+    good, bad = read_records(spark, f"{at}/results/*/*", RESULT_SCHEMA)
+    rows = good.select(
+        F.lit("record").alias("kind"), F.col("metadata.row_id").alias("row_id"), "answer", F.length("question").alias("question_chars"),
+        F.col("metadata.status").alias("status"), F.col("metadata.error.type").alias("error_type"),
+        F.coalesce("metadata.usage.completion_tokens", F.lit(-1)).alias("completion_tokens"),
+        F.col("metadata.reused_from").alias("reused_from"), F.col("metadata.seed").alias("seed"))
+    lost = bad.select(F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("row_id"), F.col("value").alias("answer"),
+                      F.lit(0).alias("question_chars"), *[F.lit(None).cast("string").alias(c) for c in ("status", "error_type")],
+                      F.lit(-1).cast("bigint").alias("completion_tokens"), F.lit(None).cast("string").alias("reused_from"),
+                      F.lit(0).alias("seed"))
+    return rows.unionByName(lost)
+
+
+@register
+def summary_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's log entries appended, then those of a forced run; the summary is rebuilt from the log."""
+    from longctx.operators.results import SUMMARY_FIELDS, summary_table
+    from longctx.sources.layout import read_csv_strings, write_csv
+    from longctx.sources.records import SUMMARY_SCHEMA, append_log, read_records, summary_rows
+    at = _scratch(spark, "summary")
+    append_log(summary_rows(_run(spark, sf), RUN, "runs/now", 42), f"{at}/log")
+    again = _run(spark, sf, force=True, use_previous=False).withColumn("later", F.col("ordinal") + 10_000_000)
+    append_log(summary_rows(again.where(F.col("ordinal") % 4 == 0), RUN, "runs/now", 42, seq="later"), f"{at}/log")
+    entries, _ = read_records(spark, f"{at}/log/*.json", SUMMARY_SCHEMA)
+    write_csv(summary_table(entries), f"{at}/csv")
+    return read_csv_strings(spark, f"{at}/csv").select(F.col("first_seq").cast("bigint").alias("first_seq"), *SUMMARY_FIELDS)
+
+
+@register
+def scored_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The scored table written twice as versions of one table, rounded, and read back."""
+    from longctx.operators.jury import JUDGE_COLS
+    from longctx.operators.metrics import HEURISTIC_COLS, round_metrics
+    from longctx.sources.layout import read_scored, write_scored
+    at = _scratch(spark, "scored")
+    rows = _score(spark, sf, False).select(*RESPONSE_ID, "response", *HEURISTIC_COLS[:4], "bleu", *JUDGE_COLS)
+    shown = round_metrics(rows)
+    write_scored(shown.limit(5), at, [*RESPONSE_ID, "response"])
+    write_scored(shown, at, [*RESPONSE_ID, "response"])
+    back = read_scored(spark, at)
+    return back.select(*RESPONSE_ID, *[F.col(c).cast("double").alias(c) for c in ("exact_match", "token_f1", "rouge1_f1")],
+                       F.col("rougeL_f1").alias("rouge_l_text"), "judge_concise", "judge_correct", "judge_votes", "judge_error")
+
+
+@register
+def progress_current(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress of generated pages, written in three updates; the last entry of a key counts."""
+    from longctx.operators.synth import generation_work
+    from longctx.sources.layout import read_progress, upsert_progress
+    at = _scratch(spark, "progress")
+    blank, outputs, approved = _gen_inputs(spark, sf)
+    work, _ = generation_work(blank, GEN_VARIANTS, outputs, approved, _variant_profiles(spark))
+    part = F.col("variant") % 3
+    schema = "progress_key string, seq bigint, state string"
+    for k, state in enumerate(("queued", "drawn", "approved")):
+        upsert_progress(work.where(part >= k).select("progress_key", F.lit(k).cast("bigint").alias("seq"), F.lit(state).alias("state")), at)
+    return read_progress(spark, at, schema).select("progress_key", "seq", "state")
+
+
+@register
+def matrix_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider settings of every cell, nested as the provider gets them, merged into the model's own."""
+    from longctx.operators.thinking import apply_thinking
+    spec = run_spec()
+    spec.models[0].extra = {"labels": {"team": "x"}}
+    spec.models[2].extra = {"region": "us-east5", "output_config": {"format": "json", "effort": "unset"}}
+    spec.thinking_default = ["none", "low", "high"]
+    cells = apply_thinking(fixture_matrix(spark, sf, spec))
+    return cells.select("row_id", "model_config_id", "thinking", F.coalesce(F.to_json("thinking_settings"), F.lit("")).alias("settings"),
+                        F.to_json("extra").alias("extra"))
+
+
 # ------------------------------------------------------------------ ingest counts
 
 @register

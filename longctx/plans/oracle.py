@@ -529,22 +529,79 @@ union all select 'empty_filler_pool', 'web' where not exists (select 1 from web
 # ------------------------------------------------------------------ prompts and payloads
 
 _SEP_LEN = len("\n\n---\n\nQuestion:\n")
-_PAYLOAD = (with_views("case_pages", "filler_pages", "questions") + ",\n" + context_body() + ",\n" + matrix_body()
-            + f""",
+
+
+def image_body(spec: ExperimentSpec | None = None) -> str:
+    """Image channel after ``context_body``: the same draws, interleaved with the case's images."""
+    spec = spec or fixture_spec()
+    return f"""
+ipool as (select regexp_replace(file_name, '\\.txt$', '.jpg') as image_file,
+                 row_number() over (order by regexp_replace(file_name, '\\.txt$', '.jpg')) - 1 as pool_ord
+          from filler_pages where subdir_name = {_q(spec.filler_subdir)}),
+imgs as (select case_uuid, image_file, row_number() over (partition by case_uuid order by image_file) - 1 as img_ord from case_images),
+nimg as (select case_uuid, count(*) as n_img from imgs group by case_uuid),
+iu as (
+  select case_uuid, ratio_key, img_ord as pos, 1 as is_real, img_ord as k, image_file from imgs cross join ratios
+  union all
+  select p.case_uuid, p.ratio_key, least(p.pos, coalesce(n.n_img, 0)), 0, p.slot, i.image_file
+  from pages p join ipool i using (pool_ord) left join nimg n using (case_uuid) where p.is_filler),
+ipages as (select case_uuid, ratio_key, row_number() over (partition by case_uuid, ratio_key order by pos, is_real, k) - 1 as ord,
+                  is_real = 0 as is_filler, image_file, k as slot, pos from iu),
+ictx as (select case_uuid, ratio_key from (select case_uuid from case_pages union select case_uuid from case_images)
+         cross join ratios)
+"""
+
+
+_IMAGES = with_views("case_pages", "filler_pages", "case_images") + ",\n" + context_body() + ",\n" + image_body()
+ORACLE["image_provenance"] = _IMAGES + " select * from ipages"
+ORACLE["filler_meta"] = _IMAGES + f""",
+tx as (select case_uuid, ratio_key, count(*) filter (where not is_filler) as nr, count(*) filter (where is_filler) as nf,
+              bit_xor({h60("concat(cast(slot as varchar), ':', source_file)")}) filter (where is_filler) as text_files,
+              bit_xor({h60("concat(cast(slot as varchar), ':', cast(pos as varchar))")}) filter (where is_filler) as insertion_positions
+       from pages group by all),
+im as (select case_uuid, ratio_key, bit_xor({h60("concat(cast(slot as varchar), ':', image_file)")}) filter (where is_filler) as image_files
+       from ipages group by all)
+select c.case_uuid, c.ratio_key, coalesce(nr, 0) as real_page_count, coalesce(nf, 0) as filler_page_count,
+       coalesce(text_files, 0) as text_files, coalesce(image_files, 0) as image_files, coalesce(insertion_positions, 0) as insertion_positions
+from ictx c left join tx using (case_uuid, ratio_key) left join im using (case_uuid, ratio_key)"""
+
+
+def payload_sql(seed: int | None = None) -> str:
+    spec = fixture_spec()
+    spec.modalities = ["text", "image", "both"]
+    spec.seed = spec.seed if seed is None else seed
+    q = _strip("qq.question")
+    return (with_views("case_pages", "filler_pages", "case_images", "questions") + ",\n" + context_body(spec) + ",\n"
+            + image_body(spec) + ",\n" + matrix_body(spec) + f""",
 ctxsum as (select case_uuid, ratio_key, cast(sum(text_len) + 2 * (count(*) - 1) as bigint) as n_chars,
                   bit_xor({h60("concat(cast(ord as varchar), ':', text_md5)")}) as digest
            from pages group by case_uuid, ratio_key),
+imgsum as (select case_uuid, ratio_key, count(*) as n_images, bit_xor({h60("concat(cast(ord as varchar), ':', image_file)")}) as idig
+           from ipages group by case_uuid, ratio_key),
 pay as (
-  select c.row_id, c.case_uuid, c.ratio_key, c.modality, c.model, c.model_config_id,
+  select c.row_id, c.ordinal, c.case_uuid, c.ratio_key, c.modality, c.model, c.model_config_id,
          cast((case when c.modality in ('text', 'both') then coalesce(x.n_chars, 0) + {_SEP_LEN} else 0 end)
-              + length({_strip('qq.question')}) as bigint) as prompt_chars,
-         sha256(concat_ws(chr(30), c.model, coalesce(concat_ws('|', case when c.modality in ('text', 'both')
-              then coalesce(cast(x.digest as varchar), '') end, {_strip('qq.question')}), ''))) as payload_sha
+              + length({q}) as bigint) as prompt_chars,
+         case when c.modality in ('image', 'both') then coalesce(i.n_images, 0) else 0 end as n_images,
+         sha256(concat_ws(chr(30), c.model, concat_ws('|', case when c.modality in ('text', 'both')
+              then coalesce(cast(x.digest as varchar), '') end, {q}),
+              case when c.modality in ('image', 'both') then coalesce(cast(i.idig as varchar), '') else '' end)) as payload_sha
   from cells c join prompts qq on qq.case_uuid = c.case_uuid and qq.prompt_file = c.prompt_file
-  left join ctxsum x on x.case_uuid = c.case_uuid and x.ratio_key = c.ratio_key)
+  left join ctxsum x on x.case_uuid = c.case_uuid and x.ratio_key = c.ratio_key
+  left join imgsum i on i.case_uuid = c.case_uuid and i.ratio_key = c.ratio_key)
 """)
-ORACLE["prompt_payloads"] = _PAYLOAD + " select * from pay"
-ORACLE["payload_groups"] = _PAYLOAD + " select payload_sha, model, count(*) as n_cells from pay group by all"
+
+
+ORACLE["prompt_payloads"] = payload_sql() + " select * exclude (ordinal) from pay"
+ORACLE["payload_groups"] = payload_sql() + " select payload_sha, model, count(*) as n_cells from pay group by all"
+ORACLE["reuse_by_payload"] = f"""
+with mine as (select * from ({payload_sql()} select row_id, ordinal, ratio_key, payload_sha from pay)),
+other as (select * from ({payload_sql(7)} select row_id, ordinal, payload_sha from pay)),
+log as (select row_id, payload_sha, 'same' as run, 1 as day, ordinal as seq from mine where ordinal % 3 = 0
+        union all select row_id, payload_sha, 'other', 2, ordinal from other where ordinal % 2 = 0),
+newest as (select * from (select *, row_number() over (partition by row_id, payload_sha order by day desc) as rn from log) where rn = 1)
+select m.row_id, m.ratio_key, case when n.run is null then 'call' else 'reused' end as action, n.run as reused_from, n.seq as reused_seq
+from mine m left join newest n using (row_id, payload_sha)"""
 
 
 # ------------------------------------------------------------------ synthetic filler
@@ -630,6 +687,127 @@ select count(*) as total, count(*) filter (where is_done) as done, count(*) filt
 from flag"""
 
 
+# ------------------------------------------------------------------ one run with a client
+
+def _run_sql(name: str = "run", spec: ExperimentSpec | None = None) -> str:
+    """Results of the resumed run, row by row."""
+    from longctx.plans.catalog import run_spec
+    prompt = _strip("q.question")
+    return matrix_sql(spec or run_spec()) + f""",
+todo as (select c.*, {prompt} as prompt_text, length(q.question) % 13 = 0 as bad
+         from cells c join prompts q using (case_uuid, prompt_file) where c.ordinal % 9 <> 0),
+kinds as (select *, case when bad then 'bad' when ordinal % 5 = 0 then 'reused' when ordinal % 11 = 0 then 'refused'
+                         when ordinal % 6 >= 4 then 'limited' else 'answered' end as kind from todo),
+seen as (select *, row_number() over (partition by kind, case_uuid, prompt_file, model_config_id, repetition order by ordinal) as nth from kinds),
+{name} as (
+  select row_id, ordinal, case_uuid, prompt_file, model_config_id, provider, model, modality, ablation_ratio, thinking, difficulty, repetition, prompt_text,
+         case when kind in ('answered', 'reused') then 'ok' else 'error' end as status,
+         case kind when 'answered' then 'ok' when 'reused' then 'reused' else 'error' end as outcome,
+         case kind when 'bad' then 'PermanentProviderError' when 'refused' then 'PermanentError' when 'limited' then 'RateLimitError' end as error_type,
+         case kind when 'bad' then 'PermanentProviderError: prompt file is empty' when 'refused' then 'refused' when 'limited' then 'slow down' else '' end as error_message,
+         case kind when 'reused' then 'older' end as reused_from,
+         case kind when 'reused' then 'older ' || ordinal when 'answered' then thinking || ' answer ' || ordinal else '' end as answer,
+         case kind when 'answered' then ordinal % 6 + 1 when 'refused' then 1 when 'limited' then 4 else 0 end as attempts,
+         case when kind = 'reused' then 2 when kind = 'answered' and nth = 1 then length(prompt_text) else 0 end as cache_creation_input_tokens,
+         case when kind = 'reused' then 2 when kind = 'answered' and nth > 1 then length(prompt_text) else 0 end as cache_read_input_tokens,
+         case kind when 'reused' then ordinal % 40 when 'answered' then ordinal % 50 else 0 end as completion_tokens,
+         case kind when 'reused' then ordinal % 100 when 'answered' then ordinal % 900 else 0 end as latency_ms
+  from seen)
+"""
+
+
+ORACLE["run_results"] = _run_sql() + """
+select row_id, status, outcome, error_type, error_message, reused_from, answer, attempts, cache_creation_input_tokens,
+       cache_read_input_tokens, completion_tokens, latency_ms from run"""
+
+
+def _outcomes_sql() -> str:
+    from longctx.plans.catalog import run_spec
+    return f"""
+select outcome, count(*) as n, 'resumed' as run from ({_run_sql()} select * from run) group by outcome
+union all
+select outcome, count(*), 'forced' from (
+  select case when bad or ordinal % 11 = 0 or ordinal % 6 >= 4 then 'error' else 'ok' end as outcome
+  from ({matrix_sql(run_spec())} select c.ordinal, length(q.question) % 13 = 0 as bad from cells c join prompts q using (case_uuid, prompt_file)))
+group by outcome
+union all
+select case when bad then 'error' else 'dry_run' end, count(*), 'dry' from (
+  {matrix_sql(run_spec())} select c.ordinal, length(q.question) % 13 = 0 as bad from cells c join prompts q using (case_uuid, prompt_file)
+  where c.ordinal % 9 <> 0) group by 1"""
+
+
+ORACLE["run_outcomes"] = _outcomes_sql()
+
+ORACLE["result_roundtrip"] = _run_sql() + """
+select 'record' as kind, row_id, answer, case when status = 'error' then 0 else length(prompt_text) end as question_chars, status, error_type,
+       case when status = 'error' then -1 else completion_tokens end as completion_tokens, reused_from, 42 as seed from run
+union all
+select 'unreadable', null, v, 0, null, null, -1, null, 0
+from (values ('{"answer": "cut o'), ('{"answer": "a"} {"answer": "b"}'), ('[1, 2]')) t(v)"""
+
+
+def _summary_sql() -> str:
+    from longctx.plans.catalog import run_spec
+    return f"""
+with first as (select * from ({_run_sql()} select * from run)),
+forced as (select *, kind in ('bad', 'refused', 'limited') as failed from (
+  {matrix_sql(run_spec())} select c.*, case when length(q.question) % 13 = 0 then 'bad' when ordinal % 11 = 0 then 'refused'
+                                           when ordinal % 6 >= 4 then 'limited' else 'answered' end as kind
+  from cells c join prompts q using (case_uuid, prompt_file) where c.ordinal % 4 = 0)),
+entries as (
+  select row_id, ordinal as seq, case_uuid, prompt_file, model_config_id, provider, model, modality, ablation_ratio, thinking,
+         difficulty, repetition, latency_ms, status, error_type, error_message, coalesce(reused_from, '') as reused_from from first
+  union all
+  select row_id, ordinal + 10000000, case_uuid, prompt_file, model_config_id, provider, model, modality, ablation_ratio, thinking,
+         difficulty, repetition, case when failed then 0 else ordinal % 900 end, case when failed then 'error' else 'ok' end,
+         case kind when 'bad' then 'PermanentProviderError' when 'refused' then 'PermanentError' when 'limited' then 'RateLimitError' end,
+         case kind when 'bad' then 'PermanentProviderError: prompt file is empty' when 'refused' then 'refused' else 'slow down' end, ''
+  from forced),
+kept as (select *, min(seq) over (partition by row_id) as first_seq, row_number() over (partition by row_id order by seq desc) as rn from entries)
+select first_seq, 'now' as experiment_uuid, row_id, case_uuid, prompt_file as prompt_path, model_config_id, provider, model, modality,
+       cast(ablation_ratio as varchar) as ablation_ratio, thinking, difficulty, cast(repetition as varchar) as repetition, '42' as seed,
+       cast(latency_ms as varchar) as latency_ms, status,
+       case when status = 'error' then concat('{{"type":"', error_type, '","message":"', error_message, '"}}') else '' end as error, reused_from,
+       concat('runs/now/', row_id, '/prompt.txt') as prompt_artifact, concat('runs/now/', row_id, '/result.json') as result_path
+from kept where rn = 1"""
+
+
+ORACLE["summary_rebuild"] = _summary_sql()
+
+ORACLE["scored_export"] = metrics_sql() + ", " + _jury_sql() + f"""
+select s.{_ID.replace(', ', ', s.')}, case when same then 1.0::double else 0.0::double end as exact_match,
+       round_even({_guard(_f1_sql('ov_1', 'ref_1', 'pred_1'))}, 4) as token_f1, round_even({_rouge_n_sql(1)}, 4) as rouge1_f1,
+       '' as rouge_l_text, cast(judge_concise as varchar) as judge_concise, coalesce(cast(judge_correct as varchar), '') as judge_correct,
+       coalesce('{{' || regexp_replace(votes, '(j\\d)=(\\w+)', '"\\1":\\2', 'g') || '}}', '') as judge_votes, judge_error
+from scored s join m using ({_ID})"""
+
+ORACLE["progress_current"] = _gen_sql() + """
+select printf('%s::v%d::%s', prefix, variant, file_name) as progress_key, variant % 3 as seq,
+       case variant % 3 when 0 then 'queued' when 1 then 'drawn' else 'approved' end as state from missing"""
+
+
+def _settings_sql() -> str:
+    from longctx.plans.catalog import run_spec
+    spec = run_spec()
+    spec.thinking_default = ["none", "low", "high"]
+    t = thinking_sql()
+    return matrix_sql(spec) + f"""
+select row_id, model_config_id, thinking,
+       case when thinking = 'none' then ''
+            when provider = 'google' and {t['thinking_budget']} is not null then
+              concat('{{', case when {t['include_thoughts']} then '"include_thoughts":true,' else '' end, '"thinking_budget":', {t['thinking_budget']}, '}}')
+            when provider = 'google' then concat('{{"include_thoughts":true,"thinking_level":"', upper(thinking), '"}}')
+            when provider = 'anthropic_gcp' then '{{"type":"adaptive"}}'
+            when provider = 'azure_openai' then concat('{{"effort":"', thinking, '"}}') else '' end as settings,
+       case when model_config_id = 'a1' then '{{"labels":{{"team":"x"}}}}'
+            when provider = 'anthropic_gcp' then concat('{{"output_config":{{"effort":"', case when thinking = 'none' then 'unset' else thinking end,
+                 '","format":"json"}},"region":"us-east5"}}') else '{{}}' end as extra
+from cells"""
+
+
+ORACLE["matrix_settings"] = _settings_sql()
+
+
 # ------------------------------------------------------------------ ingest counts, streaming
 
 ORACLE["ingest_counts"] = with_views("case_pages", "filler_pages", "questions") + """

@@ -39,6 +39,12 @@ select 'web' as subdir_name,
 from pages
 union all
 select 'bench', concat('bench_', lpad(cast(item_id as string), 6, '0'), '.txt'), text from benchmark""",
+    "case_images": """
+select source as case_uuid, concat(lpad(cast(doc_id as string), 9, '0'), '.png') as image_file
+from documents where doc_id % 3 <> 0
+union all
+select concat('scan', cast(page_id % 3 as string)), concat('page_', lpad(cast(page_id as string), 6, '0'), '.jpg')
+from pages where page_id % 5 = 0""",
     "questions": """
 select case_uuid,
        concat('q', lpad(cast(row_number() over (partition by case_uuid order by conv_id, turn) as string), 5, '0')) as prompt_id,
@@ -107,7 +113,7 @@ from events where event_type = 'error'""",
 }
 
 # Dependency order for CTE prefixes.
-VIEW_ORDER = ["case_pages", "filler_pages", "questions", "responses", "verdicts", "verdict_text",
+VIEW_ORDER = ["case_pages", "filler_pages", "case_images", "questions", "responses", "verdicts", "verdict_text",
               "result_log", "run_log", "error_log"]
 
 
@@ -153,6 +159,23 @@ def filler_pages_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.unionByName(bench)
 
 
+def case_images_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of two thirds of the documents, and cases that have images alone."""
+    d, p = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    docs = d.where(F.col("doc_id") % 3 != 0).select(
+        F.col("source").alias("case_uuid"), F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".png")).alias("image_file"))
+    scans = p.where(F.col("page_id") % 5 == 0).select(
+        F.concat(F.lit("scan"), (F.col("page_id") % 3).cast("string")).alias("case_uuid"),
+        F.concat(F.lit("page_"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".jpg")).alias("image_file"))
+    return docs.unionAll(scans)
+
+
+def image_pool_df(spark: SparkSession, sf_dir: str, subdir: str) -> DataFrame:
+    """The image of each filler page of a pool."""
+    pool = filler_pages_df(spark, sf_dir).where(F.col("subdir_name") == subdir)
+    return pool.select(F.regexp_replace("file_name", r"\.txt$", ".jpg").alias("file_name"))
+
+
 def difficulty_label(text_col) -> F.Column:
     n = F.length(text_col)
     return (F.when(n < 100, "Tier 1 · Easy").when(n < 250, "Tier 2 · Medium")

@@ -7,6 +7,7 @@ through here.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,13 +54,12 @@ class ExperimentSpec:
     # ------------------------------------------------------------------ dimensions
     def models_df(self, spark: SparkSession) -> DataFrame:
         rows = [(m.id, m.provider, m.model, int(m.max_output_tokens), float(m.temperature),
-                 {k: str(v) for k, v in (m.thinking or {}).items()} or None,
-                 {k: str(v) for k, v in (m.extra or {}).items()}, i)
+                 json.dumps(m.thinking) if m.thinking else None, json.dumps(m.extra or {}), i)
                 for i, m in enumerate(self.models)]
         return spark.createDataFrame(
             rows,
             "model_config_id string, provider string, model string, max_output_tokens int, "
-            "temperature double, thinking_config map<string,string>, extra map<string,string>, model_ord int",
+            "temperature double, thinking_config string, extra string, model_ord int",  # settings as JSON text
         )
 
     def modalities_df(self, spark: SparkSession) -> DataFrame:
