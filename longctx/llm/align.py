@@ -10,9 +10,10 @@ probes and at last single tokens find the end of the stretch.  The irregular gro
 first, until both end together, and the shift becomes the difference of the new places.  Only irregular groups
 are recorded; the others follow from their number.
 
-A text is encoded in parts cut before a space between two ASCII letters or digits, where no token of either tokenizer reaches
-across (checked for B when the model is read; else texts are not cut), so memory follows ``PART``, not the text.
-Both token sequences must spell space + text; otherwise the text has no tokens.
+A text is encoded in units cut at single spaces between other characters, where no token of either tokenizer reaches
+across (A's pre-tokens begin there; for B it is checked when the model is read, else texts are not cut), and the ids of units that
+come again are remembered in a table of bounded size.  A text is aligned in parts of whole units, so memory follows ``PART``, not the
+text.  Both token sequences must spell space + text; otherwise the text has no tokens.
 
 Counts: the count of an id pair is the number of texts that hold it linked.  Encoded rows (narrow: their distinct pairs and how
 often each is linked) are written to the shared folder once.  Tasks add up pairs before the shuffle.  The pairs whose
@@ -28,6 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,8 @@ from longctx.session import cut_lineage, shared_table
 
 PART = 1 << 16
 PROBE = 8
+MEMO = 1 << 17  # units remembered in a generation
+SHORT = 32  # characters of a unit that is remembered
 HOT_PAIRS = 1 << 20
 _LINKS = 1 << 22  # links expanded at once
 
@@ -76,42 +81,73 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
                         for i, p in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in names)
+        self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in names) and plain_spaces(self.b)
         self.n_b = len(names)
         #: Decimal ids followed by each of the three separators.
         self.shown = [f"{i}{sep}" for sep in ",|;" for i in range(max(len(self.a_bytes), len(names)))]
+        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        self.long: list[str] = []
 
-    def parts(self, text: str) -> Iterator[str]:
+    def units(self, text: str) -> list[str]:
         """The text without the spaces at which it is cut."""
-        at = 0
-        while self.cuttable and len(text) - at > PART:
-            cut = at + PART
-            while cut > 0 and cut < len(text) - 1:
-                cut = text.find(" ", cut)
-                if cut < 0 or cut >= len(text) - 1:
-                    cut = -1
-                    break
-                left, right = text[cut - 1], text[cut + 1]
-                if left.isascii() and left.isalnum() and right.isascii() and right.isalnum():
-                    break
-                cut += 1
-            if not 0 < cut < len(text) - 1:
-                break
-            yield text[at:cut]
-            at = cut + 1
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both tokenizers; None where the tokens of one do not spell space + text."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        out = []
-        for want, x, y in zip(spaced, a, b, strict=True):
-            want = want.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, x)) == want == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((np.array(x, np.int64), np.array(y, np.int64)) if same else None)
-        return out
+        return _CUT.split(text) if self.cuttable else [text]
+
+    def _encode(self, units: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Ids of both tokenizers as int32 bytes; None where the tokens of one do not spell space + unit."""
+        spaced = [" " + t for t in units]
+        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        b = self.b.encode(units, num_threads=1)
+        for want, e, y in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), b, strict=True):
+            x, want = e.ids, want.encode()
+            same = b"".join(map(a_of, x)) == want == b"".join(map(b_of, y))
+            yield (array("i", x).tobytes(), array("i", y).tobytes()) if same else None
+
+    def learn(self, units: list[str]) -> None:
+        """Make the ids of all these units known; those of short ones stay for two generations."""
+        for u in self.long:
+            del self.memo[u]
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older, new = self.memo, self.older, []
+        for u in set(units):
+            if u not in memo:
+                if u in older:
+                    memo[u] = older[u]
+                else:
+                    new.append(u)
+        memo.update(zip(new, self._encode(new), strict=True))
+        self.long = [u for u in new if len(u) > SHORT]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a stretch of known units; None if one of them is not spelled exactly."""
+        found = list(map(self.memo.__getitem__, units))
+        if None in found:
+            return None
+        a, b = zip(*found, strict=True)
+        return np.frombuffer(b"".join(a), np.int32).astype(np.int64), np.frombuffer(b"".join(b), np.int32).astype(np.int64)
+
+
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def plain_spaces(model) -> bool:
+    """Whether the model keeps single spaces as they are and puts one before the text."""
+    return [model.id_to_piece(i) for i in model.encode("a")][:1] and all(
+        model.decode(model.encode(t)) == t for t in ("a b", "a  b", " a b ", "a\tb"))
+
+
+def _parts(units: list[str]) -> Iterator[list[str]]:
+    """Runs of units of about ``PART`` characters."""
+    part, size = [], 0
+    for u in units:
+        part.append(u)
+        size += len(u) + 1
+        if size >= PART:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,21 +302,19 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, keep: list[str] | None =
         tok = Tokenizers(*files.value)
         for batch in pieces(batches, 64):
             found = [_Row(groups) for _ in range(batch.num_rows)]
-            owners, parts, size = [], [], 0
-
-            def flush(owners, parts):
-                for k, both in zip(owners, tok.encode(parts), strict=True):
-                    found[k].add(both, tok)
-
-            for k, t in enumerate(batch.column("text").to_pylist()):
-                for part in tok.parts(t) if t else ():
-                    owners.append(k)
-                    parts.append(part)
-                    size += len(part)
-                    if size >= 4 * PART:
-                        flush(owners, parts)
-                        owners, parts, size = [], [], 0
-            flush(owners, parts)
+            cut = [tok.units(t) if t else [] for t in batch.column("text").to_pylist()]
+            at = 0
+            while at < len(cut):  # some texts at a time, so that a long one is looked up by itself
+                upto, size = at, 0
+                while upto < len(cut) and (upto == at or size + len(cut[upto]) <= PART):
+                    size += len(cut[upto])
+                    upto += 1
+                tok.learn([u for units in cut[at:upto] for u in units])
+                for k in range(at, upto):
+                    for part in _parts(cut[k]):
+                        found[k].add(tok.encode(part), tok)
+                    cut[k] = None
+                at = upto
             n_a, n_b, n_groups, n_links, shown, pairs, times = zip(*(r.out() for r in found), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)),

@@ -246,19 +246,28 @@ def test_alignment_query_and_empty_table(spark, docs):
     assert align.aligned(docs.limit(0), BYTE_BPE_PATH, MODEL_PATH).count() == 0
 
 
-def test_parts_encode_like_whole_texts(monkeypatch):
+def test_units_encode_like_whole_texts(monkeypatch):
     with open(BYTE_BPE_PATH, "rb") as f, open(MODEL_PATH, "rb") as g:
         tok = align.Tokenizers(f.read(), g.read())
-    for size in (7, 50):
+    assert tok.cuttable
+    rng = random.Random(2)
+    odd = ["a", "B", "9", " ", " ", "  ", "\n", "\t", "\xa0", "\u2009", "\x1c", "'", "'s", "é", "日", "\u0301", "🙂", ".", "\x00", "\u200b", "ß"]
+    texts = [t for _, t, *_ in awkward() if t] + ["".join(rng.choices(odd, k=rng.randint(1, 60))) for _ in range(3000)]
+    for size, memo in ((7, 1 << 17), (50, 40)):
         monkeypatch.setattr(align, "PART", size)
-        for _, text, *_ in awkward():
-            if not text or tok.encode([text])[0] is None:
+        monkeypatch.setattr(align, "MEMO", memo)
+        for text in texts:
+            units = tok.units(text)
+            assert " ".join(units) == text
+            tok.learn(units)
+            whole = next(tok._encode([text]))
+            got = [tok.encode(part) for part in align._parts(units)]
+            if whole is None:
+                assert None in got
                 continue
-            parts = list(tok.parts(text))
-            assert " ".join(parts) == text
-            whole, cut = tok.encode([text])[0], tok.encode(parts)
             for k in (0, 1):
-                assert np.concatenate([c[k] for c in cut]).tolist() == whole[k].tolist()
+                assert np.concatenate([g[k] for g in got]).tolist() == np.frombuffer(whole[k], np.int32).tolist(), text
+        assert len(tok.memo) <= memo + 1000
 
 
 def test_huge_group_and_long_stretches(monkeypatch):
