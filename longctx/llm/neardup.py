@@ -7,15 +7,21 @@
 3. Bands of ``ROWS`` signature values are bucket keys.  ``BANDS`` bands miss a pair at the
    threshold 0.75 with probability ``(1 - 0.75**3)**24`` = 2e-6.
 4. Inside a bucket no all-pairs step runs.  Its hub (the document whose buckets hold most
-   documents, which is the origin of a group of copies) is compared with every other member, however
-   unlike, by both full sets.  So a group of copies costs about one pair per copy.
-5. Two members x, y that are still in different components can only be linked if they share a
+   documents, which is the origin of a group of copies) meets every other member: first by signature,
+   and from ``LIKE`` equal values on (a similarity of about 0.5) by both full sets.  So a group of
+   copies costs about one pair per copy.  Members with fewer than ``SURE`` equal values stay in the search
+   among themselves: they form new, smaller buckets with another band in which they differ from the hub, and these get hubs of
+   their own, level by level, until no bucket holds members of different components.  What all of a
+   bucket has in common with its hub, such as a passage that many documents share, makes no new bucket.  Of two linked
+   documents x, y either both are like the hub (point 5), or both are below ``SURE``: one that is less than half like the hub has no
+   partner that is very like it.  They then share a band in which they differ from the hub, but for a chance of 4e-5 where the
+   one is 0.4 like the hub, and of 3e-4 at the limit of 0.5.
+5. Two members x, y that are like one hub and still in different components can only be linked if they share a
    shingle that the hub lacks, or if the sizes of what they share with the hub allow it.  The few
    pairs of the second kind come from a join on (hub, size) and are compared.  Members of the
    first kind meet under (hub, added shingle); there, those outside the main component are compared
-   with the 1st, then up to the ``STEP``-th, ``STEP**2``-th, ... member, until they join it or have met
-   all.  No link that could change a component is left out.  Pairs other than with a hub must agree
-   in ``MIN_AGREE`` signature values first (a pair at 0.75 fails this with probability 3e-7).
+   with the first ``STEP`` members, then with all others that share a band with them.  Pairs other than with a
+   hub must agree in ``MIN_AGREE`` signature values first (a pair at 0.75 fails this with probability 3e-7).
 6. Components by alternating large-star and small-star.
 
 Nulls and edge cases: null or blank text has an empty set and links with nothing.  Fewer than
@@ -29,7 +35,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longctx.llm.components import connected_components
@@ -42,6 +48,7 @@ THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
 NUM_HASHES = ROWS * BANDS
 MIN_AGREE = NUM_HASHES // 2
+LIKE, SURE = MIN_AGREE, 66
 STEP = 16
 _BLOCK = 512
 
@@ -105,12 +112,21 @@ def _confirm(members: pa.Table, hubs: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The ``pairs(hub, mem)`` that agree in ``MIN_AGREE`` signature values."""
+def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``pairs(hub, mem)`` with the number of signature values that agree."""
     left = sigs.select(F.col("doc_id").alias("hub"), F.col("sig").alias("_sa"))
     right = sigs.select(F.col("doc_id").alias("mem"), F.col("sig").alias("_sb"))
     agree = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda v: v))
-    return pairs.join(right, "mem").join(left, "hub").where(agree >= MIN_AGREE).select("hub", "mem").distinct()
+    return pairs.join(right, "mem").join(left, "hub").select("hub", "mem", agree.alias("agree"))
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The ``pairs(hub, mem)`` that agree in ``MIN_AGREE`` signature values."""
+    return _agreement(pairs, sigs).where(F.col("agree") >= MIN_AGREE).select("hub", "mem").distinct()
+
+
+def _band_values(sig: str) -> Column:
+    return F.array(*[F.xxhash64(F.lit(k), *[F.col(sig)[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,32 +199,88 @@ def _added(links: DataFrame, comp: DataFrame, tested: DataFrame) -> tuple[DataFr
     return links, cut_lineage(connected_components(links))
 
 
-def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: Callable[[DataFrame], DataFrame],
+                   sigs: DataFrame | None = None) -> DataFrame:
     """Components after members of one key in ``ranked(key, doc, rank)`` have joined or met each other.
 
-    All meet the first member; then those outside the key's main component meet the next ones, ``STEP`` times as
-    many each round.  The main is chosen once, as the component of a fixed document: it only grows, so of two
-    members that are not in it together, one is late whenever the other is a target.
+    All meet the first member; then those outside the key's main component meet the next ``STEP - 1``, and last
+    the others (with ``sigs``, those that share a band with them).  The main is chosen once, as the component of a fixed document: it only
+    grows, so of two members that are not in it together, one is late whenever the other is a target.  Of two late members the
+    one of higher rank is the member of the pair.
     """
-    last, lo, mains = ranked.agg(F.max("rank")).first()[0] or 0, 0, None
-    while lo <= last:
-        upto = max(1, lo * STEP)
+    last, mains = ranked.agg(F.max("rank")).first()[0] or 0, None
+    for lo, upto in ((0, 1), (1, STEP), (STEP, last + 1)):
+        if lo > last:
+            break
         now = _with_component(ranked, "doc", comp, "comp")
-        late = now
-        if lo:
+        targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select(
+            "key", F.col("doc").alias("hub"), "comp", F.col("rank").alias("hub_rank"))
+        if not lo:
+            late = now.select("key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"), "rank", F.lit(None).alias("main"))
+        else:
             if mains is None:
                 mains = cut_lineage(now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
                     F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
                     "key", F.col("m.comp").alias("first")))
-            late = now.join(_with_component(mains, "first", comp, "main"), "key").where("comp <> main")
-        late = late.select("key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
-        targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
-        pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
+            late = now.join(_with_component(mains, "first", comp, "main"), "key").where("comp <> main").select(
+                "key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"), "rank", "main")
+        on = ["key"]
+        if lo >= STEP and sigs is not None:  # many targets: only those that share a band meet
+            bands = sigs.select("doc_id", F.posexplode(_band_values("sig")).alias("band", "value"))
+            late = late.join(bands.withColumnRenamed("doc_id", "mem"), "mem")
+            targets = targets.join(late.select("key").distinct(), "key", "left_semi").join(
+                bands.withColumnRenamed("doc_id", "hub"), "hub")
+            on = ["key", "band", "value"]
+        once = F.col("rank") > F.col("hub_rank")
+        pairs = late.join(targets, on).where("hub <> mem and comp <> mem_comp").where(
+            once if not lo else once | (F.col("comp") == F.col("main"))).select("hub", "mem").distinct()
         links, comp = _added(links, comp, test(pairs))
-        lo = upto
     return comp
 
 
+def _by_hubs(members: DataFrame, weight: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tested pairs of a hub and a member like it, links, components) of the buckets ``members(key, doc)`` and of the smaller
+    ones that members unlike their hub form, level by level."""
+    spark = members.sparkSession
+    tested, links, comp, known = None, None, None, None
+    while True:
+        hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
+            "key", F.col("h.doc").alias("hub"))
+        met = cut_lineage(members.join(hubs, "key").where("hub <> doc").select("key", "hub", F.col("doc").alias("mem")))
+        pairs = met.select("hub", "mem").distinct()
+        agreed = cut_lineage(_agreement(pairs, sigs))
+        like = agreed.where(F.col("agree") >= LIKE).select("hub", "mem")
+        if known is not None:
+            like = like.join(known, ["hub", "mem"], "left_anti")
+        new = _verified(like, texts)
+        tested = new if tested is None else tested.union(new)
+        if links is None:
+            links = _links(new)
+            comp = cut_lineage(connected_components(links))
+        else:
+            links, comp = _added(links, comp, new)
+        known = tested.select(F.col("a").alias("hub"), F.col("b").alias("mem"))
+
+        # a bucket whose members are all like its hub is left to the search by size and by added shingles
+        far = (F.col("agree") < LIKE).alias("far")
+        unlike = _with_component(met.join(agreed.where(F.col("agree") < SURE).select("hub", "mem", far), ["hub", "mem"]), "mem", comp, "c")
+        mixed = (F.min("c") != F.max("c")) & F.bool_or("far")
+        unlike = unlike.join(unlike.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key"), "key")
+        bands = sigs.select("doc_id", _band_values("sig").alias("v"))
+        rows = unlike.join(bands.select(F.col("doc_id").alias("mem"), F.col("v").alias("vm")), "mem").join(
+            bands.select(F.col("doc_id").alias("hub"), F.col("v").alias("vh")), "hub")
+        other = F.filter(F.zip_with("vm", "vh", lambda x, y: F.when(x != y, x)), lambda v: v.isNotNull())
+        # one key for a set of bands, in whatever order they were added
+        rows = cut_lineage(rows.select(F.col("mem").alias("doc"), "c", "far", F.explode(F.transform(
+            other, lambda v: F.col("key").bitwiseXOR(v))).alias("key")).groupBy("key", "doc").agg(
+            F.min("c").alias("c"), F.bool_or("far").alias("far")))
+        shared = rows.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key")
+        members = cut_lineage(rows.join(shared, "key").select("key", "doc"))
+        free_shuffles(spark)
+        if members.isEmpty():
+            return tested, links, comp
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
     signed_docs = cut_lineage(signatures(docs))
@@ -217,26 +289,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"))
     nodes = cut_lineage(signed_docs.join(sets.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")),
                                          ["h1", "h2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "sig"))
-    key = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
-    rows = nodes.select(F.col("doc_id").alias("doc"), F.explode(F.array(*key)).alias("key"))
+    rows = nodes.select(F.col("doc_id").alias("doc"), F.explode(_band_values("sig")).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"),
                                      F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
     members = cut_lineage(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
-
     del rows, shared
     weight = cut_lineage(members.groupBy("doc").agg((-F.sum("size")).alias("bad")))
     sigs = cut_lineage(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
-    hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
-        "key", F.col("h.doc").alias("hub"))
-    pairs = members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct()
-    tested = _verified(pairs, texts)  # all of them: a member unlike the hub may be like another member
-    links = _links(tested)
-    comp = cut_lineage(connected_components(links))
 
+    tested, links, comp = _by_hubs(members.select("key", "doc"), weight, sigs, texts)
     links, comp = _added(links, comp, _verified(_likely(_by_size(tested, comp), sigs), texts))
     rest = cut_lineage(_by_additions(tested, comp).join(weight, "doc"))
     ranked = cut_lineage(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
-    comp = _ranked_rounds(ranked, links, comp, lambda pairs: _verified(_likely(pairs, sigs), texts))
+    comp = _ranked_rounds(ranked, links, comp, lambda pairs: _verified(_likely(pairs, sigs), texts), sigs)
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
