@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -128,6 +129,18 @@ class Tokenizers:
         return np.frombuffer(b"".join(a), np.int32).astype(np.int64), np.frombuffer(b"".join(b), np.int32).astype(np.int64)
 
 
+_kept: dict[tuple, Tokenizers] = {}
+
+
+def _tokenizers(a_json: bytes, b_model: bytes) -> Tokenizers:
+    """The tokenizers of a worker, which stay with the units they know from one task to the next; of one pair at a time."""
+    key = (len(a_json), zlib.crc32(a_json), len(b_model), zlib.crc32(b_model))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Tokenizers(a_json, b_model)
+    return _kept[key]
+
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -299,7 +312,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, keep: list[str] | None =
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        tok = Tokenizers(*files.value)
+        tok = _tokenizers(*files.value)
         for batch in pieces(batches, 64):
             found = [_Row(groups) for _ in range(batch.num_rows)]
             cut = [tok.units(t) if t else [] for t in batch.column("text").to_pylist()]

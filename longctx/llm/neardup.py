@@ -31,6 +31,7 @@ are returned, unlinked, with null ``component_id`` and ``kept`` true.  Other col
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -240,33 +241,31 @@ def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: C
 
 def _by_hubs(members: DataFrame, weight: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tested pairs of a hub and a member like it, links, components) of the buckets ``members(key, doc)`` and of the smaller
-    ones that members unlike their hub form, level by level."""
+    ones that members unlike their hub form, level by level.
+
+    The first level's pairs are tested at once, since its components decide which buckets are worth a next level; the
+    pairs of all later levels, found by signature alone, are tested together.
+    """
     spark = members.sparkSession
-    tested, links, comp, known = None, None, None, None
+    bands = cut_lineage(sigs.select("doc_id", _band_values("sig").alias("v")))
+    tested, comp, later = None, None, []
     while True:
         hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
             "key", F.col("h.doc").alias("hub"))
-        met = cut_lineage(members.join(hubs, "key").where("hub <> doc").select("key", "hub", F.col("doc").alias("mem")))
-        pairs = met.select("hub", "mem").distinct()
-        agreed = cut_lineage(_agreement(pairs, sigs))
+        met = members.join(hubs, "key").where("hub <> doc").select("key", "hub", F.col("doc").alias("mem"))
+        agreed = cut_lineage(_agreement(met.select("hub", "mem").distinct(), sigs))
         like = agreed.where(F.col("agree") >= LIKE).select("hub", "mem")
-        if known is not None:
-            like = like.join(known, ["hub", "mem"], "left_anti")
-        new = _verified(like, texts)
-        tested = new if tested is None else tested.union(new)
-        if links is None:
-            links = _links(new)
-            comp = cut_lineage(connected_components(links))
+        if tested is None:
+            tested = _verified(like, texts)
+            comp = cut_lineage(connected_components(_links(tested)))
         else:
-            links, comp = _added(links, comp, new)
-        known = tested.select(F.col("a").alias("hub"), F.col("b").alias("mem"))
+            later.append(like)
 
         # a bucket whose members are all like its hub is left to the search by size and by added shingles
         far = (F.col("agree") < LIKE).alias("far")
         unlike = _with_component(met.join(agreed.where(F.col("agree") < SURE).select("hub", "mem", far), ["hub", "mem"]), "mem", comp, "c")
         mixed = (F.min("c") != F.max("c")) & F.bool_or("far")
         unlike = unlike.join(unlike.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key"), "key")
-        bands = sigs.select("doc_id", _band_values("sig").alias("v"))
         rows = unlike.join(bands.select(F.col("doc_id").alias("mem"), F.col("v").alias("vm")), "mem").join(
             bands.select(F.col("doc_id").alias("hub"), F.col("v").alias("vh")), "hub")
         other = F.filter(F.zip_with("vm", "vh", lambda x, y: F.when(x != y, x)), lambda v: v.isNotNull())
@@ -276,9 +275,18 @@ def _by_hubs(members: DataFrame, weight: DataFrame, sigs: DataFrame, texts: Data
             F.min("c").alias("c"), F.bool_or("far").alias("far")))
         shared = rows.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key")
         members = cut_lineage(rows.join(shared, "key").select("key", "doc"))
+        del hubs, met, agreed, unlike, rows, shared
         free_shuffles(spark)
         if members.isEmpty():
-            return tested, links, comp
+            break
+    links = _links(tested)
+    if later:
+        done = tested.select(F.col("a").alias("hub"), F.col("b").alias("mem"))
+        pairs = functools.reduce(DataFrame.union, later).distinct().join(done, ["hub", "mem"], "left_anti")
+        new = _verified(pairs, texts)
+        links, comp = _added(links, comp, new)
+        tested = tested.union(new)
+    return tested, links, comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

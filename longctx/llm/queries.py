@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from longctx.llm import (align, decontam, langid, mainhtml, nbsvm, neardup, quality, resample, sharding, spm, substrings,
                          urls, warc)
+from longctx.llm.oracle import ORACLE  # noqa: F401 - registered with the queries
 from longctx.session import ensure_checkpoint_dir
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -124,4 +125,3 @@ QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_url_filter, op3_sentencepiece, op4_decontamination, op5_main_text, op6_repeated_passages,
     op7_quality_rules, op8_warc, op9_quality_classifier, op10_minhash, op11_importance_resampling, op12_sharding,
     op13_token_alignment)}
-ORACLE: dict[str, str] = {}
