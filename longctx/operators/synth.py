@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longctx.functions.keys import keyed_hash
+from longctx.functions.keys import hash64_text, keyed_hash
 from longctx.functions.text import blank_page_parts, generated_page_name, progress_key
 
 FIRST = ["Ada", "Bela", "Caro", "Dario", "Elin", "Femi", "Gala", "Hugo", "Ines", "Joss", "Kira", "Luca",
@@ -134,3 +134,12 @@ def blank_pages_from_filler(filler_pages: DataFrame, subdir: str) -> DataFrame:
     """Blank pages of a pool with their form prefix."""
     return (filler_pages.where(F.col("subdir_name") == subdir)
             .select("file_name", blank_page_parts(F.col("file_name"))[0].alias("prefix")))
+
+
+def blank_forms(blank_pages: DataFrame) -> DataFrame:
+    """The forms of a pool: prefix, number of pages, first and last page name, and a digest of the set of names.
+
+    Aggregates without lists, since one form may hold any share of the pages; ``blank_pages`` has the pages themselves."""
+    return blank_pages.groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.min("file_name").alias("first_page"), F.max("file_name").alias("last_page"),
+        F.bit_xor(hash64_text(F.col("file_name"))).alias("pages_digest"))

@@ -39,8 +39,12 @@ def spec_checks(spark: SparkSession, spec: ExperimentSpec) -> DataFrame:
 
 
 def data_checks(spark: SparkSession, spec: ExperimentSpec, prompts: DataFrame, case_pages: DataFrame,
-                filler_pages: DataFrame, model_ids: list[str] | None = None) -> DataFrame:
-    """V2: references into the data: models, cases with prompts / pages, forms, pool."""
+                filler_pages: DataFrame, model_ids: list[str] | None = None, case_images: DataFrame | None = None,
+                image_pool: DataFrame | None = None) -> DataFrame:
+    """V2: references into the data: models, cases with prompts / pages / images, forms, pools.
+
+    The image checks run where the image tables are given: every case needs images if a modality shows them, and the
+    image pool must be as large as the text pool that it is paired with."""
     out = []
     known = {m.id for m in spec.models}
     for mid in model_ids or []:
@@ -53,7 +57,14 @@ def data_checks(spark: SparkSession, spec: ExperimentSpec, prompts: DataFrame, c
         if any(m in ("text", "both") for m in spec.modalities):
             out.append(cases.join(case_pages.select("case_uuid").distinct(), "case_uuid", "left_anti")
                        .select(F.lit("case_without_pages").alias("check"), F.col("case_uuid").alias("subject")))
+        if case_images is not None and any(m in ("image", "both") for m in spec.modalities):
+            out.append(cases.join(case_images.select("case_uuid").distinct(), "case_uuid", "left_anti")
+                       .select(F.lit("case_without_images").alias("check"), F.col("case_uuid").alias("subject")))
     pool = filler_pages.where(F.col("subdir_name") == spec.filler_subdir)
+    if image_pool is not None and any(r > 0 for r in spec.ratios) and any(m in ("image", "both") for m in spec.modalities):
+        sizes = filter_forms(pool, spec.allowed_filler_forms).agg(F.count(F.lit(1)).alias("n")).crossJoin(
+            image_pool.agg(F.count(F.lit(1)).alias("m")))  # one row
+        out.append(sizes.where("m < n").select(F.lit("image_pool_too_small").alias("check"), F.lit(spec.filler_subdir).alias("subject")))
     if spec.allowed_filler_forms:
         out.append(unknown_forms(spark, spec.allowed_filler_forms, available_forms(pool))
                    .select(F.lit("unknown_form").alias("check"), F.col("form").alias("subject")))
@@ -68,12 +79,16 @@ def data_checks(spark: SparkSession, spec: ExperimentSpec, prompts: DataFrame, c
 
 
 def violations(spark: SparkSession, spec: ExperimentSpec, prompts: DataFrame, case_pages: DataFrame,
-               filler_pages: DataFrame, model_ids: list[str] | None = None) -> DataFrame:
+               filler_pages: DataFrame, model_ids: list[str] | None = None, case_images: DataFrame | None = None,
+               image_pool: DataFrame | None = None) -> DataFrame:
     return spec_checks(spark, spec).unionByName(
-        data_checks(spark, spec, prompts, case_pages, filler_pages, model_ids))
+        data_checks(spark, spec, prompts, case_pages, filler_pages, model_ids, case_images, image_pool))
 
 
 def raise_if_invalid(v: DataFrame, limit: int = 20) -> None:
-    sample = v.limit(limit).collect()
-    if sample:
-        raise ValueError("invalid experiment: " + "; ".join(f"{r['check']}({r['subject']})" for r in sample))
+    """Fail with the number of violations and the first ``limit`` of them, in order."""
+    n = v.count()
+    if n:
+        shown = [f"{r['check']}({r['subject']})" for r in v.orderBy("check", "subject").limit(limit).collect()]
+        more = f"; and {n - len(shown)} more" if n > len(shown) else ""
+        raise ValueError(f"invalid experiment, {n} violations: " + "; ".join(shown) + more)

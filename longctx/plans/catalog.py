@@ -319,9 +319,11 @@ def spec_violations(spark: SparkSession, sf: str) -> DataFrame:
     spec.ratios = [0.0, 0.5, -1.0]
     spec.thinking_overrides = {"b1": ["low", "extreme"], "c1": []}
     spec.allowed_filler_forms = FIXTURE_ALLOWED_FORMS
-    spec.modalities = ["text", "audio"]
+    spec.modalities = ["text", "audio", "image"]
+    images = fx.case_images_df(spark, sf).where(F.col("case_uuid") != "src5")
     return violations(spark, spec, fixture_prompts(spark, sf), fx.case_pages_df(spark, sf),
-                      fx.filler_pages_df(spark, sf), model_ids=["a1", "b1", "z9"])
+                      fx.filler_pages_df(spark, sf), model_ids=["a1", "b1", "z9"], case_images=images,
+                      image_pool=fx.image_pool_df(spark, sf, "bench").limit(0))
 
 
 # ------------------------------------------------------------------ prompts and payloads
@@ -442,6 +444,14 @@ def synthetic_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("*", profile_text(p).alias("profile_text"))
 
 
+@register
+def blank_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms found among the pages of the filler pools."""
+    from longctx.operators.synth import blank_forms as forms, blank_pages_from_filler
+    pages = fx.filler_pages_df(spark, sf)
+    return forms(blank_pages_from_filler(pages, "web").unionByName(blank_pages_from_filler(pages, "bench")))
+
+
 def _variant_profiles(spark):
     from longctx.operators.synth import fill_request, profile_text, profiles
     p = profiles(spark.range(1, GEN_VARIANTS + 1).select(F.col("id").cast("int").alias("profile_id")), GEN_SEED)

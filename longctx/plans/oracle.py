@@ -515,12 +515,14 @@ select subdir_name, {_FORM} as form, count(*) as n_files, {_FORM} in {_ALLOWED_S
 from filler_pages group by all"""
 
 _CASES = "(select * from (values ('src0'), ('src5'), ('src19'), ('src20'), ('srcX')) t(c))"
-ORACLE["spec_violations"] = with_views("case_pages", "filler_pages", "questions") + f""",
+ORACLE["spec_violations"] = with_views("case_pages", "filler_pages", "case_images", "questions") + f""",
 web as (select {_FORM} as form from filler_pages where subdir_name = 'web')
 select * from (values ('unknown_level', 'b1:extreme'), ('empty_levels', 'c1'), ('negative_ratio', '-1'),
                       ('unknown_modality', 'audio'), ('unknown_model', 'z9')) t("check", subject)
 union all select 'case_without_prompts', c from {_CASES} where c not in (select case_uuid from questions)
 union all select 'case_without_pages', c from {_CASES} where c not in (select case_uuid from case_pages)
+union all select 'case_without_images', c from {_CASES} where c = 'src5' or c not in (select case_uuid from case_images)
+union all select 'image_pool_too_small', 'web' where exists (select 1 from web where form in {_ALLOWED_SQL})
 union all select 'unknown_form', f from (select unnest({'[' + ', '.join(_q(f) for f in _ALLOWED) + ']'}) as f)
           where f not in (select form from web)
 union all select 'empty_filler_pool', 'web' where not exists (select 1 from web where form in {_ALLOWED_SQL})"""
@@ -674,6 +676,10 @@ req as (select pv as variant, name, {_q(pre)} || profile_text || {_q(post)} as f
 
 
 _PNUM = (f"case when strpos({_STEM}, '_') > 0 then substr({_STEM}, strpos({_STEM}, '_') + 1) else '001' end")
+ORACLE["blank_forms"] = with_views("filler_pages") + f"""
+select split_part({_STEM}, '_', 1) as prefix, count(*) as n_pages, min(file_name) as first_page, max(file_name) as last_page,
+       bit_xor({h60('file_name')}) as pages_digest from filler_pages group by 1"""
+
 ORACLE["generation_queue"] = _gen_sql() + " select file_name, prefix, count(*) as n_missing from missing group by all"
 ORACLE["generation_work"] = _gen_sql() + f"""
 select m.file_name, m.variant, printf('%s-v%d-%s.jpg', m.prefix, m.variant, {_PNUM.replace('file_name', 'm.file_name')}) as out_name,
