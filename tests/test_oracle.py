@@ -9,7 +9,10 @@ from longctx.sources.fixtures import BASE_TABLES
 
 QUICK = ["context_digest", "context_provenance", "matrix_groups", "metric_bleu", "metric_rouge_n", "verdict_parse",
          "jury_verdict", "log_keep_last", "resume_pending", "error_classes", "pass_rate_by_difficulty",
-         "filler_forms", "spec_violations", "generation_work", "synthetic_profiles", "conciseness_gate"]
+         "filler_forms", "spec_violations", "generation_work", "synthetic_profiles", "conciseness_gate", "matrix_cells",
+         "matrix_size", "matrix_settings", "metric_rouge_l", "score_rows", "score_stats", "judge_calls", "pass_rate",
+         "reuse_latest_ok", "run_progress", "image_provenance", "filler_meta", "reuse_by_payload", "run_results",
+         "result_roundtrip", "summary_rebuild", "scored_export", "progress_current", "blank_forms"]
 
 
 def _norm(v):
