@@ -31,8 +31,8 @@ import hashlib
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ from longctx.session import cut_lineage, shared_table
 
 PART = 1 << 16
 PROBE = 8
-MEMO = 1 << 17  # units remembered in a generation
+MEMO = 3 << 16  # units remembered in a generation
 SHORT = 32  # characters of a unit that is remembered
 HOT_PAIRS = 1 << 20
 _LINKS = 1 << 22  # links expanded at once
@@ -94,15 +94,26 @@ class Tokenizers:
         """The text without the spaces at which it is cut."""
         return _CUT.split(text) if self.cuttable else [text]
 
-    def _encode(self, units: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both tokenizers as int32 bytes; None where the tokens of one do not spell space + unit."""
+        if not units:
+            return []
         spaced = [" " + t for t in units]
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        b = self.b.encode(units, num_threads=1)
-        for want, e, y in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), b, strict=True):
-            x, want = e.ids, want.encode()
-            same = b"".join(map(a_of, x)) == want == b"".join(map(b_of, y))
-            yield (array("i", x).tobytes(), array("i", y).tobytes()) if same else None
+        x = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        y = self.b.encode(units, num_threads=1)
+        want = [t.encode() for t in spaced]
+        ends = np.cumsum([len(t) for t in want])
+        sides = []
+        for ids, names, sizes in ((x, self.a_bytes, self.a_size), (y, self.b_bytes, self.b_size)):
+            flat = list(chain.from_iterable(ids))
+            codes, stops = np.array(flat, np.int32), np.cumsum([len(i) for i in ids])
+            spelled = np.concatenate([[0], np.cumsum(sizes[codes])])[stops]
+            raw, at = codes.tobytes(), (4 * stops).tolist()
+            cut = [raw[a:b] for a, b in zip([0, *at], at)]
+            if b"".join(map(names.__getitem__, flat)) != b"".join(want) or (spelled != ends).any():  # unit by unit
+                cut = [c if b"".join(map(names.__getitem__, i)) == w else None for c, i, w in zip(cut, ids, want, strict=True)]
+            sides.append(cut)
+        return [None if a is None or b is None else (a, b) for a, b in zip(*sides, strict=True)]
 
     def learn(self, units: list[str]) -> None:
         """Make the ids of all these units known; those of short ones stay for two generations."""
