@@ -82,6 +82,10 @@ def text_metrics(df: DataFrame, id_cols: list[str], ref: str = "human_validated_
     * ``explode``: all built-in; the shared n-gram stage (``ngram_overlaps``), one shuffle
       by (id, n, gram), for runtimes without Python workers.
     """
+    if method == "rowwise":
+        # A shuffle of a given number: short texts cost much time a byte, and adaptive execution would put them into a few tasks by size.
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
+        df = df.repartition(n, *id_cols, pred)
     base = df.withColumn("_rt", tokens(F.col(ref))).withColumn("_pt", tokens(F.col(pred)))
     if method == "rowwise":
         from longctx.functions.lcs import overlap_stats_nolcs_udf, overlap_stats_udf
