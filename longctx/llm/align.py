@@ -48,6 +48,7 @@ PART = 1 << 16
 PROBE = 8
 MEMO = 3 << 16  # units remembered in a generation
 SHORT = 32  # characters of a unit that is remembered
+RUN = 64  # short units encoded in one call
 HOT_PAIRS = 1 << 20
 _LINKS = 1 << 22  # links expanded at once
 
@@ -98,18 +99,32 @@ class Tokenizers:
         """Ids of both tokenizers as int32 bytes; None where the tokens of one do not spell space + unit."""
         if not units:
             return []
+        if not self.cuttable:
+            return self._encode_each(units)
+        runs = list(_runs(units))
+        joined = [" ".join(r) for r in runs]
+        x = [e.ids for e in self.a.encode_batch_fast([" " + t for t in joined], add_special_tokens=False)]
+        y = self.b.encode(joined, num_threads=1)
+        out = []
+        for run, a, b in zip(runs, x, y, strict=True):
+            want = [(" " + t).encode() for t in run]
+            ends = np.cumsum([len(t) for t in want])
+            a, b = _cut_at(ends, want, a, self.a_bytes, self.a_size), _cut_at(ends, want, b, self.b_bytes, self.b_size)
+            out += self._encode_each(run) if a is None or b is None else zip(a, b, strict=True)
+        return out
+
+    def _encode_each(self, units: list[str]) -> list[tuple[bytes, bytes] | None]:
         spaced = [" " + t for t in units]
-        x = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        y = self.b.encode(units, num_threads=1)
         want = [t.encode() for t in spaced]
         ends = np.cumsum([len(t) for t in want])
+        x = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        y = self.b.encode(units, num_threads=1)
         sides = []
         for ids, names, sizes in ((x, self.a_bytes, self.a_size), (y, self.b_bytes, self.b_size)):
             flat = list(chain.from_iterable(ids))
             codes, stops = np.array(flat, np.int32), np.cumsum([len(i) for i in ids])
             spelled = np.concatenate([[0], np.cumsum(sizes[codes])])[stops]
-            raw, at = codes.tobytes(), (4 * stops).tolist()
-            cut = [raw[a:b] for a, b in zip([0, *at], at)]
+            cut = _cut_ids(codes, stops)
             if b"".join(map(names.__getitem__, flat)) != b"".join(want) or (spelled != ends).any():  # unit by unit
                 cut = [c if b"".join(map(names.__getitem__, i)) == w else None for c, i, w in zip(cut, ids, want, strict=True)]
             sides.append(cut)
@@ -122,12 +137,11 @@ class Tokenizers:
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
         memo, older, new = self.memo, self.older, []
-        for u in set(units):
-            if u not in memo:
-                if u in older:
-                    memo[u] = older[u]
-                else:
-                    new.append(u)
+        for u in set(units).difference(memo):
+            if u in older:
+                memo[u] = older[u]
+            else:
+                new.append(u)
         memo.update(zip(new, self._encode(new), strict=True))
         self.long = [u for u in new if len(u) > SHORT]
 
@@ -155,6 +169,40 @@ def _tokenizers(a_json: bytes, b_model: bytes) -> Tokenizers:
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _runs(units: list[str]) -> Iterator[list[str]]:
+    """The units in order, up to ``RUN`` short ones together, which can be joined by the spaces at which texts are cut."""
+    run = []
+    for u in units:
+        if u and len(u) <= SHORT and u.strip() == u:
+            run.append(u)
+            if len(run) == RUN:
+                yield run
+                run = []
+        else:
+            if run:
+                yield run
+                run = []
+            yield [u]
+    if run:
+        yield run
+
+
+def _cut_at(ends: np.ndarray, want: list[bytes], ids: list[int], names: list[bytes], sizes: np.ndarray) -> list[bytes] | None:
+    """The ids of joined units cut where a unit ends; None if they do not spell every unit."""
+    codes = np.array(ids, np.int32)
+    size = sizes[codes]
+    if not len(ids) or not size.all() or b"".join(map(names.__getitem__, ids)) != b"".join(want):
+        return None
+    token_ends = np.cumsum(size)
+    last = np.searchsorted(token_ends, ends)
+    return _cut_ids(codes, last + 1) if (token_ends[last] == ends).all() else None
+
+
+def _cut_ids(codes: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    raw, at = codes.tobytes(), (4 * stops).tolist()
+    return [raw[a:b] for a, b in zip([0, *at], at)]
+
+
 def plain_spaces(model) -> bool:
     """Whether the model keeps single spaces as they are and puts one before the text."""
     return [model.id_to_piece(i) for i in model.encode("a")][:1] and all(
@@ -163,6 +211,9 @@ def plain_spaces(model) -> bool:
 
 def _parts(units: list[str]) -> Iterator[list[str]]:
     """Runs of units of about ``PART`` characters."""
+    if 0 < sum(map(len, units)) + len(units) < PART:
+        yield units
+        return
     part, size = [], 0
     for u in units:
         part.append(u)
@@ -179,11 +230,11 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n_a, n_b = len(a_ends), len(b_ends)
     xs, ys = [*a_ends.tolist(), -1], [*b_ends.tolist(), -2]  # the ends differ beyond the last token
     a_raw, b_raw = np.array(xs, "<i8").tobytes(), np.array(ys, "<i8").tobytes()
-    i = j = single = 0
-    at, a_n, b_n = [], [], []
+    i = j = 0
+    odd = []  # places where each irregular group begins and ends
     while i < n_a:
         if xs[i] == ys[j]:  # a one-to-one stretch: gallop along the diagonal
-            start, step = i, 8 * PROBE
+            step = 8 * PROBE
             p, q = 8 * i, 8 * j
             while a_raw[p:p + step] == b_raw[q:q + step]:
                 p, q, step = p + step, q + step, step * 2
@@ -195,7 +246,6 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
             while xs[i] == ys[j]:
                 i += 1
                 j += 1
-            single += i - start
         else:
             i0, j0, x, y = i, j, xs[i], ys[j]
             while x != y:
@@ -206,10 +256,11 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
                     j += 1
                     y = ys[j]
             i, j = i + 1, j + 1
-            at.append(single + len(at))
-            a_n.append(i - i0)
-            b_n.append(j - j0)
-    a_of, b_of = (np.ones(single + len(at), np.int64) for _ in range(2))
+            odd += (i0, j0, i, j)
+    starts_a, starts_b, stops_a, stops_b = np.array(odd, np.int64).reshape(-1, 4).T
+    a_n, b_n = stops_a - starts_a, stops_b - starts_b
+    at = starts_a - np.cumsum(a_n - 1) + (a_n - 1)  # every token before a group is in a group of its own, but for irregular ones
+    a_of, b_of = (np.ones(n_a - int((a_n - 1).sum()), np.int64) for _ in range(2))
     a_of[at], b_of[at] = a_n, b_n
     return a_of, b_of
 

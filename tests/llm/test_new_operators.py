@@ -270,6 +270,21 @@ def test_units_encode_like_whole_texts(monkeypatch):
         assert len(tok.memo) <= memo + 1000
 
 
+def test_joined_units_encode_like_single_ones():
+    with open(BYTE_BPE_PATH, "rb") as f, open(MODEL_PATH, "rb") as g:
+        tok = align.Tokenizers(f.read(), g.read())
+    rng = random.Random(3)
+    parts = ["a", "B", "9", "the", "'s", "é", "日", "\u0301", "🙂", "\x00", "\u200b", "ﬁ", "…", "\t", " ", "\x1c", "<s>", "x" * 40]
+    units = ["".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(2000)] + ["", " ", "a ", " a"]
+    calls = []
+    each, tok._encode_each = tok._encode_each, lambda u: calls.append(len(u)) or each(u)
+    got = tok._encode(units)
+    assert got == each(units)
+    calls.clear()
+    plain = [f"word{i}" for i in range(1000)]
+    assert tok._encode(plain) == each(plain) and not calls  # all of them joined
+
+
 def test_huge_group_and_long_stretches(monkeypatch):
     rng = np.random.default_rng(1)
     ends = np.cumsum(rng.integers(1, 9, 5000))
