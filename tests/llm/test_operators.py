@@ -202,6 +202,24 @@ def test_passages_with_one_changed_word(spark):
     assert got == set(range(120))
 
 
+@pytest.mark.parametrize("pairs, block", [(1, 256), (6, 256), (9, 4)])
+def test_members_that_the_first_and_last_document_do_not_cover(spark, monkeypatch, pairs, block):
+    """A template of 28 words in all, with another ending in the first and the last document than in each two between them."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    rng, rows, want, n = random.Random(8), [], {}, 2 * pairs + 2
+    for k in range(60 if pairs == 1 else 20):
+        template, ids = prose(rng, 28), list(range(k * n, k * n + n))
+        ends = [prose(rng, 27) for _ in range(pairs)]
+        for place, doc in enumerate(ids):
+            end = prose(rng, 27) if place in (0, n - 1) else ends[(place - 1) % pairs]
+            rows.append((doc, f"{prose(rng, 30)} {template} {end} {prose(rng, 30)}"))
+        for place in range(1, pairs + 1):
+            want |= {ids[place]: (ids[place], False), ids[place + pairs]: (ids[place], True)}
+    got = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.repeat) for r in got} == want and len(got) == len(want)
+    assert all(r.start_word <= 30 and r.end_word >= 85 for r in got)
+
+
 def test_remove_repeats_keeps_first_and_rest(docs):
     left = substrings.remove_repeats(docs)
     assert left.columns == docs.columns
