@@ -2,16 +2,18 @@
 
 Edges stay a DataFrame.  Each star is one ``min`` aggregate per node (combined map-side, so a
 node with a third of all edges sends one partial row per task) and one join of the edges with
-those minima, which AQE splits when a node is hot.  Every round is checkpointed in the shared
-folder.  A round changes nothing exactly when the edges form stars around component minima.
+those minima, which AQE splits when a node is hot.  Every round is written to the shared
+folder and the one before it removed.  A round changes nothing exactly when the edges form stars around component minima.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longctx.session import cut_lineage
+from longctx.session import cut_lineage, drop_shared, free_shuffles, shared_table
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -38,20 +40,23 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)`` for every node that has an edge to another node.
 
     ``component`` is the least node reachable.  Self loops, repeated edges and either direction
-    are allowed; null ends are ignored; no edges give no rows.
+    are allowed; null ends are ignored; no edges give no rows.  ``keep`` cuts the lineage of the result.
     """
-    cur = cut_lineage(_oriented(edges.where("a is not null and b is not null")))
+    spark = edges.sparkSession
+    cur, path = shared_table(_oriented(edges.where("a is not null and b is not null")), "edges")
     seen = _state(cur)
     while seen[0]:
-        nxt = cut_lineage(_small_star(_large_star(cur)))
-        now = _state(nxt)
-        cur = nxt
-        if now == seen:
+        cur, at = shared_table(_small_star(_large_star(cur)), "edges")
+        drop_shared(spark, path)
+        path, before, seen = at, seen, _state(cur)
+        if seen == before:
             break
-        seen = now
     tops = cur.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)
+    out = keep(cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops))
+    drop_shared(spark, path)
+    free_shuffles(spark)
+    return out

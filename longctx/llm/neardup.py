@@ -36,7 +36,7 @@ from longctx.llm.components import connected_components
 from longctx.llm.pairs import check_against_hubs
 from longctx.llm.words import byte_rows, mix, pieces, signed, text_shingles
 from longctx.operators.ordinal import ordinal_within
-from longctx.session import cut_lineage, free_shuffles
+from longctx.session import cut_lineage, free_shuffles, scratch_tables
 
 THRESHOLD = 75  # percent
 ROWS, BANDS = 3, 24
@@ -44,9 +44,11 @@ NUM_HASHES = ROWS * BANDS
 MIN_AGREE = NUM_HASHES // 2
 STEP = 16
 _BLOCK = 512
+Keep = Callable[[DataFrame], DataFrame]  # cuts the lineage of a frame
 
 _seeds = mix(np.arange(1, 2 * NUM_HASHES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _A, _B = (_seeds[:NUM_HASHES] | np.uint64(1))[:, None], _seeds[NUM_HASHES:][:, None]
+_TESTED = "a long, b long, na long, nb long, both long, link boolean, added array<long>"
 _SIG_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"
 
 
@@ -113,10 +115,10 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(right, "mem").join(left, "hub").where(agree >= MIN_AGREE).select("hub", "mem").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, keep: Keep) -> DataFrame:
     """Exact comparison (see ``_confirm``) of the ``pairs(hub, mem)``."""
-    done = cut_lineage(check_against_hubs(cut_lineage(pairs), texts, _confirm,
-                                          "a long, b long, na long, nb long, both long, link boolean, added array<long>"))
+    with scratch_tables(pairs.sparkSession) as mine:
+        done = keep(check_against_hubs(mine(pairs), texts, _confirm, _TESTED, mine))
     free_shuffles(done.sparkSession)
     return done
 
@@ -131,7 +133,7 @@ def _with_component(rows: DataFrame, doc: str, comp: DataFrame, name: str) -> Da
         name, F.coalesce("_c", doc)).drop("_c")
 
 
-def _by_size(tested: DataFrame, comp: DataFrame) -> DataFrame:
+def _by_size(tested: DataFrame, comp: DataFrame, keep: Keep) -> DataFrame:
     """Pairs of members of one hub that may be linked though they share nothing that the hub lacks.
 
     Members x and y of hub h that have i_x and i_y shingles in common with it have at most
@@ -139,7 +141,7 @@ def _by_size(tested: DataFrame, comp: DataFrame) -> DataFrame:
     matched in steps of 1/32 of the hub's; only pairs within the bound come out.
     """
     t = _with_component(tested.select("a", "b", "na", "nb", "both"), "b", comp, "cb")
-    t = cut_lineage(_with_component(t, "a", comp, "ca"))
+    t = keep(_with_component(t, "a", comp, "ca"))
     per = lambda n: F.floor(32 * n / F.col("na")).cast("int")
     late = t.where("ca <> cb").withColumn("most", F.floor(F.col("both") * 175 / 75) - F.col("nb")).where(
         "100 * most >= 75 * nb").select("a", F.col("b").alias("hub"), F.col("nb").alias("n"), F.col("both").alias("i"),
@@ -151,7 +153,7 @@ def _by_size(tested: DataFrame, comp: DataFrame) -> DataFrame:
         100 * m >= THRESHOLD * (F.col("n") + F.col("nb") - m))).select("hub", "mem").distinct()
 
 
-def _by_additions(tested: DataFrame, comp: DataFrame) -> DataFrame:
+def _by_additions(tested: DataFrame, comp: DataFrame, keep: Keep) -> DataFrame:
     """(key, doc): members of one hub that share a shingle the hub lacks, where components still differ.
 
     A partner of x has at least ``0.75 n_x`` shingles in common with it, so at least ``0.75 n_x - i_x`` of
@@ -160,7 +162,7 @@ def _by_additions(tested: DataFrame, comp: DataFrame) -> DataFrame:
     phrases that unrelated documents have in common are left out first.
     """
     mixed = _with_component(_with_component(tested, "b", comp, "cb"), "a", comp, "ca").where("ca <> cb").select("a").distinct()
-    rows = cut_lineage(_with_component(tested.join(mixed, "a", "left_semi"), "b", comp, "cb").select(
+    rows = keep(_with_component(tested.join(mixed, "a", "left_semi"), "b", comp, "cb").select(
         "a", "b", "cb", (F.size("added") - F.greatest(F.ceil(0.75 * F.col("nb")) - F.col("both"), F.lit(1)) + 1).alias("upto"),
         F.size("added").alias("n"), F.explode(F.transform("added", lambda s: F.xxhash64("a", s))).alias("key")))
     keys = rows.groupBy("key").agg(F.min("cb").alias("lo"), F.max("cb").alias("hi"), F.count(F.lit(1)).alias("times")).where(
@@ -169,21 +171,22 @@ def _by_additions(tested: DataFrame, comp: DataFrame) -> DataFrame:
     mine = Window.partitionBy("a", "b")  # one document's shingles
     place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("times", "key"))
     kept = useful.withColumn("place", place).where("place <= upto").select("key", F.col("b").alias("doc")).distinct()
-    kept = cut_lineage(kept)
+    kept = keep(kept)
     met = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return kept.join(met, "key", "left_semi")
 
 
-def _added(links: DataFrame, comp: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _added(links: DataFrame, comp: DataFrame, tested: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """All links and their components after another round of tests."""
     new = _links(tested)
     if new.isEmpty():
         return links, comp
     links = links.union(new)
-    return links, cut_lineage(connected_components(links))
+    return links, connected_components(links, keep)
 
 
-def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: Callable[[DataFrame], DataFrame],
+                   keep: Keep = cut_lineage) -> DataFrame:
     """Components after members of one key in ``ranked(key, doc, rank)`` have joined or met each other.
 
     All meet the first member; then those outside the key's main component meet the next ones, ``STEP`` times as
@@ -197,46 +200,44 @@ def _ranked_rounds(ranked: DataFrame, links: DataFrame, comp: DataFrame, test: C
         late = now
         if lo:
             if mains is None:
-                mains = cut_lineage(now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+                mains = keep(now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
                     F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
                     "key", F.col("m.comp").alias("first")))
             late = now.join(_with_component(mains, "first", comp, "main"), "key").where("comp <> main")
         late = late.select("key", F.col("doc").alias("mem"), F.col("comp").alias("mem_comp"))
         targets = now.where((F.col("rank") >= lo) & (F.col("rank") < upto)).select("key", F.col("doc").alias("hub"), "comp")
         pairs = late.join(targets, "key").where("hub <> mem and comp <> mem_comp").select("hub", "mem").distinct()
-        links, comp = _added(links, comp, test(pairs))
+        links, comp = _added(links, comp, test(pairs), keep)
         lo = upto
     return comp
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
-    signed_docs = cut_lineage(signatures(docs))
+    with scratch_tables(docs.sparkSession) as keep:
+        out = cut_lineage(_near_duplicates(docs, keep))
+    free_shuffles(docs.sparkSession)
+    return out
+
+
+def _near_duplicates(docs: DataFrame, keep: Keep) -> DataFrame:
+    signed_docs = keep(signatures(docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = signed_docs.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(
         F.min("doc_id").alias("rep"))
-    nodes = cut_lineage(signed_docs.join(sets.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")),
-                                         ["h1", "h2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "sig"))
-    key = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
-    rows = nodes.select(F.col("doc_id").alias("doc"), F.explode(F.array(*key)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"),
-                                     F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
-    members = cut_lineage(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
-
-    del rows, shared
-    weight = cut_lineage(members.groupBy("doc").agg((-F.sum("size")).alias("bad")))
-    sigs = cut_lineage(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
-    hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
-        "key", F.col("h.doc").alias("hub"))
-    pairs = members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct()
-    tested = _verified(pairs, texts)  # all of them: a member unlike the hub may be like another member
+    nodes = keep(signed_docs.join(sets.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")),
+                                  ["h1", "h2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "sig"))
+    with scratch_tables(docs.sparkSession) as mine:
+        pairs, weight = _bucket_pairs(nodes, keep, mine)
+        sigs = keep(nodes.join(weight.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"))
+        tested = _verified(pairs, texts, keep)  # all of them: a member unlike the hub may be like another member
     links = _links(tested)
-    comp = cut_lineage(connected_components(links))
+    comp = connected_components(links, keep)
 
-    links, comp = _added(links, comp, _verified(_likely(_by_size(tested, comp), sigs), texts))
-    rest = cut_lineage(_by_additions(tested, comp).join(weight, "doc"))
-    ranked = cut_lineage(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
-    comp = _ranked_rounds(ranked, links, comp, lambda pairs: _verified(_likely(pairs, sigs), texts))
+    links, comp = _added(links, comp, _verified(_likely(_by_size(tested, comp, keep), sigs), texts, keep), keep)
+    rest = keep(_by_additions(tested, comp, keep).join(weight, "doc"))
+    ranked = keep(ordinal_within(rest, ["key"], ["bad", "doc"], "rank"))
+    comp = _ranked_rounds(ranked, links, comp, lambda pairs: _verified(_likely(pairs, sigs), texts, keep), keep)
 
     found = sets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
@@ -244,3 +245,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _bucket_pairs(nodes: DataFrame, keep: Keep, mine: Keep) -> tuple[DataFrame, DataFrame]:
+    """The pairs (hub, mem) of all buckets that several nodes share, and (doc, bad): less the sizes of a node's buckets."""
+    key = [F.xxhash64(F.lit(k), *[F.col("sig")[ROWS * k + j] for j in range(ROWS)]) for k in range(BANDS)]
+    rows = nodes.select(F.col("doc_id").alias("doc"), F.explode(F.array(*key)).alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("lo"),
+                                     F.max("doc").alias("hi")).where("lo <> hi").select("key", "size")
+    members = mine(rows.join(shared, "key").dropDuplicates(["key", "doc"]))
+    weight = keep(members.groupBy("doc").agg((-F.sum("size")).alias("bad")))
+    hubs = members.join(weight, "doc").groupBy("key").agg(F.min(F.struct("bad", "doc")).alias("h")).select(
+        "key", F.col("h.doc").alias("hub"))
+    return members.join(hubs, "key").where("hub <> doc").select("hub", F.col("doc").alias("mem")).distinct(), weight

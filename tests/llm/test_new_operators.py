@@ -299,3 +299,35 @@ def test_huge_group_and_long_stretches(monkeypatch):
         monkeypatch.setattr(align, "_LINKS", limit)
         p, n = align.linked_pairs(a, b, np.array([40]), np.array([30]), 10)
         assert dict(zip(p.tolist(), n.tolist(), strict=True)) == dict(want)
+
+
+def test_small_steps_cost_few_tasks(spark):
+    """Components of a few edges: rounds read what was written, not a file for each of many shuffle partitions."""
+    from longctx.llm.components import connected_components
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    sc, group = spark.sparkContext, "components-tasks"
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").coalesce(1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        found = connected_components(edges)
+        seen = sc.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(seen.getStageInfo, stages) if i)
+        assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(31)}
+        assert 0 < tasks <= 1400
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_scratch_tables_are_removed(spark):
+    from longctx.session import scratch_tables
+    with scratch_tables(spark) as keep:
+        frame = keep(spark.range(10).repartition(64))
+        files = frame.inputFiles()
+        assert len(files) <= 11 and sorted(r.id for r in frame.collect()) == list(range(10))
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
