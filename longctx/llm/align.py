@@ -11,8 +11,8 @@ first, until both end together, and the shift becomes the difference of the new
 are recorded; the others follow from their number.
 
 A text is encoded in units cut at single spaces between other characters, where no token of either tokenizer reaches
-across (A's pre-tokens begin there; for B it is checked when the model is read, else texts are not cut), and the ids of units that
-come again are remembered in a table of bounded size.  A text is aligned in parts of whole units, so memory follows ``PART``, not the
+across (A's pre-tokens begin there; for B it is checked when the model is read, else texts are not cut).  Both sides end where a unit ends,
+so new units are aligned in one stretch, and the ids, groups and shown groups of units that come again are remembered in a table of bounded size.  A text is aligned in parts of whole units, so memory follows ``PART``, not the
 text.  Both token sequences must spell space + text; otherwise the text has no tokens.
 
 Counts: the count of an id pair is the number of texts that hold it linked.  Encoded rows (narrow: their distinct pairs and how
@@ -87,8 +87,9 @@ class Tokenizers:
         self.n_b = len(names)
         #: Decimal ids followed by each of the three separators.
         self.shown = [f"{i}{sep}" for sep in ",|;" for i in range(max(len(self.a_bytes), len(names)))]
-        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
-        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+        #: Ids of both, sizes of the groups on both sides, and the shown groups of a unit.
+        self.memo: dict[str, tuple[bytes, bytes, bytes, bytes, str] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes, bytes, bytes, str] | None] = {}
         self.long: list[str] = []
 
     def units(self, text: str) -> list[str]:
@@ -142,16 +143,33 @@ class Tokenizers:
                 memo[u] = older[u]
             else:
                 new.append(u)
-        memo.update(zip(new, self._encode(new), strict=True))
+        memo.update(zip(new, self._aligned(self._encode(new)), strict=True))
         self.long = [u for u in new if len(u) > SHORT]
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of a stretch of known units; None if one of them is not spelled exactly."""
+    def _aligned(self, ids: list[tuple[bytes, bytes] | None]) -> list[tuple[bytes, bytes, bytes, bytes, str] | None]:
+        """The ids of units with their groups: all are aligned in one stretch, since both sides end where a unit ends."""
+        known = [x for x in ids if x is not None]
+        found = []
+        for lo in range(0, len(known), PART):
+            part = known[lo:lo + PART]
+            raw_a, raw_b = zip(*part, strict=True)
+            a, b = np.frombuffer(b"".join(raw_a), np.int32), np.frombuffer(b"".join(raw_b), np.int32)
+            a_of, b_of = align(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+            stops = np.searchsorted(np.cumsum(a_of), np.cumsum([len(x) for x in raw_a]) // 4) + 1
+            shown = group_text(a, b, a_of, b_of, self.shown, stops - 1).split("\n")
+            once: dict[bytes, bytes] = {}  # most units have the same sizes
+            of_a, of_b = ([once.setdefault(x, x) for x in _cut_ids(n.astype(np.int32), stops)] for n in (a_of, b_of))
+            found += zip(raw_a, raw_b, of_a, of_b, shown, strict=True)
+        rest = iter(found)
+        return [None if x is None else next(rest) for x in ids]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str] | None:
+        """Ids, sizes of groups and shown groups of a stretch of known units; None if one of them is not spelled exactly."""
         found = list(map(self.memo.__getitem__, units))
         if None in found:
             return None
-        a, b = zip(*found, strict=True)
-        return np.frombuffer(b"".join(a), np.int32).astype(np.int64), np.frombuffer(b"".join(b), np.int32).astype(np.int64)
+        *sides, shown = zip(*found, strict=True)
+        return *(np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in sides), ";".join(shown)
 
 
 _kept: dict[tuple, Tokenizers] = {}
@@ -265,8 +283,12 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a_of, b_of
 
 
-def group_text(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray, shown: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids in order.  ``shown``: all ids before a comma, a bar, a semicolon."""
+def group_text(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray, shown: list[str],
+               last: np.ndarray | None = None) -> str:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids in order.  ``shown``: all ids before a comma, a bar, a semicolon.
+
+    A line ends after each of the groups ``last`` (rising, the last of all among them).
+    """
     if not len(a_of):
         return ""
     size = len(shown) // 3
@@ -276,7 +298,11 @@ def group_text(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray,
     out[np.arange(len(b)) + np.repeat(a_end, b_of)] = b
     out[a_end - 1 + b_end - b_of] += size
     out[a_end + b_end - 1] += 2 * size
-    return "".join(map(shown.__getitem__, out.tolist()))[:-1]
+    words = list(map(shown.__getitem__, out.tolist()))
+    if last is not None:
+        for k in (a_end + b_end - 1)[last[:-1]].tolist():
+            words[k] = words[k][:-1] + "\n"
+    return "".join(words)[:-1]
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, a_of: np.ndarray, b_of: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,9 +356,7 @@ class _Row:
         if both is None or not self.fine:
             self.fine = False
             return
-        a, b = both
-        a_of, b_of = align(np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b]))
-        shown = group_text(a, b, a_of, b_of, tok.shown)
+        a, b, a_of, b_of, shown = both
         if self.sha is not None:
             self.sha.update((";" * bool(self.n_groups) + shown).encode())
         else:

@@ -331,3 +331,75 @@ def test_scratch_tables_are_removed(spark):
         files = frame.inputFiles()
         assert len(files) <= 11 and sorted(r.id for r in frame.collect()) == list(range(10))
     assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_known_units_are_not_aligned_again(monkeypatch):
+    with open(BYTE_BPE_PATH, "rb") as f, open(MODEL_PATH, "rb") as g:
+        tok = align.Tokenizers(f.read(), g.read())
+    units = tok.units("Some unaffordable wörds, naïvely alignable 日本語 wörds and some more")
+    tok.learn(units)
+    calls, real = [], align.align
+    monkeypatch.setattr(align, "align", lambda *x: calls.append(1) or real(*x))
+    tok.learn(units)
+    row = align._Row("text")
+    row.add(tok.encode(units[::-1]), tok)
+    assert not calls
+    a, b = (np.concatenate([np.frombuffer(tok.memo[u][k], np.int32) for u in units[::-1]]) for k in (0, 1))
+    a_of, b_of = real(np.cumsum(tok.a_size[a]), np.cumsum(tok.b_size[b]))
+    assert row.out()[2:5] == (len(a_of), int((a_of * b_of).sum()), align.group_text(a, b, a_of, b_of, tok.shown))
+
+
+def class_rows(rng, side, count):
+    """Classes of one key: tokens around the centre, most of them from one of two texts with some changed."""
+    from longctx.llm import substrings as m
+    reach, rows = m.REACH, []
+    base = rng.integers(1, 1 << 32, (2, 2 * reach + 1), dtype=np.uint64).astype(np.uint32)
+    for n in range(count):
+        left, right = (int(x) for x in rng.choice([reach, reach, 30, 12], 2))
+        x = base[rng.integers(2)].copy()
+        change = rng.random(len(x)) < rng.choice([0, 0.06, 0.14])
+        x[change] = rng.integers(1, 1 << 32, int(change.sum()))
+        x[reach] = 5
+        x[:reach - left], x[reach + right + 1:] = 0, 0
+        d1 = int(rng.integers(0, 2 * count))
+        d2 = int(rng.choice([d1, d1 + 1, d1 + 5]))
+        rows.append({"side": side, "left": left, "right": right, "same": n, "lo": 0, "hi": 10 ** 6, "d1": d1, "c1": 2 * n, "d2": d2,
+                     "c2": 2 * n + (d2 != d1), "k": count, "raw": x.tobytes(), "bi": 0, "bj": 0})
+    return sorted(rows, key=lambda r: (r["d1"], r["c1"]))
+
+
+def least_others(rows):
+    """(side, same, p): the first two documents that share the range, where the first is not ``lo``."""
+    from longctx.llm import substrings as m
+    out = {}
+    for r in rows:
+        for p in range(m.MIN_TOKENS) if r["d1"] != r["lo"] else ():
+            like = []
+            for s in rows:
+                if s["side"] == r["side"] and min(r["left"], s["left"]) >= m.REACH - p and min(r["right"], s["right"]) >= p:
+                    x, y = (np.frombuffer(q["raw"], np.uint32)[p:p + m.MIN_TOKENS] for q in (r, s))
+                    if int((x == y).sum()) >= m.MIN_MATCH:
+                        like.append(s)
+            docs = sorted({s[d] for s in like for d in ("d1", "d2")})
+            if docs and docs[0] != r["lo"]:
+                out[r["side"], r["same"], p] = (docs[0], docs[1] if len(docs) > 1 else None)
+    return out
+
+
+def test_classes_of_many_keys_are_compared_together(monkeypatch):
+    import pyarrow as pa
+
+    from longctx.llm import substrings as m
+    rng = np.random.default_rng(4)
+    rows = [r for side in range(40) for r in class_rows(rng, side, int(rng.integers(1, 9)))]
+    kinds = {"raw": pa.binary(), **{n: pa.int32() for n in ("left", "right", "c1", "c2", "bi", "bj")}}
+    table = pa.table({n: pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in rows[0]})
+    calls, real = [], m._unmet
+    monkeypatch.setattr(m, "_unmet", lambda *x: calls.append(1) or real(*x))
+    monkeypatch.setattr(m, "_PAIRS", 50)
+    got = set()
+    for batch in m._compare(iter(table.to_batches(max_chunksize=60))):
+        got |= {(r["side"], r["same"], p, r["o1"], r["o2"]) for r in batch.to_pylist() for p in range(r["pa"], r["pb"] + 1)}
+    want = least_others(rows)
+    assert want and len(calls) <= len(rows) // 60 + 2
+    assert {(*k, *v) for k, v in want.items()} <= got and {k[:2] for k in got} == {k[:2] for k in want}
