@@ -403,3 +403,41 @@ def test_classes_of_many_keys_are_compared_together(monkeypatch):
     want = least_others(rows)
     assert want and len(calls) <= len(rows) // 60 + 2
     assert {(*k, *v) for k, v in want.items()} <= got and {k[:2] for k in got} == {k[:2] for k in want}
+
+
+def test_ranges_that_no_other_class_can_share_are_not_compared(monkeypatch):
+    """A phrase of 30 tokens in 600 surroundings: no range of 46 is like another, so none is held against the others."""
+    import pyarrow as pa
+
+    from longctx.llm import substrings as m
+    rng = np.random.default_rng(6)
+    rows = class_rows(rng, 0, 600)
+    phrase = rng.integers(1, 1 << 32, 30, dtype=np.uint64).astype(np.uint32)
+    for n, r in enumerate(rows):
+        x = rng.integers(1, 1 << 32, 2 * m.REACH + 1, dtype=np.uint64).astype(np.uint32)
+        x[m.REACH - 12:m.REACH + 18] = phrase
+        r |= {"left": m.REACH, "right": m.REACH, "d1": n, "d2": n, "raw": x.tobytes()}
+    kinds = {"raw": pa.binary(), **{n: pa.int32() for n in ("left", "right", "c1", "c2", "bi", "bj")}}
+    asked, real = [], m._least_others
+    monkeypatch.setattr(m, "_least_others", lambda ranges, i, *x: asked.append(len(i)) or real(ranges, i, *x))
+    got = []
+    for copied in (False, True):
+        if copied:
+            rows[500]["raw"] = rows[20]["raw"]
+        table = pa.table({n: pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in rows[0]})
+        got.append([(r["same"], r["o1"], r["o2"]) for b in m._compare(iter(table.to_batches())) for r in b.to_pylist() if r["o2"] is not None])
+    assert asked == [0, 2 * m.MIN_TOKENS]
+    assert got == [[], [(rows[20]["same"], 20, 500), (rows[500]["same"], 20, 500)]]
+
+
+def test_minima_of_many_texts_are_their_compact_windows():
+    from longctx.llm import substrings as m
+    rng = np.random.default_rng(7)
+    for kinds in [1, 2, 5, 50, 10000] * 40:
+        width, sizes = int(rng.integers(2, 9)), rng.integers(0, 60, int(rng.integers(1, 6)))
+        ends = np.cumsum(sizes)
+        h = rng.integers(0, kinds, ends[-1] + width).astype(np.uint64)[:ends[-1] if ends[-1] >= width else None]
+        ends[-1] = len(h)
+        want = {(l + x, c + x, r + x) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+                for l, c, r in m.compact_windows(h[x:y], width)}
+        assert {tuple(x) for x in m._minima(h, ends, width).tolist()} == want
